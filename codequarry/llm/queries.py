@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from codequarry.llm import substring_dedup
+from codequarry.llm import bpe, quality_classifier, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
-    found = [substring_dedup.op1_substring_dedup]
+    found = [
+        substring_dedup.op1_substring_dedup,
+        quality_classifier.op4_quality_classifier,
+        suffix_dedup.op6_suffix_dedup,
+        bpe.op9_bpe,
+    ]
     return {f.__name__: f for f in found}
 
 
