@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from codequarry.llm import bpe, quality_classifier, substring_dedup, suffix_dedup
+from codequarry.llm import bpe, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     found = [
         substring_dedup.op1_substring_dedup,
+        quality_rules.op2_quality_rules,
         quality_classifier.op4_quality_classifier,
         suffix_dedup.op6_suffix_dedup,
         bpe.op9_bpe,
+        mixing.op10_mixing,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.SQL}
