@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import bpe, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from codequarry.llm import bpe, jaccard_join, mixing, nearest_neighbours, quality_classifier, quality_rules, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         quality_rules.op2_quality_rules,
         quality_classifier.op4_quality_classifier,
         suffix_dedup.op6_suffix_dedup,
+        jaccard_join.op7_jaccard_join,
+        nearest_neighbours.op8_nearest_neighbours,
         bpe.op9_bpe,
         mixing.op10_mixing,
     ]
