@@ -30,12 +30,12 @@ from codequarry.runtime import materialize, ship
 
 @dataclass(frozen=True)
 class Settings:
-    books: int = 8
+    books: int = 16
     codes: int = 256
     beam: int = 4
     sample_rows: int = 8192
-    fits: int = 2
-    rerank: int = 300
+    fits: int = 1
+    rerank: int = 600
     query_block: int = 1024
     vector_block: int = 16384
     metric: str = "inner"  # or "l2"
