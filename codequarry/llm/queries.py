@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from codequarry.llm import bpe, jaccard_join, mixing, nearest_neighbours, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from codequarry.llm import bpe, jaccard_join, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     found = [
         substring_dedup.op1_substring_dedup,
         quality_rules.op2_quality_rules,
+        token_counts.op3_token_counts,
         quality_classifier.op4_quality_classifier,
+        pii.op5_pii,
         suffix_dedup.op6_suffix_dedup,
         jaccard_join.op7_jaccard_join,
         nearest_neighbours.op8_nearest_neighbours,
