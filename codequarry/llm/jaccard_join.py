@@ -4,7 +4,8 @@ Tokens (shingle hashes) are hashed into groups. Documents meet where a whole
 group is equal: with more groups than two linked sets can have differences,
 some group must be (the number of groups follows the sets' sizes). A merged
 count-min sketch first tells which groups can be equal anywhere, so only those
-leave the tasks. Documents that met are indexed by their group counts in a
+leave the tasks; a sketch of the tokens tells before that which sets hold too
+many tokens of their own to be linked at all. Documents that met are indexed by their group counts in a
 count-vector R-tree; the sum of coordinate minima bounds the overlap from
 above, for boxes and for points, and the surviving pairs are verified on the
 sets themselves.
@@ -124,9 +125,14 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=DIMENSIONS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
 
 
-def _describe(repeated, s: Similarity):
+def possible(tokens: np.ndarray, shared, s: Similarity) -> bool:
+    """Whether enough tokens may occur in another set too: a link needs ``percent`` of each set's."""
+    return 100 * int(shared(tokens).sum()) >= s.percent * len(tokens)
+
+
+def _describe(repeated, shared, s: Similarity):
     def run(found):
-        flags = repeated.value
+        flags, common = repeated.value, shared.value
         for batch in found:
             for first, texts in batches(batch.column(1)):
                 rows = []
@@ -134,7 +140,7 @@ def _describe(repeated, s: Similarity):
                     if not len(t):
                         rows.append((0, 0, 0, np.zeros(0, np.uint64)))
                         continue
-                    names = signatures(t, s)
+                    names = signatures(t, s) if possible(t, common, s) else np.zeros(0, np.uint64)
                     a, b = (int(np.add.reduce(mix(t ^ np.uint64(x))).view(np.int64)) for x in (0x1234567, 0xABCDEF01234567))
                     rows.append((len(t), a, b, names[flags(names)]))
                 sizes = [len(r[3]) for r in rows]
@@ -309,12 +315,17 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
 
     def names(batch):
         for _, texts in batches(batch.column(1)):
-            found = [signatures(t, s) for t in shingles(texts, s.words) if len(t)]
+            found = [signatures(t, s) for t in shingles(texts, s.words) if len(t) and possible(t, shared.value, s)]
             if found:
                 yield np.concatenate(found)
 
+    def tokens(batch):
+        for _, texts in batches(batch.column(1)):
+            yield np.concatenate(shingles(texts, s.words))
+
+    shared = spark.sparkContext.broadcast(sketch.repeated(docs, tokens))
     repeated = spark.sparkContext.broadcast(sketch.repeated(docs, names))
-    described = materialize(docs.mapInArrow(_describe(repeated, s), "doc_id long, n long, set_a long, set_b long, names array<long>"), "shingles")
+    described = materialize(docs.mapInArrow(_describe(repeated, shared, s), "doc_id long, n long, set_a long, set_b long, names array<long>"), "shingles")
     by_set = ["n", "set_a", "set_b"]
     reps = materialize(described.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"), F.first("names").alias("names")), "sets")
     met = reps.filter(F.size("names") > 0).select(F.explode("names").alias("key"), "rep", F.size("names").alias("weight"))
