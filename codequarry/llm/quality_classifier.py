@@ -18,7 +18,6 @@ label of both classes all scores are 0.5. Repeated rows get equal scores.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.hashing import chunks
+from codequarry.llm.hashing import Prefix, chunks, mix
 from codequarry.runtime import ship
 
 
@@ -43,14 +42,26 @@ class Settings:
     seed: int = 7
 
 
-def word_features(word: bytes, s: Settings) -> list[int]:
-    """Buckets of a word and of the character n-grams of ``<word>``."""
-    marked = "<" + word.decode("utf-8", "replace") + ">"
-    crc, n = zlib.crc32, len(marked)
-    out = [crc(word, 1) % s.buckets]
+def word_features(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct words: their hashes, and the buckets of each ``<word>`` and its character n-grams, with the word's index."""
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    marked = (b"<" + b"> <".join(words) + b">").decode("utf-8", "replace")
+    codes = np.frombuffer(marked.encode("utf-32-le", "replace"), np.uint32)
+    gap = codes == 0x20
+    owner = np.cumsum(gap)
+    prefix = Prefix(mix(codes.astype(np.uint64) + np.uint64(1)))
+    breaks = np.flatnonzero(gap)
+    hashes = mix(prefix.span(np.r_[0, breaks + 1], np.r_[breaks, len(codes)]) ^ np.uint64(0x5851F42D4C957F2D))
+    buckets, owners = [hashes], [np.arange(len(words))]
     for k in range(s.shortest, s.longest + 1):
-        out += [crc(marked[i : i + k].encode("utf-8", "replace")) % s.buckets for i in range(n - k + 1)]
-    return out
+        grams = prefix.every(k)
+        n = len(grams)
+        inside = np.flatnonzero(~gap[:n] & (owner[:n] == owner[k - 1 : k - 1 + n]))
+        buckets.append(grams[inside])
+        owners.append(owner[inside])
+    every = np.concatenate(buckets)
+    return hashes, ((every >> np.uint64(33)) % np.uint64(s.buckets)).astype(np.int64), np.concatenate(owners)
 
 
 def bigrams(hashes: np.ndarray, s: Settings) -> np.ndarray:
@@ -66,20 +77,29 @@ def _texts(column):
         yield a, texts[a:b]
 
 
+def _pieces(words: list[bytes], limit: int = 400_000):
+    """(first, words) of consecutive words of together about ``limit`` bytes, which bounds the arrays made of them."""
+    for a, b in chunks([len(w) + 3 for w in words], limit):
+        yield a, words[a:b]
+
+
 def _featurize(s: Settings):
     def run(batches):
         for batch in batches:
             rows = []
             for _, texts in _texts(batch.column(1)):
                 for t in texts:
-                    met: dict[bytes, int] = {}
-                    for w in t.split():
-                        met[w] = met.get(w, 0) + 1
-                    total = np.zeros(s.buckets, np.float32)
-                    for w, n in met.items():
-                        np.add.at(total, word_features(w, s), n)
-                    hashes = np.array([zlib.crc32(w) for w in t.split()], np.uint64)
-                    np.add.at(total, bigrams(hashes, s), 1)
+                    words = t.split()
+                    met = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                    order = np.array([met[w] for w in words], np.int64)
+                    total = np.zeros(s.buckets)
+                    hashes = np.zeros(len(met), np.uint64)
+                    times = np.bincount(order, minlength=len(met))
+                    for first, some in _pieces(list(met)):
+                        here = slice(first, first + len(some))
+                        hashes[here], at, owner = word_features(some, s)
+                        total += np.bincount(at, weights=times[here][owner], minlength=s.buckets)
+                    total += np.bincount(bigrams(hashes[order], s), minlength=s.buckets)
                     at = np.flatnonzero(total)
                     rows.append((at.astype(np.int32).tobytes(), (total[at] / max(total.sum(), 1)).astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -142,52 +162,55 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tu
 
 
 class _Scorer:
+    """Scores texts; sums of words met before are kept, ``cache_words`` at most beside those of the texts at hand."""
+
     def __init__(self, model, s: Settings):
-        self.bias, self.s = model[1], s
-        self.array, self.value = np.asarray(model[0]), list(model[0])
+        self.value, self.bias, self.s = np.asarray(model[0], float), model[1], s
         self.start()
 
     def start(self):
         self.index: dict[bytes, int] = {}
-        self.sums = np.zeros(1 << 16)
-        self.counts = np.zeros(1 << 16)
+        self.table = np.zeros((2, 1 << 16))
         self.hashes = np.zeros(1 << 16, np.uint64)
 
-    def _add(self, word: bytes) -> int:
-        i = self.index[word] = len(self.index)
-        if i == len(self.sums):
-            self.sums, self.counts, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.counts, self.hashes))
-        at = word_features(word, self.s)
-        value = self.value
-        self.sums[i] = sum([value[k] for k in at])
-        self.counts[i] = len(at)
-        self.hashes[i] = zlib.crc32(word)
-        return i
-
-    def __call__(self, text: bytes) -> float:
-        words = text.split()
-        if not words:
-            z = self.bias
-        else:
-            if len(self.index) > self.s.cache_words:
-                self.start()
-            get, add = self.index.get, self._add
-            at = np.array([i if (i := get(w)) is not None else add(w) for w in words], np.int64)
+    def learn(self, words: list[bytes]) -> None:
+        for _, some in _pieces(words):
+            first, last = len(self.index), len(self.index) + len(some)
+            self.index.update(zip(some, range(first, last)))
+            while last > len(self.hashes):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            hashes, at, owner = word_features(some, self.s)
+            self.table[0, first:last] = np.bincount(owner, weights=self.value[at], minlength=len(some))
+            self.table[1, first:last] = np.bincount(owner, minlength=len(some))
+            self.hashes[first:last] = hashes
+
+    def __call__(self, texts: list[bytes]) -> list[float]:
+        if len(self.index) > self.s.cache_words:
+            self.start()
+        split = [t.split() for t in texts]
+        index = self.index
+        self.learn([w for w in dict.fromkeys(w for words in split for w in words) if w not in index])
+        out = []
+        for words in split:
+            if not words:
+                out.append(self.bias)
+                continue
+            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
             pairs = bigrams(self.hashes[at], self.s)
-            z = (self.sums[at].sum() + self.array[pairs].sum()) / (self.counts[at].sum() + len(pairs)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            out.append((self.table[0, at].sum() + self.value[pairs].sum()) / (self.table[1, at].sum() + len(pairs)) + self.bias)
+        return (1 / (1 + np.exp(-np.clip(np.array(out), -500, 500)))).tolist()
 
 
 def _score(model, s: Settings):
     def run(batches):
         value, bias = model.value
-        scorer = _Scorer((value.tolist(), bias), s)
-        at = None
+        scorer = _Scorer((value, bias), s)
         for batch in batches:
             at = batch.schema.get_field_index("text_bytes")
             out = []
             for _, texts in _texts(batch.column(at)):
-                out += [scorer(t) for t in texts]
+                out += scorer(texts)
             arrays = [batch.column(k) for k in range(batch.num_columns) if k != at]
             names = [n for n in batch.schema.names if n != "text_bytes"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.float64())], [*names, "score"])
