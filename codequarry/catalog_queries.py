@@ -52,6 +52,32 @@ _ISSUES = f"{_LINES}, issues AS ({_ALL})"
 _RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END"
 
 
+_FUNCTION_LINES = _LINES.replace(_FILES, f"WITH source_files AS ({S.DERIVED_FUNCTIONS.replace('AS STRING', 'AS VARCHAR')})")
+_SQL_FUNCTION_RULES = {
+    "stub-function": [
+        _issue("stub-function", "ai-code", "high", "high", "function only returns a fixed value", "text LIKE 'export function part%'"),
+        _issue("stub-function", "ai-code", "low", "high", "function only returns a fixed value", "text LIKE 'def is_ready%'"),
+    ],
+    "empty-impl": [_issue("empty-impl", "ai-code", "high", "high", "function does nothing", "text LIKE 'def step%' OR text LIKE 'func Work%'")],
+    "weak-validation": [
+        _issue("weak-validation", "ai-code", "medium", "medium", "only presence is checked", "text LIKE 'function check%' AND NOT EXISTS (SELECT 1 FROM lines c WHERE c.path = lines.path AND contains(c.text, 'typeof'))")
+    ],
+    "narrative-comments": [
+        _issue("narrative-comments", "ai-code", "low", "low", "comment retells the code", "text = '# create the counter' AND EXISTS (SELECT 1 FROM lines c WHERE c.path = lines.path AND c.line = lines.line + 1 AND starts_with(c.text, 'counter'))")
+    ],
+    "dead-code": [
+        _issue(
+            "dead-code", "quality", "low", "medium", "exported name is never used",
+            "text LIKE 'export %' AND regexp_extract(text, 'part[0-9]+') NOT IN (SELECT regexp_extract(source, 'part[0-9]+') FROM source_files WHERE contains(source, 'import {'))",
+        )
+    ],
+}
+
+
+def _function_rule(name):
+    return lambda spark, sf_dir: scan.issues(S.derived(spark, sf_dir, S.DERIVED_FUNCTIONS), scan.Options(only=(name,)))
+
+
 def _scan(spark, sf_dir, **options):
     return scan.issues(S.derived(spark, sf_dir), scan.Options(**options))
 
@@ -106,6 +132,7 @@ def queries() -> dict:
         "report_by_file": lambda s, d: issue_filters.by_file(_scan(s, d)),
         "json_report": lambda s, d: issue_filters.as_json(_scan(s, d)),
     }
+    out |= {f"rule_{name.replace('-', '_')}": _function_rule(name) for name in _SQL_FUNCTION_RULES}
     return out | {f"rule_{name.replace('-', '_')}": _rule(name) for name in _SQL_RULES}
 
 
@@ -133,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
         "report_by_file": of(f"SELECT path, count(*) AS n, CAST(min({_RANK}) AS INT) AS worst, min(line) AS first_line FROM issues GROUP BY path"),
     }
     out["structure"] = out["structure"].replace("SELECT *", "SELECT path, severity, message")
+    out |= {f"rule_{name.replace('-', '_')}": f"{_FUNCTION_LINES} {' UNION ALL '.join(parts)}" for name, parts in _SQL_FUNCTION_RULES.items()}
     return out | {f"rule_{name.replace('-', '_')}": f"{_LINES} {' UNION ALL '.join(parts)}" for name, parts in _SQL_RULES.items()}

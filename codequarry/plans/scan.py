@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import file_rules, issue_filters, line_rules
+from codequarry.operators import block_rules, file_rules, issue_filters, line_rules
 
 
 @dataclass(frozen=True)
@@ -18,7 +18,16 @@ class Options:
     ignore_paths: tuple[str, ...] = ()
 
 
-FILE_RULES = {"resource-leak": file_rules.resource_leaks, "package-hallucination": file_rules.unknown_packages, "unused-declaration": file_rules.unused_imports}
+FILE_RULES = {
+    "resource-leak": file_rules.resource_leaks,
+    "package-hallucination": file_rules.unknown_packages,
+    "unused-declaration": file_rules.unused_imports,
+    "stub-function": block_rules.stub_functions,
+    "empty-impl": block_rules.empty_functions,
+    "weak-validation": block_rules.weak_validation,
+    "narrative-comments": block_rules.narrative_comments,
+    "dead-code": block_rules.dead_code,
+}
 
 
 def issues(files: DataFrame, options: Options = Options()) -> DataFrame:

@@ -89,6 +89,23 @@ SELECT concat(CASE WHEN doc_id % 24 >= 20 THEN 'pkg/tests/m' ELSE 'src/m' END, C
 FROM documents
 """
 
+#: As DERIVED, with functions, comments and exports of eight kinds.
+DERIVED_FUNCTIONS = """
+SELECT concat(CASE WHEN doc_id % 40 >= 32 THEN 'pkg/tests/m' ELSE 'src/m' END, CAST(doc_id AS STRING),
+  CASE doc_id % 8 WHEN 0 THEN '.ts' WHEN 1 THEN '.ts' WHEN 4 THEN '.go' WHEN 5 THEN '.js' WHEN 6 THEN '.js' ELSE '.py' END) AS path,
+  CASE doc_id % 8 WHEN 0 THEN 'typescript' WHEN 1 THEN 'typescript' WHEN 4 THEN 'go' WHEN 5 THEN 'javascript' WHEN 6 THEN 'javascript' ELSE 'python' END AS language,
+  concat('', chr(10), CASE doc_id % 8
+    WHEN 0 THEN concat('export function part', CAST(doc_id AS STRING), '() {', chr(10), '  return null;', chr(10), '}')
+    WHEN 1 THEN concat('import { part', CAST(doc_id - doc_id % 16 AS STRING), ' } from "./m"')
+    WHEN 2 THEN concat('def is_ready', CAST(doc_id AS STRING), '(x):', chr(10), '    return True')
+    WHEN 3 THEN concat('def step', CAST(doc_id AS STRING), '(x):', chr(10), '    pass')
+    WHEN 4 THEN concat('func Work', CAST(doc_id AS STRING), '(x int) {', chr(10), '}')
+    WHEN 5 THEN concat('function check', CAST(doc_id AS STRING), '(data) {', chr(10), '  if (!data) return null;', chr(10), '  return data;', chr(10), '}')
+    WHEN 6 THEN concat('function check', CAST(doc_id AS STRING), '(data) {', chr(10), '  if (!data) return null;', chr(10), '  if (typeof data === "string") { return data; }', chr(10), '}')
+    ELSE concat('# create the counter', chr(10), CASE WHEN doc_id % 16 = 7 THEN 'counter = ' ELSE 'n = ' END, CAST(n_chars AS STRING)) END, chr(10)) AS source
+FROM documents
+"""
+
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(DERIVED.replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def derived(spark: SparkSession, sf_dir: str, sql: str = DERIVED) -> DataFrame:
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))

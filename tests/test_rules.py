@@ -29,12 +29,29 @@ CASES = [
     ("rust", "let a = b.unwrap();", "swallowed-error", True),
     ("python", "if x == x:", "unreachable-code", True),
     ("python", "if x == y:", "unreachable-code", False),
+    ("typescript", "function processOrder() { return null; }", "stub-function", True),
+    ("typescript", "function total(xs) { let s = 0; for (const x of xs) { s += x; } return s; }", "stub-function", False),
+    ("typescript", "const f = (a) => { return {}; }", "stub-function", True),
+    ("typescript", "function createThing() { return null; }", "stub-function", False),
+    ("python", "def f(x):\n    return None\n\ndef g(x):\n    return x + 1\n", "stub-function", True),
+    ("python", "def f(x):\n    return 0 + x\n", "stub-function", False),
+    ("python", "class A:\n    def my_method(self):\n        pass\n", "empty-impl", True),
+    ("python", "def f(x):\n    pass\n    return x\n", "empty-impl", False),
+    ("typescript", "function f() { try { g(); } catch (e) { console.error(e); } }", "empty-impl", False),
+    ("go", "func work(x int) error {\n\treturn nil\n}", "empty-impl", True),
+    ("rust", "fn work() {}", "empty-impl", True),
+    ("javascript", "function v(data) { if (!data) { return null; } return data; }", "weak-validation", True),
+    ("javascript", "function v(d) { if (!d) return; if (d.length > 3 && /x/.test(d)) throw 1; }", "weak-validation", False),
+    ("python", "# create the counter\ncounter = 1", "narrative-comments", True),
+    ("python", "# create the counter because readers need it\ncounter = 1", "narrative-comments", False),
+    ("typescript", "\nexport function alone(x) { return x; }", "dead-code", True),
+    ("typescript", "export const used = 1\nlog(used)", "dead-code", False),
 ]
 
 
 @pytest.mark.parametrize("language,source,rule,hit", CASES)
 def test_rule(spark, language, source, rule, hit):
-    files = spark.createDataFrame([("src/a", language, source), ("src/none", language, None), ("src/tests/a", language, source)], SCHEMA)
+    files = spark.createDataFrame([("src/a", language, source), ("src/none", language, None), *([] if rule == "dead-code" else [("src/tests/a", language, source)])], SCHEMA)
     found = issues(files, Options(only=(rule,))).collect()
     assert bool(found) == hit
     assert {r.path for r in found} <= {"src/a"}
