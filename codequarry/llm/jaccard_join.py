@@ -15,7 +15,10 @@ very many representatives meet, they are compared with one pivot p only. Two
 of them that are linked, but not both with p, must share an element of their
 differences from p: if they did not, their distance would be the sum of their
 distances from p, and both would be near p. So they meet again under (p, that
-element), and the work stays linear for any group of near copies.
+element), and the work stays linear for any group of near copies. Members linked with p are in one component already, so only keys
+that hold another member are followed, and of their pairs only those with one.
+Such a pair must share many elements of its differences from p, so each member
+meets under a prefix of them alone, those that p lacks (the rarer ones) first.
 
 Null texts and texts without words have no shingles and are linked with
 nothing; a text with fewer words than a shingle is one shingle. Repeated rows
@@ -60,6 +63,16 @@ class Similarity:
         """The overlap that sets of together ``total`` elements need."""
         return -(-self.percent * total // (100 + self.percent))
 
+    def shared_differences(self, n: int, pivot: int, apart: int, linked: bool) -> int:
+        """Of ``apart`` differences from a pivot of ``pivot`` elements, how many a set of ``n`` shares at least with a set
+        that it is linked with, where not both are linked with the pivot.
+
+        Linked sets differ by (100 - percent) / (100 + percent) of their summed sizes at most, and by apart + other - 2 * shared.
+        """
+        if linked:  # the other one is not: its differences exceed that part of its own and the pivot's size
+            return max(1, -(-((100 + self.percent) * apart + (100 - self.percent) * (pivot - n)) // (2 * (100 + self.percent))))
+        return max(1, apart - (100 - self.percent) * n // self.percent)
+
     def size_class(self, n: int) -> int:
         """Linked sets have the same class or neighbouring ones."""
         c = int(math.log(n) / math.log(100 / self.percent))
@@ -203,16 +216,16 @@ class CountTree:
 
 
 def _tree_pairs(s: Similarity):
-    """Of rows (cell, side, rep, counts) sorted by cell: pairs of representatives that survive the bound."""
+    """Of rows (cell, side, rep, counts, joined) sorted by cell: pairs of representatives, not both joined already, that survive the bound."""
 
     def flush(rows):
-        points = np.stack([np.frombuffer(c, "<u4").astype(np.int64) for *_, c in rows])
-        side = np.array([r[1] for r in rows])
+        points = np.stack([np.frombuffer(r[3], "<u4").astype(np.int64) for r in rows])
+        side, joined = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
         reps = np.array([r[2] for r in rows])
         tree, out = CountTree(points), []
         for i in range(len(rows)):
             near = tree.search(points[i], s)
-            near = near[(reps[near] > reps[i]) & ((side[near] != side[i]) | (side[i] == 2))]
+            near = near[(reps[near] > reps[i]) & ((side[near] != side[i]) | (side[i] == 2)) & ~(joined[near] & joined[i])]
             out += [(int(reps[i]), int(reps[k])) for k in near]
         return out
 
@@ -223,7 +236,7 @@ def _tree_pairs(s: Similarity):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in found:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if held and row[0] != held[0][0]:
                     out += flush(held)
                     held = []
@@ -240,23 +253,21 @@ def _tree_pairs(s: Similarity):
 
 
 def _verify(s: Similarity):
-    """Of pairs with both sets: whether they are linked, and the elements they differ by where those are wanted."""
+    """Of pairs with both sets: whether they are linked, and a prefix of the elements they differ by where those are wanted."""
 
     def run(found):
         for batch in found:
             rows = []
             for a, b, wide, x, y in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                every = np.sort(np.concatenate([x, y]), kind="stable")
-                twice = every[1:] == every[:-1]
-                both = int(twice.sum())
-                keys = []
+                in_y = np.isin(x, y, assume_unique=True)
+                both = int(in_y.sum())
+                linked, keys = s.linked(both, len(x), len(y)), []
                 if wide:
-                    alone = np.ones(len(every), bool)
-                    alone[1:][twice] = False
-                    alone[:-1][twice] = False
-                    keys = mix(every[alone] ^ mix(np.array([b], np.int64).view(np.uint64))).view(np.int64).tolist()
-                rows.append((a, b, s.linked(both, len(x), len(y)), keys))
+                    differ = np.concatenate([x[~in_y], y[~np.isin(y, x, assume_unique=True)]])
+                    differ = differ[: len(differ) - s.shared_differences(len(x), len(y), len(differ), linked) + 1]
+                    keys = mix(differ ^ mix(np.array([b], np.int64).view(np.uint64))).view(np.int64).tolist()
+                rows.append((a, b, linked, keys))
             types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["a", "b", "linked", "keys"])
 
@@ -264,29 +275,33 @@ def _verify(s: Similarity):
 
 
 def _links(met: DataFrame, sets: DataFrame, s: Similarity) -> list[DataFrame]:
-    """Links (a, b) between representatives; ``met`` has key, rep and weight, ``sets`` rep, tokens and counts."""
+    """Links (a, b) that join all linked representatives; ``met`` has key, rep and weight, ``sets`` rep, tokens and counts.
+
+    ``joined`` marks members of a key whose links with the key's pivot have put them into one component.
+    """
     found = []
+    met = met.withColumn("joined", F.lit(False))
     for turn in range(ROUNDS + 1):
-        keys = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top")).filter("n > 1")
+        keys = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top"), F.bool_and("joined").alias("one")).filter("n > 1 and not one")
         keys = keys.select("key", "n", (-F.col("top.rep")).alias("pivot"))
-        here = materialize(met.join(keys, "key").select("key", "rep", "n", "pivot"), "met")
+        here = materialize(met.join(keys, "key").select("key", "rep", "joined", "n", "pivot"), "met")
         if here.isEmpty():
             break
-        lists = here.filter(F.col("n") <= DIRECT).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
-        cells = lists.select(F.hash("reps").alias("_"), F.xxhash64("reps").alias("cell"), F.lit(2).alias("side"), F.explode("reps").alias("rep")).drop("_")
+        lists = here.filter(F.col("n") <= DIRECT).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("rep", "joined"))).alias("reps")).select("reps").distinct()
+        cells = lists.select(F.xxhash64("reps").alias("cell"), F.lit(2).alias("side"), F.explode("reps").alias("x")).select("cell", "side", "x.rep", "x.joined")
         many = here.filter(F.col("n") > DIRECT)
         if turn == ROUNDS:  # members in blocks, each pair of blocks in a cell of its own
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
             other = F.explode(F.sequence(F.lit(0), blocks - 1))
-            cut = many.select("key", "rep", mine.alias("mine"), other.alias("other"))
+            cut = many.select("key", "rep", "joined", mine.alias("mine"), other.alias("other"))
             cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
             side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-            cells = cells.unionByName(cut.select(cell.alias("cell"), side.alias("side"), "rep"))
+            cells = cells.unionByName(cut.select(cell.alias("cell"), side.alias("side"), "rep", "joined"))
             many = many.limit(0)
         near = (
             cells.join(sets.select("rep", "counts"), "rep")
-            .select("cell", "side", "rep", "counts")
+            .select("cell", "side", "rep", "counts", "joined")
             .repartition("cell")
             .sortWithinPartitions("cell")
             .mapInArrow(_tree_pairs(s), "a long, b long")
@@ -303,7 +318,7 @@ def _links(met: DataFrame, sets: DataFrame, s: Similarity) -> list[DataFrame]:
             "links",
         )
         found.append(checked.filter("linked").select("a", "b"))
-        met = checked.select(F.explode("keys").alias("key"), F.col("a").alias("rep"), (-F.size("keys")).alias("weight")).distinct()
+        met = checked.select(F.explode("keys").alias("key"), F.col("a").alias("rep"), (-F.size("keys")).alias("weight"), F.col("linked").alias("joined")).distinct()
     return found
 
 

@@ -59,6 +59,37 @@ def test_jaccard(docs, none, words, percent):
     assert jaccard_join.classes(none, s).count() == 0
 
 
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for d in range(150):
+        words = [f"v{i}" for i in range(90)]
+        for at in rng.integers(0, 90, d % 5):
+            words[at] = f"x{rng.integers(0, 6)}"
+        rows.append((d, " ".join(words)))
+    s = jaccard_join.Similarity(3, 90)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), s).collect()}
+    want = jaccard_join.brute_force(rows, s)
+    assert got == want and len({c for _, c in want.values()}) > 2
+
+
+@pytest.mark.parametrize("s", [jaccard_join.Similarity(3, 90), jaccard_join.Similarity()])
+def test_linked_sets_share_the_differences_that_the_bound_names(s):
+    rng = np.random.default_rng(5)
+    linked = lambda x, y: s.linked(len(x & y), len(x), len(y))
+    edited = lambda x, k: x ^ set(rng.integers(0, 60, k).tolist())
+    seen = 0
+    for _ in range(5000):
+        pivot = set(range(int(rng.integers(20, 50))))
+        base = edited(pivot, int(rng.integers(0, 12)))
+        a, b = (edited(base, int(rng.integers(0, 4))) for _ in range(2))
+        if linked(a, b) and not (linked(a, pivot) and linked(b, pivot)):
+            seen += 1
+            both = len((a ^ pivot) & (b ^ pivot))
+            assert all(both >= s.shared_differences(len(x), len(pivot), len(x ^ pivot), linked(x, pivot)) for x in (a, b))
+    assert seen > 200
+
+
 def test_pii(docs, none, spark):
     got = pii.found(docs)
     by_id = {r.doc_id: [x for x in r.candidates if x.strict] for r in got.collect()}
