@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators.catalogs import NODE_BUILTINS, PYTHON_COMMON_PACKAGES, PYTHON_STDLIB, RUBY_STDLIB
 from codequarry.operators.line_rules import ISSUE
 from codequarry.sources.source_files import extension, is_test_file, lines
 
@@ -23,11 +24,19 @@ OPENED = {
 }
 CLOSED = r"(\$?\w+)\.(?:close|Close|end|destroy|quit|disconnect|flush|pipe)\b|(?:fclose|curl_close|drop)\s*\(\s*(\$?\w+)"
 PASSED_ON = r"^\s*(?:return|yield)\s+(\$?\w+)\s*;?\s*$"
-IMPORTED = {"python": r"^\s*(?:import|from)\s+([A-Za-z_]\w*)", "javascript": r"""(?:from|require\()\s*['"]((?:@[\w.-]+/)?[\w.-]+)""", "typescript": r"""(?:from|require\()\s*['"]((?:@[\w.-]+/)?[\w.-]+)""", "ruby": r"""^\s*require\s+['"]([\w-]+)"""}
-# Modules that are part of the runtime, and popular packages.
-NODE_MODULES = "assert async_hooks buffer child_process cluster console crypto dgram dns events fs http http2 https inspector module net os path perf_hooks process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib".split()
-RUBY_MODULES = "json yaml set time date csv erb uri net fileutils logger optparse ostruct pathname securerandom socket stringio tempfile".split()
-POPULAR = {"python": "numpy pandas requests flask django pytest scipy torch sklearn yaml fastapi pydantic sqlalchemy".split(), "javascript": "react vue express lodash axios next".split(), "ruby": "rails rspec sinatra".split()}
+#: language: what each import of a line names; Python's ``import`` holds a list, see ``imports``.
+IMPORTED = {
+    "javascript": r"""(?:\bfrom\s*|\brequire\s*\(\s*)['"`]([^'"`\s]+)['"`]""",
+    "typescript": r"""(?:\bfrom\s*|\brequire\s*\(\s*)['"`]([^'"`\s]+)['"`]""",
+    "ruby": r"""\brequire\s+['"]([^'"]+)['"]""",
+}
+PYTHON_FROM = r"^\s*from\s+([A-Za-z_][\w.]*)\s+import\b"
+PYTHON_IMPORT = r"^\s*import\s+([A-Za-z_][^#;]*)"
+PYTHON_ITEM = r"^\s*([A-Za-z_]\w*(?:\.\w+)*)(?:\s+as\s+\w+)?[\s\\]*$"
+#: Modules of examples, in Python and scripts.
+PLACEHOLDER = r"(?i)^(?:\.{3}|[xyz]{2,}|todo|fixme|placeholder|example|foobar?|dummy)$"
+# Popular packages beyond the catalogs.
+POPULAR = {"javascript": "react vue express lodash axios next".split(), "typescript": "react vue express lodash axios next".split(), "ruby": "rails rspec sinatra".split()}
 
 
 def _by_language(pattern: dict[str, str]):
@@ -53,23 +62,36 @@ def resource_leaks(files: DataFrame) -> DataFrame:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """path, language, line, text, name: the top-level package of each import; relative ones have none."""
-    rows = lines(files.filter(~is_test_file(F.col("path"))))
-    return rows.withColumn("name", _by_language(IMPORTED)).filter("name <> ''")
+    """path, language, line, text, module and name, its top-level package: one row per import; relative ones have none."""
+    rows = lines(files.filter(~is_test_file(F.col("path"))).filter(F.col("language").isin("python", *IMPORTED)))
+    # the first of a list may be followed by anything, the others only by what makes them an item
+    listed = F.transform(F.split(F.regexp_extract("text", PYTHON_IMPORT, 1), ","), lambda x, i: F.when(i == 0, F.regexp_extract(x, r"^([\w.]*)", 1)).otherwise(F.regexp_extract(x, PYTHON_ITEM, 1)))
+    named = F.when(F.col("language") == "python", F.concat(listed, F.array(F.regexp_extract("text", PYTHON_FROM, 1))))
+    for language, p in IMPORTED.items():
+        named = named.when(F.col("language") == language, F.regexp_extract_all("text", F.lit(p), F.lit(1)))
+    rows = rows.select("*", F.explode(named).alias("module")).filter("module <> '' and not module rlike '^[./]'")
+    rows = rows.withColumn("module", F.when(F.col("language").isin("javascript", "typescript"), F.regexp_replace("module", "^node:", "")).otherwise(F.col("module")))
+    top = F.when(F.col("language") == "python", F.regexp_extract("module", r"^(\w+)", 1)).otherwise(F.regexp_extract("module", r"^(@[^/]+/[^/]+|[^/]+)", 1))
+    return rows.withColumn("name", top)
 
 
 def trusted(spark) -> DataFrame:
-    """Modules of the runtimes and popular packages: a fixed, small catalog."""
-    rows = [("python", n) for n in [*sys.stdlib_module_names, *POPULAR["python"]]] + [("ruby", n) for n in [*RUBY_MODULES, *POPULAR["ruby"]]]
-    rows += [(language, n) for language in ("javascript", "typescript") for n in [*NODE_MODULES, *POPULAR["javascript"]]]
-    return spark.createDataFrame(rows, "language string, name string")
+    """Modules (language, module) of the runtimes and popular Python packages: the catalogs and this Python's own modules."""
+    rows = [("python", n) for n in PYTHON_STDLIB | PYTHON_COMMON_PACKAGES | sys.stdlib_module_names] + [("ruby", n) for n in RUBY_STDLIB]
+    rows += [(language, n.removeprefix("node:")) for language in ("javascript", "typescript") for n in NODE_BUILTINS]
+    return spark.createDataFrame(sorted(set(rows)), "language string, module string")
 
 
 def unknown_packages(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """Imports of packages that no catalog, project module or declaration (language, name) knows."""
-    used = imports(files)
+    spark = files.sparkSession
+    popular = spark.createDataFrame([(language, n) for language, names in POPULAR.items() for n in names], "language string, name string")
+    used = imports(files).filter(~(F.col("module").rlike(PLACEHOLDER) & (F.col("language") != "ruby")))
+    # Python's catalog holds packages, the others whole modules: fs is known, fs/madeup is not
+    used = used.withColumn("module", F.when(F.col("language") == "python", F.col("name")).otherwise(F.col("module")))
+    used = used.join(F.broadcast(trusted(spark)), ["language", "module"], "left_anti").join(F.broadcast(popular), ["language", "name"], "left_anti")
     own = files.select("language", F.explode(F.split(F.regexp_replace("path", r"\.[^./]+$", ""), "/")).alias("name")).distinct()
-    left = used.join(F.broadcast(trusted(files.sparkSession)), ["language", "name"], "left_anti").join(own, ["language", "name"], "left_anti")
+    left = used.join(own, ["language", "name"], "left_anti")
     if declared is not None:
         left = left.join(declared.select("language", "name").distinct(), ["language", "name"], "left_anti")
     return _issue(left, "package-hallucination", "hallucination", "high", "high", "package is not known")

@@ -24,6 +24,18 @@ CASES = [
     ("python", "with open(p) as f:\n  f.read()", "resource-leak", False),
     ("python", "import json\nimport nowhere_to_be", "package-hallucination", True),
     ("python", "import json", "package-hallucination", False),
+    ("python", "import matplotlib\nfrom seaborn import heatmap\nimport crypt", "package-hallucination", False),
+    ("python", "from .m import x\nfrom . import y\nimport xyz", "package-hallucination", False),
+    ("python", "import os, nowhere_to_be", "package-hallucination", True),
+    ("python", "import numpy as np, os.path as p  # and nowhere", "package-hallucination", False),
+    ("typescript", "import { x } from './m'\nimport y from '../lib'\nconst z = require('/abs')", "package-hallucination", False),
+    ("typescript", "import fs from 'node:fs'\nimport { readFile } from 'fs/promises'\nimport t from 'node:test'", "package-hallucination", False),
+    ("javascript", "const a = require('fs'), b = require('nowhere-to-be')", "package-hallucination", True),
+    ("javascript", "import x from 'node:nowhere'", "package-hallucination", True),
+    ("javascript", "import x from 'fs/nowhere'", "package-hallucination", True),
+    ("javascript", "import x from '@scope/nowhere/deep'", "package-hallucination", True),
+    ("ruby", "require 'net/http'\nrequire 'digest/sha2'\nrequire './own'", "package-hallucination", False),
+    ("ruby", "require 'net/nowhere'", "package-hallucination", True),
     ("python", "import os\nos.getcwd()", "unused-declaration", False),
     ("python", "import os", "unused-declaration", True),
     ("rust", "let a = b.unwrap();", "swallowed-error", True),
