@@ -127,6 +127,7 @@ def queries() -> dict:
         "min_confidence": lambda s, d: issue_filters.min_confidence(_scan(s, d), "high"),
         "strict": lambda s, d: _scan(s, d, strict=True),
         "skip_rules": lambda s, d: _scan(s, d, skip=("hardcoded-value", "resource-leak")),
+        "rule_every_unused_declaration": lambda s, d: _scan(s, d, only=("unused-declaration",), every_declaration=True),
         "registry_confirm": lambda s, d: issue_filters.confirmed_by_registry(_scan(s, d), _known(s, d)),
         "statistics": lambda s, d: issue_filters.statistics(_scan(s, d)),
         "report_by_file": lambda s, d: issue_filters.by_file(_scan(s, d)),
@@ -159,6 +160,8 @@ def oracle_sql() -> dict[str, str]:
         "statistics": of(f"{count('severity')} UNION ALL {count('confidence')} UNION ALL {count('category')} UNION ALL SELECT 'total', '', count(*) FROM issues"),
         "report_by_file": of(f"SELECT path, count(*) AS n, CAST(min({_RANK}) AS INT) AS worst, min(line) AS first_line FROM issues GROUP BY path"),
     }
+    where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
+    out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
     out["structure"] = out["structure"].replace("SELECT *", "SELECT path, severity, message")
     out |= {f"rule_{name.replace('-', '_')}": f"{_FUNCTION_LINES} {' UNION ALL '.join(parts)}" for name, parts in _SQL_FUNCTION_RULES.items()}
     return out | {f"rule_{name.replace('-', '_')}": f"{_LINES} {' UNION ALL '.join(parts)}" for name, parts in _SQL_RULES.items()}

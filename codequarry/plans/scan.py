@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import block_rules, file_rules, issue_filters, line_rules
+from codequarry.operators import block_rules, declarations, file_rules, issue_filters, line_rules
 
 
 @dataclass(frozen=True)
@@ -16,6 +16,8 @@ class Options:
     strict: bool = False
     least_confidence: str = "low"
     ignore_paths: tuple[str, ...] = ()
+    #: Whether unused-declaration judges every kind of declaration, or only Python's plain imports.
+    every_declaration: bool = False
 
 
 FILE_RULES = {
@@ -33,7 +35,8 @@ FILE_RULES = {
 def issues(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Only the branches of enabled rules are planned."""
     enabled = lambda r: r in options.only if options.only else r not in options.skip
-    parts = [f(files) for r, f in FILE_RULES.items() if enabled(r)]
+    rules = FILE_RULES | ({"unused-declaration": declarations.unused_declarations} if options.every_declaration else {})
+    parts = [f(files) for r, f in rules.items() if enabled(r)]
     if any(enabled(r.rule) for r in line_rules.RULES):
         parts.append(line_rules.line_issues(files, options.only, options.skip))
     if not parts:

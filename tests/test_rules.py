@@ -69,6 +69,28 @@ def test_rule(spark, language, source, rule, hit):
     assert {r.path for r in found} <= {"src/a"}
 
 
+UNUSED = [
+    ("python", "import os, re as r\nfrom a import (b,\n  c as d)\nfrom e import f, g  # both\nr(f)\n", {("import os, re as r", 1), ("from a import (b,", 2), ("from e import f, g  # both", 4)}),
+    ("python", "from __future__ import annotations\nimport numpy as np\n_x = 1\nLIMIT = 2\nnp.y == 3\n", set()),
+    ("python", "kept = 1\nlost = 2  # kept lost\nprint(f'{kept}')\ns = 'lost'\ns == 1\n", {("lost = 2  # kept lost", 2)}),
+    ("python", "__all__ = ['open_one']\ndef open_one(): pass\ndef lone(): pass\ndef shared(): pass\nclass A:\n    def inner(self): pass\n", {("def lone(): pass", 3)}),
+    ("python", '"""\nwords = 1\n"""\n', set()),
+    ("typescript", "import React, { a as b, type T } from 'x'\nimport * as ns from 'y'\nimport type { U } from 'z'\nb()\n", {("import React, { a as b, type T } from 'x'", 1), ("import * as ns from 'y'", 2)}),
+    ("javascript", "import {\n  one,\n  two\n} from 'x'\nexport const e = 1\nconst { d } = two\nlet v = 1\nconst w = 2\nlog(`${w}`)\n", {("import {", 1), ("let v = 1", 7)}),
+    ("go", 'import (\n\t"fmt"\n\tx "a/b"\n\t_ "c"\n\t. "d"\n\t"e/yaml.v3"\n\t"os"\n)\nfunc f() {\n\tfmt.Print(yaml.A)\n\tn := 1\n\tvar m int\n}\n', {('x "a/b"', 3), ('"os"', 7), ("n := 1", 11), ("var m int", 12)}),
+    ("go", 'import "fmt"\nimport y "os"\nfunc f() { fmt.Print(1) }\n', {('import y "os"', 2)}),
+    ("java", "import a.b.List;\nimport a.b.Map;\nMap m;\nvoid f() {\n  final int k = 1;\n  String s = m.get();\n  use(s);\n}\n", {("import a.b.List;", 1), ("final int k = 1;", 5)}),
+    ("rust", "use a::b::Kept;\nuse a::c as other;\nfn f<'a>(x: &'a Kept) {\n  let mut y: u8 = 1;\n  let z = 2;\n  println!(\"{z}\");\n}\n", {("use a::c as other;", 2), ("let mut y: u8 = 1;", 4)}),
+]
+
+
+def test_every_unused_declaration(spark):
+    rows = [(f"src/{i}", language, source) for i, (language, source, _) in enumerate(UNUSED)]
+    files = spark.createDataFrame([*rows, ("src/none", "python", None), ("src/tests/a", "python", "from a import shared")], SCHEMA)
+    found = issues(files, Options(only=("unused-declaration",), every_declaration=True)).collect()
+    assert {(r.path, r.snippet.strip(), r.line) for r in found} == {(f"src/{i}", *hit) for i, (*_, want) in enumerate(UNUSED) for hit in want}
+
+
 def test_empty_table_and_extra_columns(spark):
     files = spark.createDataFrame([], SCHEMA + ", rule string, line int")
     assert issues(files).count() == 0
