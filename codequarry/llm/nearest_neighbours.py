@@ -6,7 +6,10 @@ together by least squares, on a bounded sample (``Settings.sample_rows``, the
 first in the order of a hash of vec_id). All vectors are encoded by beam
 search; their codes' squared norms are stored beside the codes. A query scores
 all codes of a block through its lookup table (for distances, with the stored
-norms), and the best of a block are ranked again on the original vectors.
+norms), and the best of a block are ranked again on the original vectors. A
+vector's distance from its code, stored too, bounds what its score may be;
+those that may still be among the k best are ranked again as well, so that
+none of a block is lost where many codes nearly tie.
 
 Queries and vectors meet in blocks: every query block meets every block of
 vectors in one task of bounded size, so no side is broadcast.
@@ -118,9 +121,10 @@ def _encode_rows(books, s: Settings):
                 continue
             codes = np.concatenate([encode(x[i : i + 2048], books.value, s.beam) for i in range(0, len(x), 2048)])
             close = decode(codes, books.value)
+            gap = np.sqrt(((x.astype(np.float64) - close) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((close * close).sum(1), pa.float32())],
-                ["vec_id", "v", "codes", "norm"],
+                [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((close * close).sum(1), pa.float32()), pa.array(gap, pa.float64())],
+                ["vec_id", "v", "codes", "norm", "gap"],
             )
 
     return run
@@ -136,7 +140,7 @@ def _search(books, s: Settings, k: int):
             ids = ids[order]
             x = matrix(base["v"])[order]
             codes = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            norm = base["norm"].to_numpy()[order]
+            norm, gap = base["norm"].to_numpy()[order], base["gap"].to_numpy()[order]
             q_ids, q = queries["vec_id"].to_numpy(), matrix(queries["v"])
             tables = np.einsum("qd,mkd->mqk", q, books.value, optimize=True)
             for i in range(len(q)):
@@ -150,6 +154,12 @@ def _search(books, s: Settings, k: int):
                 at = at[np.lexsort((ids[at], -scores[at]))][:keep]
                 at = at[ids[at] != q_ids[i]]
                 exact = _measure(q[i].astype(np.float64), x[at].astype(np.float64), s.metric)
+                if keep < len(ids):
+                    most = _at_most(scores, float(np.sqrt((q[i].astype(np.float64) ** 2).sum())), norm, gap, s.metric)
+                    most[at] = -np.inf
+                    more = np.flatnonzero((most >= (np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf)) & (ids != q_ids[i]) & (most > -np.inf))
+                    at = np.r_[at, more]
+                    exact = np.r_[exact, _measure(q[i].astype(np.float64), x[more].astype(np.float64), s.metric)]
                 best = np.lexsort((ids[at], -exact))[:k]
                 out.append((np.full(len(best), q_ids[i]), ids[at][best], exact[best]))
         return pa.table([pa.array(np.concatenate([o[j] for o in out]), t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
@@ -157,6 +167,16 @@ def _search(books, s: Settings, k: int):
     return nearest
 
 
+def _at_most(scores: np.ndarray, length: float, norm: np.ndarray, gap: np.ndarray, metric: str) -> np.ndarray:
+    """No vector's score is above this: its code's, and the part of its distance from the code that lies along the query; with room for rounding."""
+    scores, close = scores.astype(np.float64), np.sqrt(norm.astype(np.float64))
+    slack = 1e-5 * (length + close + gap) ** 2
+    if metric == "inner":
+        return scores + length * gap + slack
+    far = np.sqrt(np.maximum(length * length - scores - slack, 0))
+    return -(np.maximum(far - gap, 0) ** 2) + slack
+
+
 def _measure(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     """In double precision, by rows, so that equal vectors have equal scores."""
     return (x * q).sum(axis=1) if metric == "inner" else -((x - q) ** 2).sum(axis=1)
@@ -171,14 +191,14 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, s: Settings = Setti
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = spark.sparkContext.broadcast(train(matrix(sample["v"]).astype(np.float32), s))
-    coded = materialize(rows.mapInArrow(_encode_rows(books, s), "vec_id long, v array<float>, codes binary, norm float"), "codes")
+    coded = materialize(rows.mapInArrow(_encode_rows(books, s), "vec_id long, v array<float>, codes binary, norm float, gap double"), "codes")
     asked = coded.filter(queries)
     sizes = coded.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
     n_blocks, q_blocks = max(1, -(-sizes.n // s.vector_block)), max(1, -(-sizes.q // s.query_block))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("vec_id", "v", block(q_blocks).alias("q"), every(n_blocks).alias("b"))
-    right = coded.select("vec_id", "v", "codes", "norm", block(n_blocks).alias("b"), every(q_blocks).alias("q"))
+    right = coded.select("vec_id", "v", "codes", "norm", "gap", block(n_blocks).alias("b"), every(q_blocks).alias("q"))
     found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_search(books, s, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,11 @@
 """Operators against brute force, libraries and edge cases."""
 
 import hashlib
+import types
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,25 @@ def test_nearest_recall(spark):
     assert np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("metric", ["inner", "l2"])
+def test_nearest_in_a_dense_group(metric):
+    """Many near but unequal vectors, of which few are ranked again by their codes alone."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[:1500] = x[0] + rng.normal(size=(1500, 16)) * 0.03
+    s = nearest_neighbours.Settings(books=4, codes=32, sample_rows=3000, rerank=40, metric=metric)
+    books = types.SimpleNamespace(value=nearest_neighbours.train(x, s))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x.tolist(), pa.list_(pa.float32()))], ["vec_id", "v"])
+    base = pa.Table.from_batches(list(nearest_neighbours._encode_rows(books, s)([rows])))
+    asked = base.take(pa.array(range(0, 3000, 60)))
+    got = {}
+    for r in nearest_neighbours._search(books, s, 20)(asked, base).to_pylist():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for i in range(0, 3000, 60):
+        exact = nearest_neighbours._measure(x[i].astype(np.float64), x.astype(np.float64), metric)
+        assert got[i] == [j for j in np.lexsort((np.arange(len(x)), -exact)).tolist() if j != i][:20]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = corpus_pipeline.quality(spark, docs, SF)
