@@ -185,3 +185,86 @@ def test_pipeline_stages(spark):
     assert sorted(r.doc_id for r in one.collect()) == sorted(d for d, (_, c) in classes.items() if d == c)
     last = corpus_pipeline.token_ids(spark, docs, SF).filter("doc_id = 0").first()
     assert last.ids_sha256 == hashlib.sha256(bytes(last.ids)).hexdigest()
+
+
+def _targets(sizes: dict, share: float = 1.5, most: float = 2.0) -> dict:
+    """Targets by source (None last): the level that spends the budget, found by bisection."""
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    weight = {n: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, n in enumerate(names)}
+    at = lambda level: {n: min(weight[n] * level, most * sizes[n]) for n in names}
+    low, high = 0.0, most * sum(sizes.values()) + 1
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(at(middle).values()) < share * sum(sizes.values()) else (low, middle)
+    return at(high)
+
+
+def _holds_mix(rows, taken):
+    """``rows``: (doc_id, source, text, place), each doc_id once; ``taken``: {doc_id: times}."""
+    size = {d: len((t or "").split()) for d, _, t, _ in rows}
+    by_source = {}
+    for d, source, _, place in rows:
+        by_source.setdefault(source, []).append((place, d))
+    want = _targets({n: sum(size[d] for _, d in v) for n, v in by_source.items()})
+    for source, found in by_source.items():
+        total = sum(size[d] for _, d in found)
+        copies = int(want[source] // total + 1e-9) if total else 0
+        more = [taken.get(d, 0) - copies for _, d in sorted(found) if size[d]]
+        assert more == sorted(more, reverse=True) and set(more) <= {0, 1}  # one more of those with the least hashes
+        words = sum(size[d] * taken.get(d, 0) for _, d in found)
+        assert abs(words - want[source]) <= max(size[d] for _, d in found) / 2 + 1e-6
+    assert all(not taken.get(d, 0) for d in size if not size[d])
+
+
+def test_mixing_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("place", mixing.place(F.col("doc_id"), F.col("text")))
+    rows = [(r.doc_id, r.source, r.text, r.place) for r in docs.select("doc_id", "source", "text", "place").collect()]
+    size = {d: len((t or "").split()) for d, _, t, _ in rows}
+    per = {}
+    for d, source, *_ in rows:
+        per[source] = per.get(source, 0) + size[d]
+    want, source_of = _targets(per), {d: source for d, source, *_ in rows}
+    got = registered.queries()["op10_mixing"](spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.size, r.source_size) == (size[r.doc_id], per[source_of[r.doc_id]])
+        assert r.target == pytest.approx(want[source_of[r.doc_id]])
+    _holds_mix(rows, {r.doc_id: r.taken // r.size if r.size else 0 for r in got})
+
+
+def test_pii_against_brute_force(spark):
+    want = pii.brute_force([(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
+    got = registered.queries()["op5_pii"](spark, SF).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()
+    assert {r.doc_id: tuple(r[1:]) for r in got} == want
+
+
+def test_pipeline_run(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    kept, real = {}, corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, label: kept.setdefault(label.removeprefix("pipeline-"), real(df, label)))
+    last = corpus_pipeline.run(spark, SF).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = {r.doc_id: r.text for r in kept["quality_classifier"].collect()}
+    assert all(docs[d] == t for d, t in good.items())
+    assert sum(d not in good for d in docs if quality.get(d) == 1) <= 1 and sum(d in good for d in docs if quality.get(d) == 0) <= 1
+    classes = jaccard_join.brute_force(list(good.items()), corpus_pipeline.NEAR)
+    single = {r.doc_id: r.text for r in kept["jaccard_join"].collect()}
+    assert single == {d: good[d] for d, (_, c) in classes.items() if c == d}
+    clean = {r.doc_id: r.text for r in kept["pii"].collect()}
+    hits = pii.brute_force(list(single.items()))
+    assert clean.keys() == single.keys() and sum(v[0] for v in pii.brute_force(list(clean.items())).values()) == 0
+    assert all(("[EMAIL]" in clean[d]) >= (hits[d][0] > 0) for d in clean)
+    mixed = kept["mixing"].collect()
+    rows = kept["pii"].select("doc_id", "source", "text", mixing.place(F.col("doc_id"), F.col("text")).alias("place")).collect()
+    times = {}
+    for r in mixed:
+        assert r.text == clean[r.doc_id]
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    _holds_mix([tuple(r) for r in rows], times)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_padding(), t.no_truncation()
+    assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in mixed)
+    for r in last:
+        assert np.frombuffer(r.ids, "<u4").tolist() == t.encode(clean[r.doc_id] or "", add_special_tokens=False).ids
