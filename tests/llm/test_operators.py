@@ -52,6 +52,16 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeated(none).count() == 0
 
 
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    """Every anchor by the way of those with too many runs to sort."""
+    monkeypatch.setattr(suffix_dedup, "SORTED_RUNS", 0)
+    line = "".join(f"<{i}>" for i in range(120))
+    rows = [*_plain(), *((100 + i, f"head {i} " + line + f" tail {i * i}") for i in range(40)), *((200 + i, line[: 150 + i] + f"!{i}") for i in range(100))]
+    want = suffix_dedup.brute_force(rows)
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in got} == {d: tuple(v[:4]) for d, v in want.items()}
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80)])
 def test_jaccard(docs, none, words, percent):
     s = jaccard_join.Similarity(words, percent)
