@@ -5,24 +5,27 @@ group is equal: with more groups than two linked sets can have differences,
 some group must be (the number of groups follows the sets' sizes). A merged
 count-min sketch first tells which groups can be equal anywhere, so only those
 leave the tasks; a sketch of the tokens tells before that which sets hold too
-many tokens of their own to be linked at all. Documents that met are indexed by their group counts in a
-count-vector R-tree; the sum of coordinate minima bounds the overlap from
-above, for boxes and for points, and the surviving pairs are verified on the
+many tokens of their own to be linked at all. Documents that met are points of
+group counts in an R-tree; the sum of coordinate minima bounds the overlap from
+above, for boxes and for points, and the pairs that survive are verified on the
 sets themselves.
 
-Equal sets collapse to one representative before anything is paired. Where
-very many representatives meet, they are compared with one pivot p only. Two
-of them that are linked, but not both with p, must share an element of their
-differences from p: if they did not, their distance would be the sum of their
-distances from p, and both would be near p. So they meet again under (p, that
-element), and the work stays linear for any group of near copies. Members linked with p are in one component already, so only keys
-that hold another member are followed, and of their pairs only those with one.
-Such a pair must share many elements of its differences from p, so each member
-meets under a prefix of them alone, those that p lacks (the rarer ones) first.
+Equal sets collapse to one representative before anything is paired. Of
+representatives that may all be linked with one another, each is paired with
+one pivot p only (the one of highest rank). Two of them that are linked, but not both with p,
+must share many elements of their differences from p: if they did not, their
+distance would be the sum of their distances from p, and both would be near p.
+Elements that no second document holds cannot be shared, so each member meets
+the others again under a short prefix of the rest, those that p lacks (the
+rarer ones) first. Members linked with p are in one component already: only
+keys that hold another member are followed, and of their pairs only those with
+one. Pivots' ranks fall from round to round, so the rounds end by themselves;
+what is paired stays linear for any group of near copies.
 
 Null texts and texts without words have no shingles and are linked with
 nothing; a text with fewer words than a shingle is one shingle. Repeated rows
-are equal sets. Rows with a null doc_id are left out. Extra columns are ignored.
+are equal sets. Rows that share a doc_id are one document with all their links.
+Rows with a null doc_id are left out. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +45,11 @@ from codequarry.runtime import materialize, ship
 
 #: Coordinates of a count vector.
 DIMENSIONS = 128
-#: Representatives that meet at one key and are joined directly at most.
-DIRECT = 16
-#: Rounds of pivots before what still meets in large numbers is joined in blocks.
-ROUNDS, BLOCK = 4, 1024
+#: Representatives of one key that one tree takes, where keys are groups of tokens (which many sets share in many ways) and where they are
+#: differences from a pivot; more are paired with the key's pivot.
+DIRECT, DIRECT_APART = 64, 4096
+#: Members that may all be linked and are paired with one another nevertheless, not with a pivot only.
+FEW = 8
 SEEDS = 4
 
 
@@ -63,15 +67,14 @@ class Similarity:
         """The overlap that sets of together ``total`` elements need."""
         return -(-self.percent * total // (100 + self.percent))
 
-    def shared_differences(self, n: int, pivot: int, apart: int, linked: bool) -> int:
-        """Of ``apart`` differences from a pivot of ``pivot`` elements, how many a set of ``n`` shares at least with a set
-        that it is linked with, where not both are linked with the pivot.
+    def shared_differences(self, n: int, pivot: int, apart: int) -> tuple[int, int]:
+        """Of the differences from a pivot of ``pivot`` elements: how many a set of ``n``, ``apart`` from it, shares at least with a linked set.
 
-        Linked sets differ by (100 - percent) / (100 + percent) of their summed sizes at most, and by apart + other - 2 * shared.
+        First if that set is not linked with the pivot, then whatever it is. Linked sets differ by (100 - percent) / (100 + percent)
+        of their summed sizes at most, sets that are not linked by more, and two sets by apart + other - 2 * shared.
         """
-        if linked:  # the other one is not: its differences exceed that part of its own and the pivot's size
-            return max(1, -(-((100 + self.percent) * apart + (100 - self.percent) * (pivot - n)) // (2 * (100 + self.percent))))
-        return max(1, apart - (100 - self.percent) * n // self.percent)
+        c = 100 + self.percent
+        return max(1, (c * apart + (100 - self.percent) * (pivot - n)) // (2 * c) + 1), max(1, apart - (100 - self.percent) * n // self.percent)
 
     def size_class(self, n: int) -> int:
         """Linked sets have the same class or neighbouring ones."""
@@ -149,13 +152,13 @@ def _describe(repeated, shared, s: Similarity):
         for batch in found:
             for first, texts in batches(batch.column(1)):
                 rows = []
-                for t in shingles(texts, s.words):
+                for text, t in zip(texts, shingles(texts, s.words)):
                     if not len(t):
-                        rows.append((0, 0, 0, np.zeros(0, np.uint64)))
+                        rows.append((0, 0, 0, np.zeros(0, np.uint64), None))
                         continue
                     names = signatures(t, s) if possible(t, common, s) else np.zeros(0, np.uint64)
-                    a, b = (int(np.add.reduce(mix(t ^ np.uint64(x))).view(np.int64)) for x in (0x1234567, 0xABCDEF01234567))
-                    rows.append((len(t), a, b, names[flags(names)]))
+                    names = names[flags(names)]
+                    rows.append((len(t), *set_name(t), names, text if len(names) else None))
                 sizes = [len(r[3]) for r in rows]
                 names = np.concatenate([r[3] for r in rows]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -163,21 +166,46 @@ def _describe(repeated, shared, s: Similarity):
                         batch.column(0).slice(first, len(texts)),
                         *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(names)),
+                        pa.array([r[4] for r in rows], pa.binary()),
                     ],
-                    ["doc_id", "n", "set_a", "set_b", "names"],
+                    ["doc_id", "n", "set_a", "set_b", "names", "text"],
                 )
 
     return run
 
 
+def set_name(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for the set."""
+    a, b = (int(np.add.reduce(mix(tokens ^ np.uint64(x))).view(np.int64)) for x in (0x1234567, 0xABCDEF01234567))
+    return a, b
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, "u1" if len(counts) == DIMENSIONS else "<u4")
+
+
 def _tokens(s: Similarity):
+    """Of rows (rep, doc, weight, text): those whose text is the set that ``rep`` names, with tokens and counts."""
+
     def run(found):
         for batch in found:
-            for first, texts in batches(batch.column(1)):
+            at = 0
+            for _, texts in batches(batch.column(3)):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
                 sets = shingles(texts, s.words)
+                mine = [i for i, (rep, t) in enumerate(zip(part.column(0).to_pylist(), sets)) if len(t) and set_name(t)[0] == rep]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array([t.tobytes() for t in sets], pa.binary()), pa.array([count_vector(t).astype("<u4").tobytes() for t in sets], pa.binary())],
-                    ["rep", "tokens", "counts"],
+                    [
+                        *(part.column(k).take(pa.array(mine, pa.int64())) for k in range(3)),
+                        pa.array([sets[i].tobytes() for i in mine], pa.binary()),
+                        pa.array([packed(count_vector(sets[i])) for i in mine], pa.binary()),
+                    ],
+                    ["rep", "doc", "weight", "tokens", "counts"],
                 )
 
     return run
@@ -189,52 +217,82 @@ class CountTree:
     LEAF = 32
 
     def __init__(self, points: np.ndarray):
-        self.points, self.totals = points, points.sum(axis=1)
-        self.root = self._node(np.arange(len(points)))
+        self.points, self.totals = points, points.sum(axis=1, dtype=np.int64)
+        self.depth = 0
+        self.root = self._node(np.arange(len(points)), 1)
 
-    def _node(self, rows):
+    def _node(self, rows, depth):
+        self.depth = max(self.depth, depth)
         box, least = self.points[rows].max(axis=0), self.totals[rows].min()
         if len(rows) <= self.LEAF:
-            return box, least, rows, None
-        wide = np.argmax(np.ptp(self.points[rows], axis=0))
-        rows = rows[np.argsort(self.points[rows, wide], kind="stable")]
+            return box, least, rows, ()
+        spread = np.ptp(self.points[rows], axis=0)
+        rows = rows[np.argsort(self.points[rows, np.argmax(spread)], kind="stable")]
         half = len(rows) // 2
-        return box, least, None, (self._node(rows[:half]), self._node(rows[half:]))
+        return box, least, rows, (self._node(rows[:half], depth + 1), self._node(rows[half:], depth + 1))
 
-    def search(self, point: np.ndarray, s: Similarity) -> np.ndarray:
-        """Rows whose summed coordinate minima reach the overlap that a link needs."""
-        total, out, todo = point.sum(), [], [self.root]
+    def pairs(self, s: Similarity) -> np.ndarray:
+        """Which pairs of points have coordinate minima that reach, in sum, the overlap a link needs: boxes against boxes, then points."""
+        out = np.zeros((len(self.points), len(self.points)), bool)
+        todo = [(self.root, self.root)]
         while todo:
-            box, least, rows, children = todo.pop()
-            if np.minimum(point, box).sum() < s.needed(total + least):
+            x, y = todo.pop()
+            if np.minimum(x[0], y[0]).sum(dtype=np.int64) < s.needed(x[1] + y[1]):
                 continue
-            if children:
-                todo += children
+            if x[3] or y[3]:
+                wide, narrow = (x, y) if len(x[2]) >= len(y[2]) and x[3] else (y, x)
+                if x is y:
+                    todo += [(x[3][0], x[3][0]), (x[3][0], x[3][1]), (x[3][1], x[3][1])]
+                else:
+                    todo += [(c, narrow) for c in wide[3]]
             else:
-                out.append(rows[np.minimum(point, self.points[rows]).sum(axis=1) >= s.needed(total + self.totals[rows])])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+                both = np.minimum(self.points[x[2]][:, None, :], self.points[y[2]][None, :, :]).sum(axis=2, dtype=np.int64)
+                fine = both >= s.needed(self.totals[x[2]][:, None] + self.totals[y[2]][None, :])
+                out[np.ix_(x[2], y[2])] = fine
+                out[np.ix_(y[2], x[2])] = fine.T
+        return out
+
+
+def pivot_pairs(near: np.ndarray, rank: list) -> list[tuple[int, int, bool]]:
+    """Of members and which of them may be linked: (member, pivot, True) for those near a pivot, and all other pairs of near ones.
+
+    Pivots are taken by falling rank; each takes its neighbours that no pivot has yet. What two members near one pivot
+    have to do with each other is left to the keys of their differences from it.
+    """
+    n, out = len(near), []
+    pivot = np.full(n, -1)
+    for p in sorted(range(n), key=rank.__getitem__, reverse=True):
+        if pivot[p] < 0:
+            mine = np.flatnonzero(near[p] & (pivot < 0))
+            pivot[mine] = pivot[p] = p
+            if len(mine) >= FEW:
+                out += [(i, p, True) for i in mine.tolist() if i != p]
+                continue
+            some = sorted({p, *mine.tolist()})
+            out += [(i, k, False) for i in some for k in some if k > i and near[i, k]]
+    i, k = np.nonzero(np.triu(near, 1) & (pivot[:, None] != pivot[None, :]))
+    return out + [(a, b, False) for a, b in zip(i.tolist(), k.tolist())]
 
 
 def _tree_pairs(s: Similarity):
-    """Of rows (cell, side, rep, counts, joined) sorted by cell: pairs of representatives, not both joined already, that survive the bound."""
+    """Of rows (cell, rep, weight, joined, counts) sorted by cell: pairs of representatives to verify, and whether others depend on them.
+
+    Where some are joined already, only pairs of a joined one and another are wanted.
+    """
 
     def flush(rows):
-        points = np.stack([np.frombuffer(r[3], "<u4").astype(np.int64) for r in rows])
-        side, joined = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-        reps = np.array([r[2] for r in rows])
-        tree, out = CountTree(points), []
-        for i in range(len(rows)):
-            near = tree.search(points[i], s)
-            near = near[(reps[near] > reps[i]) & ((side[near] != side[i]) | (side[i] == 2)) & ~(joined[near] & joined[i])]
-            out += [(int(reps[i]), int(reps[k])) for k in near]
-        return out
+        near = CountTree(np.stack([unpacked(r[4]) for r in rows])).pairs(s)
+        joined = np.array([r[3] for r in rows])
+        if joined.any():
+            near &= joined[:, None] ^ joined[None, :]
+        return [(rows[i][1], rows[k][1], wide) for i, k, wide in pivot_pairs(near, [(r[2], r[1]) for r in rows])]
+
+    def batch_of(pairs):
+        types = (pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate(types)], ["a", "b", "wide"])
 
     def run(found):
         held, out = [], []
-
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
         for batch in found:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if held and row[0] != held[0][0]:
@@ -252,74 +310,75 @@ def _tree_pairs(s: Similarity):
     return run
 
 
-def _verify(s: Similarity):
-    """Of pairs with both sets: whether they are linked, and a prefix of the elements they differ by where those are wanted."""
+def keys_of(x: np.ndarray, y: np.ndarray, both: int, linked: bool, pivot: int, shared, s: Similarity) -> np.ndarray:
+    """The keys under which x meets others that the pivot y does not join it with.
+
+    Of the differences, only those that x may have in common with another set count, and of these a prefix that must hold
+    a shared one. Two sets that are both not linked with the pivot meet under even keys, two of which one is linked under odd ones.
+    """
+    new = x[~np.isin(x, y, assume_unique=True)]
+    differ = np.concatenate([new[shared(new)], y[~np.isin(y, x, assume_unique=True)]])
+    apart, other = s.shared_differences(len(x), len(y), len(x) + len(y) - 2 * both)
+    label = mix(np.array([pivot], np.int64).view(np.uint64))
+    part = lambda least, kind: mix(differ[: max(0, len(differ) - least + 1)] ^ label) & ~np.uint64(1) | np.uint64(kind)
+    return part(apart, 1) if linked else np.concatenate([part(apart, 0), part(other, 1)])
+
+
+def _verify(s: Similarity, shared):
+    """Of pairs with both sets: whether they are linked, and the keys under which a meets others near its pivot b."""
 
     def run(found):
+        common = shared.value
         for batch in found:
             rows = []
-            for a, b, wide, x, y in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for a, b, wide, doc_a, doc_b, weight, x, y in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                in_y = np.isin(x, y, assume_unique=True)
-                both = int(in_y.sum())
-                linked, keys = s.linked(both, len(x), len(y)), []
-                if wide:
-                    differ = np.concatenate([x[~in_y], y[~np.isin(y, x, assume_unique=True)]])
-                    differ = differ[: len(differ) - s.shared_differences(len(x), len(y), len(differ), linked) + 1]
-                    keys = mix(differ ^ mix(np.array([b], np.int64).view(np.uint64))).view(np.int64).tolist()
-                rows.append((a, b, linked, keys))
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["a", "b", "linked", "keys"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked = s.linked(both, len(x), len(y))
+                keys = keys_of(x, y, both, linked, b, common, s).view(np.int64).tolist() if wide else []
+                rows.append((a, doc_a, doc_b, weight, linked, keys))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["rep", "a", "b", "weight", "linked", "keys"])
 
     return run
 
 
-def _links(met: DataFrame, sets: DataFrame, s: Similarity) -> list[DataFrame]:
-    """Links (a, b) that join all linked representatives; ``met`` has key, rep and weight, ``sets`` rep, tokens and counts.
+def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataFrame]:
+    """Links (a, b) of documents that join all linked ones; ``met`` has key, rep and weight, ``sets`` rep, doc, weight, tokens and counts.
 
     ``joined`` marks members of a key whose links with the key's pivot have put them into one component.
     """
-    found = []
+    found, first = [], True
     met = met.withColumn("joined", F.lit(False))
-    for turn in range(ROUNDS + 1):
-        keys = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("top"), F.bool_and("joined").alias("one")).filter("n > 1 and not one")
-        keys = keys.select("key", "n", (-F.col("top.rep")).alias("pivot"))
-        here = materialize(met.join(keys, "key").select("key", "rep", "joined", "n", "pivot"), "met")
+    while True:
+        keys = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "rep")).alias("top"), F.bool_and("joined").alias("all"), F.bool_or("joined").alias("some"))
+        keys = keys.filter("n > 1" if first else "n > 1 and not all and (some or key % 2 = 0)")
+        here = materialize(met.join(keys.select("key", "n", F.col("top.rep").alias("pivot")), "key").select("key", "rep", "joined", "n", "pivot"), "met")
         if here.isEmpty():
-            break
-        lists = here.filter(F.col("n") <= DIRECT).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("rep", "joined"))).alias("reps")).select("reps").distinct()
-        cells = lists.select(F.xxhash64("reps").alias("cell"), F.lit(2).alias("side"), F.explode("reps").alias("x")).select("cell", "side", "x.rep", "x.joined")
-        many = here.filter(F.col("n") > DIRECT)
-        if turn == ROUNDS:  # members in blocks, each pair of blocks in a cell of its own
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-            other = F.explode(F.sequence(F.lit(0), blocks - 1))
-            cut = many.select("key", "rep", "joined", mine.alias("mine"), other.alias("other"))
-            cell = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-            side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-            cells = cells.unionByName(cut.select(cell.alias("cell"), side.alias("side"), "rep", "joined"))
-            many = many.limit(0)
+            return found
+        direct = DIRECT if first else DIRECT_APART
+        lists = here.filter(F.col("n") <= direct).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("rep", "joined"))).alias("reps")).select("reps").distinct()
+        cells = lists.select(F.xxhash64("reps").alias("cell"), F.explode("reps").alias("x")).select("cell", "x.rep", "x.joined")
         near = (
-            cells.join(sets.select("rep", "counts"), "rep")
-            .select("cell", "side", "rep", "counts", "joined")
+            cells.join(sets.select("rep", "weight", "counts"), "rep")
+            .select("cell", "rep", "weight", "joined", "counts")
             .repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(_tree_pairs(s), "a long, b long")
-            .distinct()
-            .withColumn("wide", F.lit(False))
+            .mapInArrow(_tree_pairs(s), "a long, b long, wide boolean")
         )
-        stars = many.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("wide")).distinct()
+        stars = here.filter((F.col("n") > direct) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("wide"))
         pairs = near.unionByName(stars).groupBy("a", "b").agg(F.max("wide").alias("wide"))
+        side = lambda c, doc, tokens: sets.select(F.col("rep").alias(c), F.col("doc").alias(doc), F.col("tokens").alias(tokens), *(["weight"] if c == "a" else []))
         checked = materialize(
-            pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-            .select("a", "b", "wide", "x", "y")
-            .mapInArrow(_verify(s), "a long, b long, linked boolean, keys array<long>"),
+            pairs.join(side("a", "doc_a", "x"), "a")
+            .join(side("b", "doc_b", "y"), "b")
+            .select("a", "b", "wide", "doc_a", "doc_b", "weight", "x", "y")
+            .mapInArrow(_verify(s, shared), "rep long, a long, b long, weight long, linked boolean, keys array<long>"),
             "links",
         )
         found.append(checked.filter("linked").select("a", "b"))
-        met = checked.select(F.explode("keys").alias("key"), F.col("a").alias("rep"), (-F.size("keys")).alias("weight"), F.col("linked").alias("joined")).distinct()
-    return found
+        met = checked.select(F.explode("keys").alias("key"), "rep", "weight", F.col("linked").alias("joined")).groupBy("key", "rep", "weight").agg(F.bool_and("joined").alias("joined"))
+        first = False
 
 
 def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
@@ -340,26 +399,28 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
 
     shared = spark.sparkContext.broadcast(sketch.repeated(docs, tokens))
     repeated = spark.sparkContext.broadcast(sketch.repeated(docs, names))
-    described = materialize(docs.mapInArrow(_describe(repeated, shared, s), "doc_id long, n long, set_a long, set_b long, names array<long>"), "shingles")
+    described = materialize(docs.mapInArrow(_describe(repeated, shared, s), "doc_id long, n long, set_a long, set_b long, names array<long>, text binary"), "shingles")
     by_set = ["n", "set_a", "set_b"]
-    reps = materialize(described.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("rep"), F.first("names").alias("names")), "sets")
-    met = reps.filter(F.size("names") > 0).select(F.explode("names").alias("key"), "rep", F.size("names").alias("weight"))
+    reps = materialize(described.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("doc"), F.first("names").alias("names")), "sets")
+    met = reps.filter(F.size("names") > 0).select(F.explode("names").alias("key"), F.col("set_a").alias("rep"), F.size("names").cast("long").alias("weight"))
     wanted = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = materialize(met.join(wanted, "key", "left_semi"), "keys")
-    sets = docs.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    sets = materialize(sets.select("rep", "text").mapInArrow(_tokens(s), "rep long, tokens binary, counts binary"), "tokens")
-    links = _links(met, sets, s)
+    wanted = reps.select(F.col("set_a").alias("rep"), "doc", F.size("names").cast("long").alias("weight")).join(met.select("rep").distinct(), "rep", "left_semi")
+    mine = described.filter(F.col("text").isNotNull()).select("doc_id", F.col("set_a").alias("rep"), "text")
+    sets = mine.join(wanted, "rep").filter("doc_id = doc").select("rep", "doc", "weight", "text")
+    sets = materialize(sets.mapInArrow(_tokens(s), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "tokens")
+    links = _links(met, sets, s, shared)
     out = described.select("doc_id", F.col("n").alias("n_shingles"), *[F.col(k).alias(f"of_{k}") for k in by_set])
     same = [F.col(f"of_{k}") == F.col(k) for k in by_set]
-    out = out.join(reps.select(*by_set, "rep"), same[0] & same[1] & same[2], "left")
+    out = out.join(reps.select(*by_set, "doc"), same[0] & same[1] & same[2], "left")
     if links:
         edges = links[0]
         for more in links[1:]:
             edges = edges.unionByName(more)
-        out = out.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left")
+        out = out.join(components(edges).withColumnRenamed("node", "doc"), "doc", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc", "doc_id").alias("component_id"))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
