@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words with more bytes are hashed by BLAKE2: a polynomial modulo 2**64 lets texts of many hundred bytes be made that collide.
+LONG_WORD = 64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -89,8 +93,16 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return buffer, begin, end, np.searchsorted(begin, starts)
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, and where each text's words start.
+FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def digest(content: bytes) -> int:
+    """64 bits that nobody can make collide but by trying."""
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little")
+
+
+def word_hashes(texts: list[bytes], lower: bool = False, with_buffer: bool = False):
+    """A 64-bit hash of each word of all texts, and where each text's words start; with_buffer: the joined bytes too.
 
     ``lower`` folds A-Z to a-z first.
     """
@@ -100,7 +112,11 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
         values = values.copy()
         values[65:91] = values[97:123]
     p = Prefix(values[buffer])
-    return mix(p.span(begin, end)), offsets
+    out = mix(p.span(begin, end))
+    for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        word = buffer[begin[i] : end[i]].tobytes()
+        out[i] = digest(word.translate(FOLD) if lower else word)
+    return (out, offsets, buffer) if with_buffer else (out, offsets)
 
 
 def chunks(sizes, limit: int):

@@ -4,16 +4,19 @@ Every word gives one hashed word feature and its hashed character n-grams, and
 every two neighbours one hashed word bigram (a word met twice in a row gives
 one bigram of its own, whatever the word). A document is the mean of its features' vectors; a softmax layer turns that
 into class probabilities. Vectors and layer are learnt together by stochastic
-gradient descent in numpy, on the driver, from a bounded sample of labelled
+gradient descent in numpy, in one task, from a bounded sample of labelled
 rows: at most ``Settings.train_rows`` documents, the first in the order of a
-hash of doc_id, and at most ``Settings.buckets`` numbers for each.
+hash of doc_id, and at most ``Settings.buckets`` numbers for each. Only the
+learnt numbers reach the driver.
 
 Scoring is one pass over all whole texts without a shuffle. What is broadcast
 is one number per bucket (1 MB), whatever the corpus.
 
 Null and empty texts have no features: they get the score of the bias alone.
 Rows without a label, or labelled null, teach nothing; without any usable
-label of both classes all scores are 0.5. Repeated rows get equal scores.
+label of both classes all scores are 0.5. Repeated rows get equal scores. Of
+rows that share a labelled doc_id the one with the least text teaches; a
+doc_id labelled both ways counts as good.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from codequarry.llm.hashing import Prefix, chunks, mix
 from codequarry.runtime import ship
@@ -39,6 +43,7 @@ class Settings:
     epochs: int = 10
     rate: float = 20.0
     cache_words: int = 300_000
+    cache_bytes: int = 32_000_000
     seed: int = 7
 
 
@@ -121,6 +126,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tu
     for _ in range(s.epochs):
         for i in rng.permutation(len(examples)):
             at, weight, y = examples[i]
+            weight = weight.astype(float)
             rate = s.rate * (1 - done / steps)
             done += 1
             hidden = weight @ vectors[at]
@@ -135,6 +141,18 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tu
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
+def _learn(s: Settings):
+    def run(batches):
+        examples = []
+        for batch in batches:
+            for label, at, weight in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                examples.append((np.frombuffer(at, np.int32), np.frombuffer(weight, np.float32), label))
+        value, bias = train(examples, s)
+        yield pa.RecordBatch.from_arrays([pa.array([value.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["value", "bias"])
+
+    return run
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that labels are never learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
@@ -150,19 +168,22 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tu
         .limit(s.train_rows)
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = (
+    learnt = (
         texts.join(F.broadcast(ids), "doc_id")  # train_rows ids
-        .dropDuplicates(["doc_id"])
-        .select("label", "text", "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("label").alias("label"))
+        .select("label", "text")
         .mapInArrow(_featurize(s), "label int, at binary, weight binary")
-        .collect()  # train_rows rows of at most ``buckets`` numbers
+        .repartition(1)  # train_rows rows of at most ``buckets`` numbers
+        .sortWithinPartitions("at", "weight", "label")
+        .mapInArrow(_learn(s), "value binary, bias double")
+        .first()
     )
-    examples = sorted((bytes(r["at"]), bytes(r["weight"]), r.label) for r in rows)
-    return train([(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32).astype(float), y) for a, w, y in examples], s)
+    return (np.frombuffer(bytes(learnt["value"]), "<f8"), learnt["bias"]) if learnt else (np.zeros(s.buckets), 0.0)
 
 
 class _Scorer:
-    """Scores texts; sums of words met before are kept, ``cache_words`` at most beside those of the texts at hand."""
+    """Scores texts; sums of words met before are kept, ``cache_words`` or ``cache_bytes`` at most beside those of the texts at hand."""
 
     def __init__(self, model, s: Settings):
         self.value, self.bias, self.s = np.asarray(model[0], float), model[1], s
@@ -170,12 +191,14 @@ class _Scorer:
 
     def start(self):
         self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.table = np.zeros((2, 1 << 16))
         self.hashes = np.zeros(1 << 16, np.uint64)
 
     def learn(self, words: list[bytes]) -> None:
         for _, some in _pieces(words):
             first, last = len(self.index), len(self.index) + len(some)
+            self.bytes += sum(map(len, some))
             self.index.update(zip(some, range(first, last)))
             while last > len(self.hashes):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
@@ -186,7 +209,7 @@ class _Scorer:
             self.hashes[first:last] = hashes
 
     def __call__(self, texts: list[bytes]) -> list[float]:
-        if len(self.index) > self.s.cache_words:
+        if len(self.index) > self.s.cache_words or self.bytes > self.s.cache_bytes:
             self.start()
         split = [t.split() for t in texts]
         index = self.index
@@ -223,8 +246,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], s: Settings = S
     ship(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("text_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text_bytes")
-    return rows.mapInArrow(_score(model, s), f"{schema}, score double")
+    schema = StructType([f for f in rows.schema.fields if f.name != "text_bytes"] + [StructField("score", DoubleType())])
+    return rows.mapInArrow(_score(model, s), schema)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

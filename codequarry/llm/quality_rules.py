@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.hashing import BYTE_VALUES, Prefix, batches, mix, word_spans
+from codequarry.llm.hashing import Prefix, batches, mix, word_hashes
 from codequarry.runtime import ship
 
 SYMBOLS = np.zeros(256, bool)
@@ -33,7 +33,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     """The counts of COUNTS for each text, all whole texts at once."""
-    buffer, begin, end, offsets = word_spans(texts)
+    hashes, offsets, buffer = word_hashes(texts, with_buffer=True)
     starts = np.r_[0, np.cumsum([len(t) + 1 for t in texts])]
 
     def per_text(flags):
@@ -42,7 +42,7 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
     in_word = np.ones(len(buffer), bool)
     in_word[np.isin(buffer, list(WHITE))] = False
-    prefix = Prefix(mix(Prefix(BYTE_VALUES[buffer]).span(begin, end)))
+    prefix = Prefix(hashes)
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
     windows = prefix.every(3)
     ok = doc[: len(windows)] == doc[2:] if len(windows) else np.zeros(0, bool)
@@ -53,7 +53,7 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     again = np.zeros(len(at), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
-    cover = np.zeros(len(begin) + 3, bool)
+    cover = np.zeros(len(hashes) + 3, bool)
     for k in range(3):
         cover[at[again] + k] = True
     covered = np.r_[0, np.cumsum(cover)]
