@@ -31,6 +31,7 @@ Rows with a null doc_id are left out. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,15 +42,15 @@ from pyspark.sql import functions as F
 from codequarry.llm import sketch
 from codequarry.llm.components import components
 from codequarry.llm.hashing import Prefix, batches, mix, word_hashes
-from codequarry.runtime import materialize, ship
+from codequarry.runtime import materialize, shared_folder, ship
 
 #: Coordinates of a count vector.
 DIMENSIONS = 128
 #: Representatives of one key that one tree takes, where keys are groups of tokens (which many sets share in many ways) and where they are
 #: differences from a pivot; more are paired with the key's pivot.
 DIRECT, DIRECT_APART = 64, 4096
-#: Members that may all be linked and are paired with one another nevertheless, not with a pivot only.
-FEW = 8
+#: Members that may all be linked and are paired with one another nevertheless, not with a pivot only; for either kind of key.
+FEW, FEW_APART = 8, 64
 SEEDS = 4
 
 
@@ -253,7 +254,7 @@ class CountTree:
         return out
 
 
-def pivot_pairs(near: np.ndarray, rank: list) -> list[tuple[int, int, bool]]:
+def pivot_pairs(near: np.ndarray, rank: list, few: int) -> list[tuple[int, int, bool]]:
     """Of members and which of them may be linked: (member, pivot, True) for those near a pivot, and all other pairs of near ones.
 
     Pivots are taken by falling rank; each takes its neighbours that no pivot has yet. What two members near one pivot
@@ -265,7 +266,7 @@ def pivot_pairs(near: np.ndarray, rank: list) -> list[tuple[int, int, bool]]:
         if pivot[p] < 0:
             mine = np.flatnonzero(near[p] & (pivot < 0))
             pivot[mine] = pivot[p] = p
-            if len(mine) >= FEW:
+            if len(mine) >= few:
                 out += [(i, p, True) for i in mine.tolist() if i != p]
                 continue
             some = sorted({p, *mine.tolist()})
@@ -274,7 +275,7 @@ def pivot_pairs(near: np.ndarray, rank: list) -> list[tuple[int, int, bool]]:
     return out + [(a, b, False) for a, b in zip(i.tolist(), k.tolist())]
 
 
-def _tree_pairs(s: Similarity):
+def _tree_pairs(s: Similarity, few: int):
     """Of rows (cell, rep, weight, joined, counts) sorted by cell: pairs of representatives to verify, and whether others depend on them.
 
     Where some are joined already, only pairs of a joined one and another are wanted.
@@ -285,7 +286,7 @@ def _tree_pairs(s: Similarity):
         joined = np.array([r[3] for r in rows])
         if joined.any():
             near &= joined[:, None] ^ joined[None, :]
-        return [(rows[i][1], rows[k][1], wide) for i, k, wide in pivot_pairs(near, [(r[2], r[1]) for r in rows])]
+        return [(rows[i][1], rows[k][1], wide) for i, k, wide in pivot_pairs(near, [(r[2], r[1]) for r in rows], few)]
 
     def batch_of(pairs):
         types = (pa.int64(), pa.int64(), pa.bool_())
@@ -343,6 +344,15 @@ def _verify(s: Similarity, shared):
     return run
 
 
+def _bucketed(rows: DataFrame, column: str) -> str:
+    """The name of a table with these rows, bucketed by a column, in the shared folder: every round joins it without a shuffle of its own."""
+    spark, name = rows.sparkSession, f"codequarry_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = rows.repartition(n, column).write.format("parquet").bucketBy(n, column).sortBy(column)
+    written.option("path", f"{shared_folder(spark)}/codequarry/{name}").saveAsTable(name)
+    return name
+
+
 def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataFrame]:
     """Links (a, b) of documents that join all linked ones; ``met`` has key, rep and weight, ``sets`` rep, doc, weight, tokens and counts.
 
@@ -364,7 +374,7 @@ def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataF
             .select("cell", "rep", "weight", "joined", "counts")
             .repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(_tree_pairs(s), "a long, b long, wide boolean")
+            .mapInArrow(_tree_pairs(s, FEW if first else FEW_APART), "a long, b long, wide boolean")
         )
         stars = here.filter((F.col("n") > direct) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("wide"))
         pairs = near.unionByName(stars).groupBy("a", "b").agg(F.max("wide").alias("wide"))
@@ -408,8 +418,9 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     wanted = reps.select(F.col("set_a").alias("rep"), "doc", F.size("names").cast("long").alias("weight")).join(met.select("rep").distinct(), "rep", "left_semi")
     mine = described.filter(F.col("text").isNotNull()).select("doc_id", F.col("set_a").alias("rep"), "text")
     sets = mine.join(wanted, "rep").filter("doc_id = doc").select("rep", "doc", "weight", "text")
-    sets = materialize(sets.mapInArrow(_tokens(s), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "tokens")
-    links = _links(met, sets, s, shared)
+    table = _bucketed(sets.mapInArrow(_tokens(s), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "rep")
+    links = _links(met, spark.table(table), s, shared)
+    spark.sql(f"DROP TABLE {table}")  # its files stay in the shared folder
     out = described.select("doc_id", F.col("n").alias("n_shingles"), *[F.col(k).alias(f"of_{k}") for k in by_set])
     same = [F.col(f"of_{k}") == F.col(k) for k in by_set]
     out = out.join(reps.select(*by_set, "doc"), same[0] & same[1] & same[2], "left")
