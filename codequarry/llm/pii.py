@@ -2,7 +2,8 @@
 
 Candidates are strict matches (e-mail, IP, card, phone), which are always kept,
 and looser ones (spelled-out addresses, numbers in local form, names after a
-title, identity and account numbers), which are not. Five labelers vote on
+title, identity and account numbers, assigned values that may be secrets),
+which are not. Five labelers vote on
 each: form, gazetteer, context before, edges, and a counter-context. Votes are
 counted per pattern across all candidates; expectation maximisation over those
 counts (at most kinds * 3**5 rows, the only thing that reaches the driver)
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from codequarry.runtime import materialize
 
-KINDS = ("email", "ip", "card", "phone", "name", "id", "account")
+KINDS = ("email", "ip", "card", "phone", "name", "id", "account", "secret")
+#: Spans that are walked over at a time, so that the work stays linear in their number.
+CHUNK = 256
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: (kind, needed first, pattern, strict check). The repeats are possessive and the
@@ -43,6 +46,7 @@ LOOSE = (
     ("name", r"\b(?:Mr|Mrs|Ms|Dr|Prof)\b", r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? \p{Lu}\p{Ll}{1,20}(?: \p{Lu}\p{Ll}{1,20})?"),
     ("id", r"[0-9]{3}-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("account", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
+    ("secret", r"[=:] ?[\"']?[A-Za-z0-9_+/-]{16}", r"(?<=[=:] ?[\"']?)(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,200}+(?![A-Za-z0-9_+/-])"),
 )
 #: Words that, shortly before a span, speak for its kind.
 CONTEXT = {
@@ -53,6 +57,7 @@ CONTEXT = {
     "name": r"\bby\b|dear|signed|name",
     "id": r"\bssn\b|social|passport|identity",
     "account": r"iban|account|cuenta|compte|konto",
+    "secret": r"(?:token|secret|passw|pwd|key|auth|credential|bearer)[a-z_]{0,12}[\"']? ?[=:] ?[\"']?$",
 }
 #: Known endings, ranges, issuers, calling codes, names and countries.
 GAZETTEER = {
@@ -63,8 +68,13 @@ GAZETTEER = {
     "name": r" (?:John|Mary|James|Anna|Maria|Peter|Paul|Jean|Marie|Juan|Carlos|Hans|Karl|Laura|David|Sarah)\b",
     "id": r"^(?!000|666|9)",
     "account": r"^(?:AT|BE|CH|DE|ES|FR|GB|IE|IT|LU|NL|PT)",
+    "secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA|ASIA|ghp_|gho_|glpat-|sk-|pk_|xox[abp]-|AIza|eyJ)",
 }
+#: A secret's form: letters and digits, neither rare.
+MIXED = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){2})"
 COUNTER = r"(?:version|\bv|isbn|license|licence|section|=\s*\"?|#|/)\s*$"
+#: An assigned value may be a secret, but not where it is called a digest.
+COUNTER_OF = {"secret": r"(?:sha[0-9]*|md5|checksum|digest|commit|uuid|version)[\"']? ?[=:] ?[\"']?$"}
 VOTES = ("form", "gazetteer", "context", "edges", "counter")
 
 
@@ -72,43 +82,73 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
+SPAN = "struct<start:int,end:int,text:string,before:string,after:string>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _walk(items: Column, state: str, start: Column, kind: str, step) -> Column:
+    """What ``step(state, item) -> (state, output)`` puts out for each item in turn; ``kind`` is the outputs' type."""
+    inner = f"struct<state:{state},out:array<{kind}>>"
+    none = lambda t: F.from_json(F.lit("[]"), t)
+
+    def one(acc, x):
+        after, out = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.array_append(acc["out"], out).alias("out")).cast(inner)
+
+    def chunk(acc, c):
+        part = F.slice(acc["items"], c * CHUNK + 1, F.lit(CHUNK))
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), none(f"array<{kind}>").alias("out")).cast(inner), one)
+        return _let(done, lambda d: F.struct(acc["items"].alias("items"), d["state"].alias("state"), F.array_append(acc["out"], d["out"]).alias("out")))
+
+    def walked(v):
+        begin = F.struct(v.alias("items"), start.alias("state"), none(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor(F.size(v) / CHUNK).cast("int")), begin, chunk)["out"])
+
+    return _let(items, walked)
+
+
 def _matches(text: Column, needed: str, pattern: str) -> Column:
-    """All matches as (start, end, text), code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
+    """All matches as SPAN: code points, end exclusive, with up to 40 characters of what is before (back to the match before) and the one after."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["b"])
+    def step(at, x):
+        start = at + F.length(x["b"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))).alias("out")).cast(kind)
+        return end, F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), F.right(x["b"], F.lit(40)).alias("before"), F.substring(x["after"], 1, 1).alias("after"))
+
+    def items(g):
+        n = F.size(g["found"])
+        return F.arrays_zip(F.slice(g["between"], 1, n).alias("b"), g["found"].alias("m"), F.slice(g["between"], 2, n).alias("after"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind), step)["out"]
-    return F.when(text.rlike(needed), walked).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.when(text.rlike(needed), _walk(_let(both, items), "int", F.lit(0), SPAN, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _vote(condition: Column, yes: int, no: int) -> Column:
     return F.when(condition, yes).otherwise(no).cast("int")
 
 
-def _described(text: Column, spans: Column, kind: str, strict: bool) -> Column:
+def _described(spans: Column, kind: str, strict: bool) -> Column:
     """Spans with their votes and length class."""
 
     def one(x):
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] - 39), F.least(F.lit(40), x["start"])))
-        left, right = F.substring(text, x["start"], F.lit(1)), F.substring(text, x["end"] + 1, F.lit(1))
+        before = F.lower(x["before"])
+        left = F.right(x["before"], F.lit(1))
         edge = r"^[^\p{L}\p{N}_]$"
+        form = F.lit(1) if strict else _vote(x["text"].rlike(MIXED), 1, -1) if kind == "secret" else F.lit(0)
         return F.struct(
             x["start"].alias("start"),
             F.lit(KINDS.index(kind)).alias("kind"),
             x["end"].alias("end"),
             F.lit(strict).alias("strict"),
-            F.lit(1 if strict else 0).alias("form"),
+            form.alias("form"),
             _vote(x["text"].rlike(GAZETTEER[kind]), 1, -1).alias("gazetteer"),
             _vote(before.rlike(CONTEXT[kind]), 1, 0).alias("context"),
-            _vote(((x["start"] == 0) | left.rlike(edge)) & ((right == "") | right.rlike(edge)), 1, -1).alias("edges"),
-            _vote(before.rlike(COUNTER), -1, 0).alias("counter"),
+            _vote(((x["start"] == 0) | left.rlike(edge)) & ((x["after"] == "") | x["after"].rlike(edge)), 1, -1).alias("edges"),
+            _vote(before.rlike(COUNTER_OF.get(kind, COUNTER)), -1, 0).alias("counter"),
             F.least(F.lit(5), F.floor((x["end"] - x["start"]) / 6)).cast("int").alias("length"),
         )
 
@@ -123,9 +163,9 @@ def candidates(text: Column) -> Column:
     """All candidates of a text, sorted by start and kind."""
     parts = []
     for kind, needed, pattern, check in STRICT:
-        parts.append(_described(text, _passing(_matches(text, needed, pattern), check), kind, True))
+        parts.append(_described(_passing(_matches(text, needed, pattern), check), kind, True))
     for kind, needed, pattern in LOOSE:
-        parts.append(_described(text, _matches(text, needed, pattern), kind, False))
+        parts.append(_described(_matches(text, needed, pattern), kind, False))
     return F.array_sort(F.concat(*parts))
 
 
@@ -204,7 +244,10 @@ def fit(spans: DataFrame) -> Model:
 
 
 def _kept(found: Column, model: Model) -> Column:
-    """Strict spans, and likely looser ones that overlap no strict one and no likely one before them."""
+    """Strict spans, and likely looser ones that overlap no strict one and no likely one before them.
+
+    The work grows with the likely looser spans of a text times its spans; strict spans alone cost nothing.
+    """
     strict = F.filter(found, lambda x: x["strict"])
     likely = F.filter(found, lambda x: ~x["strict"] & (model.probability(x) >= 0.5))
     overlap = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
@@ -230,25 +273,37 @@ def found(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame) -> DataFrame:
     """The same columns; each span in the text gives way to its kind in brackets, and n_chars follows."""
-    spans = documents.select(candidates(text_of()).alias("candidates"))
-    model = fit(spans)
-    text = F.col("text")
-    state = "struct<at:int,out:string>"
-
-    def step(acc, x):
-        kind = F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"]))
-        mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(kind), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(x["end"], acc["at"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out")).cast(state)
-
-    rows = documents.withColumn("candidates_of_text", candidates(text_of())).withColumn("spans_of_text", _kept(F.col("candidates_of_text"), model))
-    walked = F.aggregate("spans_of_text", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state), step)
-    rows = rows.withColumn("walked_text", walked)
-    clean = F.when(F.size("spans_of_text") == 0, text).otherwise(F.concat("walked_text.out", F.substring(text, F.col("walked_text.at") + 1, F.length(text))))
-    out = rows.withColumn("text", clean)
+    model = fit(documents.select(candidates(text_of()).alias("candidates")))
+    row = F.struct(*[documents[f"`{c}`"].alias(c) for c in documents.columns])
+    rows = documents.select(row.alias("row"), F.col("text"), candidates(text_of()).alias("candidates"))
+    rows = rows.select("row", "text", _let(F.col("candidates"), lambda c: _kept(c, model)).alias("spans"))
+    text, spans, whole = F.col("text"), F.col("spans"), "struct<at:int,out:array<string>>"
+    kind = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1)
+
+    def chunk(acc, c):  # the text of so many spans is cut out once, and they are cut out of it
+        part = F.slice(spans, c * CHUNK + 1, F.lit(CHUNK))
+        last = F.greatest(acc["at"], F.coalesce(F.array_max(F.transform(part, lambda x: x["end"])), F.lit(0)))
+        some = F.struct(acc.alias("acc"), part.alias("part"), last.alias("last"), F.substring(text, acc["at"] + 1, last - acc["at"]).alias("text"))
+
+        def cut(g):
+            def one(a, x):
+                gap = F.substring(g["text"], a["at"] - g["acc"]["at"] + 1, F.greatest(F.lit(0), x["start"] - a["at"]))
+                mark = F.when(x["start"] >= a["at"], F.concat(F.lit("["), F.upper(kind(x)), F.lit("]"))).otherwise(F.lit(""))
+                return F.struct(F.greatest(x["end"], a["at"]).alias("at"), F.array_append(a["out"], F.concat(gap, mark)).alias("out")).cast(whole)
+
+            done = F.aggregate(g["part"], F.struct(g["acc"]["at"].alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out")).cast(whole), one)
+            return F.struct(g["last"].alias("at"), F.array_append(g["acc"]["out"], F.array_join(done["out"], "")).alias("out")).cast(whole)
+
+        return _let(some, cut).cast(whole)
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.floor(F.size(spans) / CHUNK).cast("int")), F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out")).cast(whole), chunk)
+    rows = rows.select("row", "text", "spans", walked.alias("walked"))
+    clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join("walked.out", ""), F.substring(text, F.col("walked.at") + 1, F.length(text))))
+    rows = rows.select("row", clean.alias("text"))
+    out = {c: F.col("row").getField(c) for c in documents.columns} | {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(*documents.columns)
+        out["n_chars"] = F.when(F.col("text").isNull(), out["n_chars"]).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType))
+    return rows.select(*[out[c].alias(c) for c in documents.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
@@ -256,7 +311,7 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("candidates", lambda x: x["strict"])
     kinds = F.transform(base, lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return rows.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(_named(base), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def brute_force(rows) -> dict:
