@@ -18,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +33,7 @@ from codequarry.runtime import ship
 
 #: Moves a word's last symbol out of the others' range: "e" at a word's end is another symbol than "e".
 FINAL = 0x1000
-CACHE_WORDS = 300_000
+CACHE_WORDS, LONGEST_CACHED = 300_000, 64
 SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -42,11 +44,60 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + next(spare)) for b in range(256)]
 
 
+@dataclass(frozen=True)
+class Unicode:
+    """Code points that the tokenizer's library treats by another version of Unicode than Python: other lower case, and
+    (added, removed) letters and numbers, written for a character class."""
+
+    lower: tuple[tuple[int, str], ...] = ()
+    letters: tuple[str, str] = ("", "")
+    numbers: tuple[str, str] = ("", "")
+
+
+@lru_cache(maxsize=4)
+def unicode_of(tokenizer: str) -> Unicode:
+    """Asks the library's normaliser and pre-tokeniser of this file about each code point, once."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    # no version of Unicode has characters from U+40000 on, but for tags and private use, which are neither letters nor numbers
+    chars = [chr(c) for c in [*range(0x80, 0x40000), *range(0xE0000, 0xE1000)] if not 0xD800 <= c < 0xE000]
+    space = set(regex.findall(f"[{SPACE}]", "".join(chars)))
+    of_python = {k: set(regex.findall(rf"\p{{{k}}}", "".join(chars))) for k in "LN"}
+    lower, of_library = [], {"L": set(), "N": set()}
+    for first in range(0, len(chars), 256):
+        part = [c for c in chars[first : first + 256] if c not in space]
+        for c, n in zip(part, t.normalizer.normalize_str("|".join(part)).split("|"), strict=True):
+            if n != plain_lower(c):
+                lower.append((ord(c), n))
+        # between letters a letter splits nothing off, between marks nothing but a letter or a number splits anything off
+        whole = lambda mark: {p[1] for p in _shown([p for p, _ in t.pre_tokenizer.pre_tokenize_str("\n".join([mark + c + mark for c in part]))]) if len(p) == 3 and p[0] == p[2] == mark}  # noqa: B023, E731
+        letters = whole("a")
+        of_library["L"] |= letters
+        of_library["N"] |= set(part) - letters - whole("!")
+    written = lambda codes: "".join(rf"\U{ord(c):08x}" for c in sorted(codes))
+    return Unicode(tuple(lower), *((written(of_library[k] - of_python[k]), written(of_python[k] - of_library[k])) for k in "LN"))
+
+
+def _shown(pieces: list[str]) -> list[str]:
+    """Pieces of byte symbols as the texts they stand for."""
+    return "\n".join(pieces).translate(_BYTES).encode("latin-1").decode("utf-8", "replace").split("\n")
+
+
+def plain_lower(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower() alone would see a word's last sigma
+
+
+_BYTES = {ord(c): b for b, c in enumerate(byte_symbols())}
+
+
 class BytePairs:
     """The vocabulary and merges of a byte-level BPE with an end-of-word mark."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, unicode: Unicode | None = None):
         d = json.loads(spec)
+        u = unicode or Unicode()
+        self.lower = dict(u.lower)
         model = d["model"]
         self.mark = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
@@ -74,7 +125,8 @@ class BytePairs:
         self.apart: dict[tuple[int, int], bool] = {}
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", []) if t["special"]}
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        letter, number = (rf"[[\p{{{k}}}{a}]--[{b}]]" if b else rf"[\p{{{k}}}{a}]" for k, (a, b) in (("L", u.letters), ("N", u.numbers)))
+        self.pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACE}{letter}{number}]+")
         self.cache: dict[str, bytes] = {}
         table = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         parts = [table[i].encode() for i in range(max(table) + 1)]
@@ -145,9 +197,10 @@ class BytePairs:
             if self.mark:
                 s = s[:-1] + chr(ord(s[-1]) + FINAL)
             found = np.array([self.ids[r] for r in self.word(s)], "<u4").tobytes()
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[text] = found
+            if len(text) <= LONGEST_CACHED:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[text] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -160,8 +213,10 @@ class BytePairs:
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower() alone would see a word's last sigma
+        text = plain_lower(text)
         get, piece = self.cache.get, self.piece
+        if self.lower and not text.isascii():
+            text = text.translate(self.lower)
         return b"".join([get(p) or piece(p) for p in self.pieces.findall(text)])
 
     def decode(self, ids: bytes) -> bytes:
@@ -177,17 +232,17 @@ class BytePairs:
 _BUILT: dict[str, BytePairs] = {}
 
 
-def built(spec: str) -> BytePairs:
-    key = hashlib.sha256(spec.encode()).hexdigest()
+def built(spec: str, unicode: Unicode) -> BytePairs:
+    key = hashlib.sha256(repr((spec, unicode)).encode()).hexdigest()
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = BytePairs(spec)
+        _BUILT[key] = BytePairs(spec, unicode)
     return _BUILT[key]
 
 
 def _encode(spec):
     def run(batches):
-        bpe = built(spec.value)
+        bpe = built(*spec.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks([len(t) for t in texts], 1_000_000):
@@ -205,7 +260,7 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        spec = spark.sparkContext.broadcast((f.read(), unicode_of(tokenizer)))
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(spec), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 

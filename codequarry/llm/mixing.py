@@ -126,7 +126,7 @@ def taken_copies() -> Column:
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken (0, 1 or 2 times), columns unchanged."""
     _, plan = planned(documents, **options)
-    row = F.struct(*[documents[c] for c in documents.columns])
+    row = F.struct(*[documents[f"`{c}`"] for c in documents.columns])
     rows = documents.select(
         row.alias("row"),
         F.coalesce("source", F.lit("")).alias("source_key"),

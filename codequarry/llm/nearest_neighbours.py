@@ -16,7 +16,9 @@ vectors in one task of bounded size, so no side is broadcast.
 
 Vectors that are null, zero, of another length than most, or have null or
 non-finite components take no part. Equal scores go to the smaller vec_id. A
-vec_id that occurs more than once counts each time. Extra columns are ignored.
+vec_id that occurs more than once counts each time: each of its rows is a query
+with neighbours of its own, and only the row itself is left out of them. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id and v of the vectors that take part."""
     v = F.col(column)
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    rows = vectors.filter(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     usual = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     return rows.filter(F.size("v") == (usual.n if usual else 0))
 
@@ -116,12 +118,13 @@ def train(x: np.ndarray, s: Settings) -> np.ndarray:
 def _encode_rows(books, s: Settings):
     def run(found):
         for batch in found:
-            x = matrix(batch.column(1))
-            if not len(x):
+            exact = matrix(batch.column(1))
+            if not len(exact):
                 continue
+            x = exact.astype(np.float32)
             codes = np.concatenate([encode(x[i : i + 2048], books.value, s.beam) for i in range(0, len(x), 2048)])
             close = decode(codes, books.value)
-            gap = np.sqrt(((x.astype(np.float64) - close) ** 2).sum(1))
+            gap = np.sqrt(((exact.astype(np.float64) - close) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((close * close).sum(1), pa.float32()), pa.array(gap, pa.float64())],
                 ["vec_id", "v", "codes", "norm", "gap"],
@@ -132,37 +135,37 @@ def _encode_rows(books, s: Settings):
 
 def _search(books, s: Settings, k: int):
     def nearest(queries: pa.Table, base: pa.Table) -> pa.Table:
-        out: list[tuple] = [([], [], [])]
+        out: list[tuple] = [([], [], [], [])]
         if queries.num_rows and base.num_rows:
             out = []
-            ids = base["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
+            ids, own = base["vec_id"].to_numpy(), base["row"].to_numpy()
+            order = np.lexsort((own, ids))
+            ids, own = ids[order], own[order]
             x = matrix(base["v"])[order]
             codes = np.frombuffer(b"".join(base["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             norm, gap = base["norm"].to_numpy()[order], base["gap"].to_numpy()[order]
-            q_ids, q = queries["vec_id"].to_numpy(), matrix(queries["v"])
-            tables = np.einsum("qd,mkd->mqk", q, books.value, optimize=True)
+            q_ids, q_own, q = queries["vec_id"].to_numpy(), queries["row"].to_numpy(), matrix(queries["v"])
+            tables = np.einsum("qd,mkd->mqk", q.astype(np.float32), books.value, optimize=True)
             for i in range(len(q)):
                 scores = sum(tables[m, i][codes[:, m]] for m in range(len(tables)))
                 if s.metric == "l2":
                     scores = 2 * scores - norm
-                scores = np.where(ids == q_ids[i], -np.inf, scores)
+                scores = np.where(own == q_own[i], -np.inf, scores)
                 keep = min(s.rerank, len(ids))
                 floor = np.partition(scores, len(ids) - keep)[len(ids) - keep]
                 at = np.flatnonzero(scores >= floor)
                 at = at[np.lexsort((ids[at], -scores[at]))][:keep]
-                at = at[ids[at] != q_ids[i]]
+                at = at[own[at] != q_own[i]]
                 exact = _measure(q[i].astype(np.float64), x[at].astype(np.float64), s.metric)
                 if keep < len(ids):
                     most = _at_most(scores, float(np.sqrt((q[i].astype(np.float64) ** 2).sum())), norm, gap, s.metric)
                     most[at] = -np.inf
-                    more = np.flatnonzero((most >= (np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf)) & (ids != q_ids[i]) & (most > -np.inf))
+                    more = np.flatnonzero((most >= (np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf)) & (own != q_own[i]) & (most > -np.inf))
                     at = np.r_[at, more]
                     exact = np.r_[exact, _measure(q[i].astype(np.float64), x[more].astype(np.float64), s.metric)]
                 best = np.lexsort((ids[at], -exact))[:k]
-                out.append((np.full(len(best), q_ids[i]), ids[at][best], exact[best]))
-        return pa.table([pa.array(np.concatenate([o[j] for o in out]), t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                out.append((np.full(len(best), q_ids[i]), np.full(len(best), q_own[i]), ids[at][best], exact[best]))
+        return pa.table([pa.array(np.concatenate([o[j] for o in out]), t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "row", "vec_id", "score"])
 
     return nearest
 
@@ -191,16 +194,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, s: Settings = Setti
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = spark.sparkContext.broadcast(train(matrix(sample["v"]).astype(np.float32), s))
-    coded = materialize(rows.mapInArrow(_encode_rows(books, s), "vec_id long, v array<float>, codes binary, norm float, gap double"), "codes")
+    kind = rows.schema["v"].dataType.simpleString()
+    coded = rows.mapInArrow(_encode_rows(books, s), f"vec_id long, v {kind}, codes binary, norm float, gap double")
+    coded = materialize(coded.withColumn("row", F.monotonically_increasing_id()), "codes")  # a repeated vector is a row of its own
     asked = coded.filter(queries)
     sizes = coded.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
     n_blocks, q_blocks = max(1, -(-sizes.n // s.vector_block)), max(1, -(-sizes.q // s.query_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("vec_id", "v", block(q_blocks).alias("q"), every(n_blocks).alias("b"))
-    right = coded.select("vec_id", "v", "codes", "norm", "gap", block(n_blocks).alias("b"), every(q_blocks).alias("q"))
-    found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_search(books, s, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    left = asked.select("vec_id", "row", "v", block(q_blocks).alias("q"), every(n_blocks).alias("b"))
+    right = coded.select("vec_id", "row", "v", "codes", "norm", "gap", block(n_blocks).alias("b"), every(q_blocks).alias("q"))
+    found = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_search(books, s, k), "query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,9 +2,9 @@
 
 A window's *anchor* is the least gram hash inside it, so equal windows have
 equal anchors and a handful of anchors stand for all windows. Consecutive
-windows with one anchor form a *run*; runs with the same content collapse
-before anything is compared, so a passage copied a million times is looked at
-once. Windows are compared one by one only where different runs share an
+windows with one anchor form a *run*; runs with the same content (told by a
+64-bit BLAKE2 digest of it beside the anchor) collapse before anything is
+compared, so a passage copied a million times is looked at once. Windows are compared one by one only where different runs share an
 anchor, which is where copies begin, end or were edited.
 """
 
@@ -55,9 +55,6 @@ class Runs:
         self.start, self.anchor, self.doc = at[first], least[first], d[first]
         self.count = np.diff(np.r_[first, len(at)])
 
-    def content(self) -> np.ndarray:
-        return mix(self.prefix.span(self.start, self.start + self.count + self.window - 1))
-
     def window_hashes(self) -> np.ndarray:
         """Of all windows of all runs, in order."""
         return mix(self.prefix.span(self.windows, self.windows + self.window))

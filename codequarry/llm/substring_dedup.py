@@ -2,8 +2,9 @@
 
 A count-min sketch, built in partitions and merged, overestimates how often
 each window occurs (through its anchor: equal windows share one). A second
-pass groups exactly, by hashes of together 128 bits, only the windows whose
-estimate is two or more; an overestimate costs work and never a window.
+pass groups exactly only the windows whose estimate is two or more: whole runs
+of them by their anchor and a digest of their words, and where runs differ, by
+anchor and window hash, of together 128 bits; an overestimate costs work and never a window.
 
 Null and empty texts have no words. Documents with one doc_id are one
 document: they never count as earlier than one another. A null doc_id is
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm import sketch
-from codequarry.llm.hashing import word_hashes
+from codequarry.llm.hashing import digest, word_hashes
 from codequarry.llm.repeats import KEY, Runs, covered, keyed, long_lists, over_texts, with_runs
 from codequarry.runtime import materialize, ship
 
@@ -31,26 +32,31 @@ GRAM, LONGEST = 8, 64
 def _runs(batch, window):
     for rows, texts in over_texts(batch):
         values, offsets = word_hashes(texts)
-        yield rows, offsets, Runs(values, offsets, window, min(GRAM, window), LONGEST)
+        yield rows, texts, offsets, Runs(values, offsets, window, min(GRAM, window), LONGEST)
 
 
 def _emit(repeated, window):
     def emit(batches):
         flags = repeated.value
         for batch in batches:
-            for rows, offsets, r in _runs(batch, window):
+            for rows, texts, offsets, r in _runs(batch, window):
                 keep = flags(r.anchor) if len(r.anchor) else np.zeros(0, bool)
                 if not keep.any():
                     continue
                 hashes = r.window_hashes()[np.repeat(keep, r.count)]
-                count, doc = r.count[keep], r.doc[keep]
+                count, doc, start = r.count[keep], r.doc[keep], r.start[keep] - offsets[r.doc[keep]]
+                content, words, of = [], [], -1
+                for d, a, n in zip(doc.tolist(), start.tolist(), count.tolist()):
+                    if d != of:
+                        words, of = texts[d].split(), d
+                    content.append(digest(b" ".join(words[a : a + n + window - 1])))
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(part.schema.get_field_index(k)).take(pa.array(doc)) for k in KEY),
                         pa.array(r.anchor[keep].view(np.int64)),
-                        pa.array(r.content()[keep].view(np.int64)),
-                        pa.array((r.start[keep] - offsets[doc]).astype(np.int32)),
+                        pa.array(np.array(content, np.uint64).view(np.int64)),
+                        pa.array(start.astype(np.int32)),
                         pa.array(count.astype(np.int32)),
                         long_lists(hashes, count),
                     ],
@@ -90,7 +96,7 @@ def flagged_windows(documents: DataFrame, window: int = 50) -> DataFrame:
     docs = keyed(documents).filter("doc_id is not null")
 
     def anchors(batch):
-        return (r.anchors_by_document() for _, _, r in _runs(batch, window))
+        return (r.anchors_by_document() for *_, r in _runs(batch, window))
 
     repeated = spark.sparkContext.broadcast(sketch.repeated(docs, anchors))
     runs = materialize(

@@ -6,8 +6,9 @@ windows with the same bytes collapse to one, with their count; and what is
 left, the suffixes around the ends of copies, is dealt out by anchor and sorted
 in each task by a mergesort that compares suffixes through prefix polynomial
 hashes and binary search. Neighbours that agree over 200 bytes are verified
-byte by byte. An anchor with very many different runs is not sorted in one
-task: its windows are grouped by hash across the cluster, with partial sums.
+byte by byte. Runs are the same if their anchors and BLAKE2 digests are. An
+anchor with very many different runs is not sorted in one task: its windows are
+grouped by their BLAKE2 digests across the cluster, with partial sums.
 
 Null is an empty text. Rows are documents of their own, repeated rows too:
 the text of both is then removed. Extra columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm import sketch
-from codequarry.llm.hashing import BYTE_VALUES, Prefix, mix
+from codequarry.llm.hashing import BYTE_VALUES, digest
 from codequarry.llm.repeats import KEY, Runs, covered, keyed, long_lists, over_texts, with_runs
 from codequarry.llm.suffix_sort import Suffixes
 from codequarry.runtime import materialize, ship
@@ -55,15 +56,16 @@ def _emit(repeated, window):
                 start, count, doc = r.start[keep], r.count[keep], r.doc[keep]
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 raw = buffer.tobytes()
+                content = [raw[s : s + n + window - 1] for s, n in zip(start.tolist(), count.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(part.schema.get_field_index(k)).take(pa.array(doc)) for k in KEY),
                         pa.array(r.anchor[keep].view(np.int64)),
-                        pa.array(r.content()[keep].view(np.int64)),
+                        pa.array(np.array([digest(c) for c in content], np.uint64).view(np.int64)),
                         pa.array((start - offsets[doc]).astype(np.int32)),
                         pa.array(count.astype(np.int32)),
                         pa.array(r.repeats_inside()[keep]),
-                        pa.array([raw[s : s + n + window - 1] for s, n in zip(start.tolist(), count.tolist())], pa.binary()),
+                        pa.array(content, pa.binary()),
                     ],
                     [*KEY, "anchor", "content", "start", "count", "inside", "bytes"],
                 )
@@ -126,11 +128,8 @@ def _window_hashes(window):
             length = np.array([len(t) for t in texts], np.int64)
             if not len(length):
                 continue
-            first = np.cumsum(length) - length
-            n = length - window + 1
-            p = Prefix(BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)])
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long_lists(mix(p.span(at, at + window)), n)], ["anchor", "content", "windows"])
+            hashes = np.array([digest(t[i : i + window]) for t in texts for i in range(len(t) - window + 1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long_lists(hashes, length - window + 1)], ["anchor", "content", "windows"])
 
     return run
 

@@ -25,7 +25,7 @@ from codequarry.llm.hashing import batches
 from codequarry.runtime import ship
 
 SPACE_MARK = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS, LONGEST_CACHED = 300_000, 64
 
 
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
@@ -82,9 +82,11 @@ class UnigramCounter:
     def word(self, word: bytes) -> tuple[float, int]:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[word] = self.count(SPACE_MARK + word.decode("utf-8", "replace"))
+            found = self.count(SPACE_MARK + word.decode("utf-8", "replace"))
+            if len(word) <= LONGEST_CACHED:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache.clear()
+                self.cache[word] = found
         return found
 
 
