@@ -75,10 +75,17 @@ def unicode_of(tokenizer: str) -> Unicode:
         letters = whole("a")
         of_library["L"] |= letters
         of_library["N"] |= set(part) - letters - whole("!")
-    written = lambda codes: "".join(rf"\U{ord(c):08x}" for c in sorted(codes))
     return Unicode(tuple(lower), *((written(of_library[k] - of_python[k]), written(of_python[k] - of_library[k])) for k in "LN"))
 
 
+def written(chars: set[str]) -> str:
+    """Characters as ranges of a character class."""
+    codes = np.array(sorted(map(ord, chars)), np.int64)
+    first = np.flatnonzero(np.diff(codes, prepend=-2) > 1)
+    last = np.r_[first[1:], len(codes)] - 1 if len(codes) else first
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(codes[first].tolist(), codes[last].tolist()))
+
+
 def _shown(pieces: list[str]) -> list[str]:
     """Pieces of byte symbols as the texts they stand for."""
     return "\n".join(pieces).translate(_BYTES).encode("latin-1").decode("utf-8", "replace").split("\n")
@@ -126,7 +133,10 @@ class BytePairs:
         self.special = {t["content"]: t["id"] for t in d.get("added_tokens", []) if t["special"]}
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         letter, number = (rf"[[\p{{{k}}}{a}]--[{b}]]" if b else rf"[\p{{{k}}}{a}]" for k, (a, b) in (("L", u.letters), ("N", u.numbers)))
-        self.pieces = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACE}{letter}{number}]+")
+        pieces = lambda letter, number: regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACE}{letter}{number}]+")
+        self.pieces, self.odd_pieces = pieces(r"\p{L}", r"\p{N}"), pieces(letter, number)
+        odd = "".join([*u.letters, *u.numbers])
+        self.odd = regex.compile(f"[{odd}]") if odd else None
         self.cache: dict[str, bytes] = {}
         table = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         parts = [table[i].encode() for i in range(max(table) + 1)]
@@ -217,7 +227,8 @@ class BytePairs:
         get, piece = self.cache.get, self.piece
         if self.lower and not text.isascii():
             text = text.translate(self.lower)
-        return b"".join([get(p) or piece(p) for p in self.pieces.findall(text)])
+        pieces = self.odd_pieces if self.odd and not text.isascii() and self.odd.search(text) else self.pieces
+        return b"".join([get(p) or piece(p) for p in pieces.findall(text)])
 
     def decode(self, ids: bytes) -> bytes:
         """Tokens joined by spaces, gathered from one blob by offsets."""
