@@ -131,7 +131,7 @@ def chunks(sizes, limit: int):
         yield first, len(sizes)
 
 
-def batches(column, limit: int = 2_000_000):
+def batches(column, limit: int = 1_000_000):
     """(first row, texts as bytes) of an Arrow binary column; null becomes empty."""
     texts = [b"" if t is None else t for t in column.to_pylist()]
     for a, b in chunks([len(t) for t in texts], limit):
