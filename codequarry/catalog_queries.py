@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.operators import file_rules, issue_filters, line_rules
+from codequarry.functions.lexer import code
+from codequarry.operators import file_rules, issue_filters, known_false, line_rules
 from codequarry.plans import scan
 from codequarry.sources import source_files as S
 
@@ -74,6 +75,38 @@ _SQL_FUNCTION_RULES = {
 }
 
 
+_FLOW_FILES = f"WITH source_files AS ({S.DERIVED_FLOW.replace('AS STRING', 'AS VARCHAR')})"
+_FLOW_LINES = _LINES.replace(_FILES, _FLOW_FILES) + ", pairs AS (SELECT a.*, b.text AS before, c.text AS after FROM lines a LEFT JOIN lines b ON b.path = a.path AND b.line = a.line - 1 LEFT JOIN lines c ON c.path = a.path AND c.line = a.line + 1)"
+_SQL_FLOW = {
+    "handlers": "SELECT path, line, 'swallowed-error' AS rule, 'high' AS severity, 'medium' AS confidence, 'ai-code' AS category, 'error is caught and not handled' AS message, trim(text) AS snippet FROM pairs WHERE NOT regexp_matches(text, '^(//|#)') AND ("
+    r"(language = 'typescript' AND regexp_matches(text, 'catch \(\w+\) \{$') AND after = '}') OR (language = 'java' AND regexp_matches(text, 'catch \(.*\) \{ \w+[.]printStackTrace\(\); \}')) OR (language = 'php' AND regexp_matches(text, 'catch \(.*\) \{ echo [^;]*; \}'))"
+    r" OR (language = 'go' AND text = 'if err != nil {' AND regexp_matches(after, '^\s*(log|fmt)[.]')) OR (language = 'python' AND regexp_matches(text, '^except \w+:$') AND regexp_matches(after, '^ +pass$') AND NOT EXISTS (SELECT 1 FROM lines d WHERE d.path = pairs.path AND d.line = pairs.line + 2 AND regexp_matches(d.text, '^ +\S'))))",
+    "after_return": "SELECT path, line, 'unreachable-code' AS rule, 'low' AS severity, CASE WHEN regexp_matches(coalesce(after, ''), '^[ ]+[a-z]') THEN 'medium' ELSE 'low' END AS confidence, 'correctness' AS category, 'code behind a return is never reached' AS message, trim(text) AS snippet FROM pairs"
+    r" WHERE regexp_matches(before, '^ +(return|throw|raise) .*[^\[({,]$') AND regexp_matches(text, '^ +[a-z]') AND regexp_extract(text, '^ +') = regexp_extract(before, '^ +')",
+}
+_ISSUE_ROWS = f"WITH found AS ({S.DERIVED_ISSUES.replace('FROM documents', 'FROM orders')})"
+#: The tests that these issues can meet, said by rule.
+_KNOWN_FALSE = """CASE WHEN rule = 'stub-function' AND message LIKE '%isOpen%return true%' THEN 'stub_with_a_reason' WHEN rule = 'empty-impl' AND contains(message, '__init__') THEN 'empty_by_design'
+  WHEN rule = 'unused-declaration' AND starts_with(snippet, 'export ') THEN 'public_name' WHEN rule = 'security' AND message LIKE '%http%localhost%' THEN 'local_http'
+  WHEN rule = 'hardcoded-value' AND contains(path, 'config') THEN 'settings_file' WHEN rule = 'hardcoded-value' AND message LIKE '%URL%' AND contains(snippet, '_URL') THEN 'settings_name'
+  WHEN rule = 'unreachable-code' AND regexp_matches(snippet, '^(case |default:)') THEN 'case_label' WHEN rule = 'fake-url' AND contains(snippet, 'DB_HOST') THEN 'address_setting'
+  WHEN rule = 'package-hallucination' AND contains(path, 'node_modules/') THEN 'installed_package' WHEN rule = 'resource-leak' AND starts_with(snippet, 'with ') THEN 'managed_resource'
+  WHEN rule = 'resource-leak' AND starts_with(snippet, 'defer ') THEN 'deferred_close' END"""
+
+
+def _found_issues(spark, sf_dir):
+    return S.derived(spark, sf_dir, S.DERIVED_ISSUES, "orders")
+
+
+def _flow(rule):
+    return lambda spark, sf_dir: scan.issues(S.derived(spark, sf_dir, S.DERIVED_FLOW), scan.Options(only=(rule,)))
+
+
+def _code_lines(spark, sf_dir):
+    files = S.derived(spark, sf_dir, S.DERIVED_FLOW)
+    return S.lines(files.withColumn("source", code(F.col("source"), F.col("language")))).filter(F.trim("text") != "")
+
+
 def _function_rule(name):
     return lambda spark, sf_dir: scan.issues(S.derived(spark, sf_dir, S.DERIVED_FUNCTIONS), scan.Options(only=(name,)))
 
@@ -131,6 +164,12 @@ def queries() -> dict:
         "registry_confirm": lambda s, d: issue_filters.confirmed_by_registry(_scan(s, d), _known(s, d)),
         "statistics": lambda s, d: issue_filters.statistics(_scan(s, d)),
         "report_by_file": lambda s, d: issue_filters.by_file(_scan(s, d)),
+        "code_lines": _code_lines,
+        "rule_handlers": _flow("swallowed-error"),
+        "rule_unreachable_code": _flow("unreachable-code"),
+        "known_false": lambda s, d: known_false.with_reason(_found_issues(s, d)),
+        "prefilter": lambda s, d: known_false.prefiltered(_found_issues(s, d)),
+        "removals_by_rule": lambda s, d: known_false.removals_by_rule(_found_issues(s, d)),
         "json_report": lambda s, d: issue_filters.as_json(_scan(s, d)),
     }
     out |= {f"rule_{name.replace('-', '_')}": _function_rule(name) for name in _SQL_FUNCTION_RULES}
@@ -160,6 +199,12 @@ def oracle_sql() -> dict[str, str]:
         "statistics": of(f"{count('severity')} UNION ALL {count('confidence')} UNION ALL {count('category')} UNION ALL SELECT 'total', '', count(*) FROM issues"),
         "report_by_file": of(f"SELECT path, count(*) AS n, CAST(min({_RANK}) AS INT) AS worst, min(line) AS first_line FROM issues GROUP BY path"),
     }
+    out["code_lines"] = f"{_LINES.replace(_FILES, _FLOW_FILES).replace(chr(39) + '%/tests/%' + chr(39), chr(39) * 2)} SELECT path, language, line, text FROM lines WHERE NOT regexp_matches(text, '^(//|#)') AND trim(text) <> ''"
+    out["rule_handlers"] = f"{_FLOW_LINES} {_SQL_FLOW['handlers']}"
+    out["rule_unreachable_code"] = f"{_FLOW_LINES} {_SQL_FLOW['after_return']}"
+    out["known_false"] = f"{_ISSUE_ROWS} SELECT *, {_KNOWN_FALSE} AS known_false FROM found"
+    out["prefilter"] = f"{_ISSUE_ROWS} SELECT * FROM found WHERE {_KNOWN_FALSE} IS NULL"
+    out["removals_by_rule"] = f"{_ISSUE_ROWS} SELECT rule, count(*) AS n FROM found WHERE {_KNOWN_FALSE} IS NOT NULL GROUP BY rule"
     where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
     out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
     out["structure"] = out["structure"].replace("SELECT *", "SELECT path, severity, message")

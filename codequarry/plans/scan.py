@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import block_rules, declarations, file_rules, issue_filters, line_rules
+from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules
 
 
 @dataclass(frozen=True)
@@ -29,6 +29,8 @@ FILE_RULES = {
     "weak-validation": block_rules.weak_validation,
     "narrative-comments": block_rules.narrative_comments,
     "dead-code": block_rules.dead_code,
+    "swallowed-error": flow_rules.swallowed_errors,
+    "unreachable-code": flow_rules.unreachable_code,
 }
 
 

@@ -107,5 +107,41 @@ FROM documents
 """
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str = DERIVED) -> DataFrame:
-    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+#: Handlers and returns of ten kinds; every file ends with a whole text as comment lines, which no rule may look into.
+DERIVED_FLOW = """
+SELECT concat(CASE WHEN doc_id % 40 >= 35 THEN 'pkg/tests/m' ELSE 'src/m' END, CAST(doc_id AS STRING),
+  CASE doc_id % 10 WHEN 2 THEN '.py' WHEN 3 THEN '.py' WHEN 8 THEN '.py' WHEN 4 THEN '.java' WHEN 5 THEN '.go' WHEN 9 THEN '.php' ELSE '.ts' END) AS path,
+  CASE doc_id % 10 WHEN 2 THEN 'python' WHEN 3 THEN 'python' WHEN 8 THEN 'python' WHEN 4 THEN 'java' WHEN 5 THEN 'go' WHEN 9 THEN 'php' ELSE 'typescript' END AS language,
+  concat(CASE doc_id % 10
+    WHEN 0 THEN concat('try { f(); } catch (e) {', chr(10), '}')
+    WHEN 1 THEN 'try { f(); } catch (e) { console.error("no f", e); }'
+    WHEN 2 THEN concat('try:', chr(10), '    f()', chr(10), 'except ValueError:', chr(10), '    pass')
+    WHEN 3 THEN concat('try:', chr(10), '    f()', chr(10), 'except ValueError:', chr(10), '    pass', chr(10), '    g()', chr(10), 's = "except KeyError: pass"')
+    WHEN 4 THEN concat('try { f(); }', chr(10), 'catch (Exception e) { e.printStackTrace(); }')
+    WHEN 5 THEN concat('if err != nil {', chr(10), chr(9), 'log.Println(err)', chr(10), '}')
+    WHEN 6 THEN concat('function g(x) {', chr(10), '  return x;', chr(10), '  show(x);', chr(10), '}')
+    WHEN 7 THEN concat('function g(x) {', chr(10), '  return [', chr(10), '  x];', chr(10), '}', chr(10), 'h = "// return 1;"')
+    WHEN 8 THEN concat('def g(x):', chr(10), '    raise x', chr(10), '    y = 1', chr(10), '    z = 2')
+    ELSE concat('try { f(); } catch (E $e) { echo "x"; }') END,
+    chr(10), CASE WHEN doc_id % 10 IN (2, 3, 8) THEN '# ' ELSE '// ' END,
+    replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), concat(chr(10), CASE WHEN doc_id % 10 IN (2, 3, 8) THEN '# ' ELSE '// ' END)), chr(10)) AS source
+FROM documents
+"""
+
+#: Issues for the tests of known false alarms, spliced from ``orders``: messages, snippets and paths that hit and miss.
+DERIVED_ISSUES = """
+SELECT o_orderkey AS id,
+  CASE o_orderkey % 9 WHEN 0 THEN 'stub-function' WHEN 1 THEN 'empty-impl' WHEN 2 THEN 'unused-declaration' WHEN 3 THEN 'security' WHEN 4 THEN 'hardcoded-value'
+    WHEN 5 THEN 'unreachable-code' WHEN 6 THEN 'fake-url' WHEN 7 THEN 'package-hallucination' ELSE 'resource-leak' END AS rule,
+  CASE o_orderkey % 9 WHEN 0 THEN concat('body of ', CASE WHEN o_custkey % 2 = 0 THEN 'isOpen' ELSE 'total' END, ' only has return true') WHEN 1 THEN concat(CASE WHEN o_custkey % 2 = 0 THEN '__init__' ELSE 'work' END, ' is bare')
+    WHEN 3 THEN concat('plain http to ', CASE WHEN o_custkey % 3 = 0 THEN 'localhost' ELSE 'host' END) WHEN 4 THEN 'fixed URL' ELSE concat('seen ', o_orderstatus) END AS message,
+  CASE o_orderkey % 9 WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'export const a = 1' ELSE 'const a = 1' END WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN 'const BASE_URL = x' ELSE 'let a = x' END
+    WHEN 5 THEN CASE WHEN o_custkey % 2 = 0 THEN 'case 3:' ELSE 'f()' END WHEN 6 THEN CASE WHEN o_custkey % 2 = 0 THEN 'let DB_HOST = x' ELSE 'let a = x' END
+    WHEN 8 THEN CASE WHEN o_custkey % 3 = 0 THEN 'with open(f)' WHEN o_custkey % 3 = 1 THEN 'defer f.Close()' ELSE 'open(f)' END ELSE 'a()' END AS snippet,
+  CASE o_orderkey % 9 WHEN 4 THEN CASE WHEN o_custkey % 5 = 0 THEN 'src/config/a.ts' ELSE 'src/a.ts' END WHEN 7 THEN CASE WHEN o_custkey % 2 = 0 THEN 'x/node_modules/y/a.js' ELSE 'src/a.js' END ELSE 'src/b.ts' END AS path
+FROM documents
+"""
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str = DERIVED, table: str = "documents") -> DataFrame:
+    return spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf_dir}/{table}.parquet"))

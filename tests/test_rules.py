@@ -2,7 +2,10 @@
 
 import pytest
 
-from codequarry.operators import issue_filters
+from pyspark.sql import functions as F
+
+from codequarry.functions.lexer import code
+from codequarry.operators import issue_filters, known_false
 from codequarry.plans.scan import Options, issues
 from codequarry.sources import source_files
 
@@ -39,6 +42,28 @@ CASES = [
     ("python", "import os\nos.getcwd()", "unused-declaration", False),
     ("python", "import os", "unused-declaration", True),
     ("rust", "let a = b.unwrap();", "swallowed-error", True),
+    ("typescript", "try { f() } catch (e) {}", "swallowed-error", True),
+    ("typescript", "try { f() } catch (e) { /* why */ }", "swallowed-error", True),
+    ("typescript", "try { f() } catch (e) { console.error('f', e) }", "swallowed-error", False),
+    ("typescript", "// try { f() } catch (e) {}\nconst s = 'catch (e) ok'", "swallowed-error", False),
+    ("python", "try:\n    f()\nexcept:\n    pass\n", "swallowed-error", True),
+    ("python", "try:\n    f()\nexcept Exception as e: pass\n", "swallowed-error", True),
+    ("python", "try:\n    f()\nexcept Exception as e:\n    pass\n\n    g()\n", "swallowed-error", False),
+    ("python", "try:\n    f()\nexcept ImportError:\n    pass\n", "swallowed-error", False),
+    ("java", "try { f(); } catch (Exception e) { e.printStackTrace(); }", "swallowed-error", True),
+    ("java", "try { f(); } catch (Exception e) { throw e; }", "swallowed-error", False),
+    ("go", "if err != nil {\n\tlog.Println(err)\n}", "swallowed-error", True),
+    ("go", "if err != nil {\n\treturn err\n}", "swallowed-error", False),
+    ("php", "try { f(); } catch (E $e) { }", "swallowed-error", True),
+    ("ruby", "begin\n  f\nrescue => e\n  puts e\nend\n", "swallowed-error", True),
+    ("ruby", "begin\n  f\nrescue => e\n  g(e)\nend\n", "swallowed-error", False),
+    ("typescript", "\n      function foo() {\n        return 42;\n        console.log('unreachable');\n      }\n    ", "unreachable-code", True),
+    ("typescript", "\n      function foo() {\n        return 42;\n      }\n    ", "unreachable-code", False),
+    ("typescript", "function f() {\n  return [\n  1];\n}\nconst s = `\n  return 1;\n  x`", "unreachable-code", False),
+    ("python", "def f(x):\n    if x:\n        return 1\n    y = 2\n    return y\n", "unreachable-code", False),
+    ("python", 'def f(x):\n    return x\n    # only said\n    """\n    return 1\n    text\n    """\n', "unreachable-code", True),
+    ("python", "def f(x):\n    raise x\n    y = 2\n", "unreachable-code", True),
+    ("go", "switch x {\ncase 1:\n\treturn 1\n\tdefault:\n}", "unreachable-code", False),
     ("python", "if x == x:", "unreachable-code", True),
     ("python", "if x == y:", "unreachable-code", False),
     ("typescript", "function processOrder() { return null; }", "stub-function", True),
@@ -107,3 +132,28 @@ def test_reduced_and_ordered(spark):
     rows = [("p", 1, "r", s, c, "k", "m", "") for s, c in (("low", "low"), ("low", "high"), ("info", "high"), ("critical", "low"))]
     found = spark.createDataFrame(rows, "path string, line int, rule string, severity string, confidence string, category string, message string, snippet string")
     assert [r.severity for r in issue_filters.ordered(issue_filters.reduce_false_positives(found)).collect()] == ["critical", "low"]
+
+
+def test_code_without_comments(spark):
+    rows = [
+        ("typescript", "a = 'x // y' // z\nb = `/* ${1} */` /* q\nr */ + /'\\/\"/g.test(s) / 2", "a = 'x // y'     \nb = `/* ${1} */`     \n     + /'\\/\"/g.test(s) / 2"),
+        ("python", "a = '#' # b\nc = \"\"\"d # e\n'f\"\"\"", "a = '#'    \nc = \"\"\"d # e\n'f\"\"\""),
+        ("rust", "fn f<'a>(x: &'a u8) -> char { '\"' } // b", "fn f<'a>(x: &'a u8) -> char { '\"' }     "),
+        ("go", "x := '/' // é", "x := '/'     "),
+        ("python", None, None),
+        ("c", "", ""),
+    ]
+    files = spark.createDataFrame(rows, "language string, source string, want string")
+    assert [r.got for r in files.select(code(F.col("source"), F.col("language")).alias("got"), "want").collect()] == [w for *_, w in rows]
+
+
+def test_known_false_alarms(spark):
+    rows = [
+        ("stub-function", 'Stub function "isValid" only returns simple value: return true', "", "a.ts", True), ("api-hallucination", 'API hallucination: "Object.map()" does not exist', "", "a.ts", False),
+        ("empty-impl", "__init__ method is empty", "", "a.py", True), ("security", "x", "os.path.join(a, b)", "a.py", True), ("security", None, None, None, False), ("other", "__init__", "", "", False),
+        ("unhandled-promise", "trackUser() not awaited", "", "", True), ("api-hallucination", "pandas.DataFrame.merge", "", "", True), ("swallowed-error", "logger.error(e)", "", "", True),
+        ("unreachable-code", "", "if __name__ == '__main__':", "", True), ("fake-url", "https://api.example.com", "", "", True), ("hardcoded-value", "hard-coded IP", "const DB_HOST = 1", "", True),
+    ]
+    issues = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "id int, rule string, message string, snippet string, path string")
+    assert {r.id for r in known_false.prefiltered(issues).collect()} == {i for i, r in enumerate(rows) if not r[4]}
+    assert sum(r.n for r in known_false.removals_by_rule(issues).collect()) == sum(r[4] for r in rows)
