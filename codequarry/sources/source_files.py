@@ -133,7 +133,7 @@ DERIVED_ISSUES = """
 SELECT o_orderkey AS id,
   CASE o_orderkey % 9 WHEN 0 THEN 'stub-function' WHEN 1 THEN 'empty-impl' WHEN 2 THEN 'unused-declaration' WHEN 3 THEN 'security' WHEN 4 THEN 'hardcoded-value'
     WHEN 5 THEN 'unreachable-code' WHEN 6 THEN 'fake-url' WHEN 7 THEN 'package-hallucination' ELSE 'resource-leak' END AS rule,
-  CASE o_orderkey % 9 WHEN 0 THEN concat('body of ', CASE WHEN o_custkey % 2 = 0 THEN 'isOpen' ELSE 'total' END, ' only has return true') WHEN 1 THEN concat(CASE WHEN o_custkey % 2 = 0 THEN '__init__' ELSE 'work' END, ' is bare')
+  CASE o_orderkey % 9 WHEN 0 THEN concat('body of ', CASE WHEN o_custkey % 2 = 0 THEN 'isOpen' ELSE 'total' END, ' only gives: return true') WHEN 1 THEN concat(CASE WHEN o_custkey % 2 = 0 THEN '__init__' ELSE 'work' END, ' is bare')
     WHEN 3 THEN concat('plain http to ', CASE WHEN o_custkey % 3 = 0 THEN 'localhost' ELSE 'host' END) WHEN 4 THEN 'fixed URL' ELSE concat('seen ', o_orderstatus) END AS message,
   CASE o_orderkey % 9 WHEN 2 THEN CASE WHEN o_custkey % 2 = 0 THEN 'export const a = 1' ELSE 'const a = 1' END WHEN 4 THEN CASE WHEN o_custkey % 2 = 0 THEN 'const BASE_URL = x' ELSE 'let a = x' END
     WHEN 5 THEN CASE WHEN o_custkey % 2 = 0 THEN 'case 3:' ELSE 'f()' END WHEN 6 THEN CASE WHEN o_custkey % 2 = 0 THEN 'let DB_HOST = x' ELSE 'let a = x' END
