@@ -197,6 +197,7 @@ def oracle_sql() -> dict[str, str]:
         "skip_rules": of("SELECT * FROM issues WHERE rule NOT IN ('hardcoded-value', 'resource-leak')"),
         "registry_confirm": of("SELECT * FROM issues WHERE NOT (rule = 'package-hallucination' AND right(snippet, 7) IN ('madeup0', 'madeup1', 'madeup2'))"),
         "statistics": of(f"{count('severity')} UNION ALL {count('confidence')} UNION ALL {count('category')} UNION ALL SELECT 'total', '', count(*) FROM issues"),
+        "json_report": of(f"SELECT CAST(to_json({{{', '.join(repr(c) + ': ' + c for c in line_rules.ISSUE)}}}) AS VARCHAR) AS json FROM issues"),
         "report_by_file": of(f"SELECT path, count(*) AS n, CAST(min({_RANK}) AS INT) AS worst, min(line) AS first_line FROM issues GROUP BY path"),
     }
     out["code_lines"] = f"{_LINES.replace(_FILES, _FLOW_FILES).replace(chr(39) + '%/tests/%' + chr(39), chr(39) * 2)} SELECT path, language, line, text FROM lines WHERE NOT regexp_matches(text, '^(//|#)') AND trim(text) <> ''"
