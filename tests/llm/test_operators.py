@@ -177,7 +177,7 @@ def test_nearest_in_a_dense_group(metric):
     s = nearest_neighbours.Settings(books=4, codes=32, sample_rows=3000, rerank=40, metric=metric)
     books = types.SimpleNamespace(value=nearest_neighbours.train(x, s))
     rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x.tolist(), pa.list_(pa.float32()))], ["vec_id", "v"])
-    base = pa.Table.from_batches(list(nearest_neighbours._encode_rows(books, s)([rows])))
+    base = pa.Table.from_batches(list(nearest_neighbours._encode_rows(books, s)([rows]))).append_column("row", pa.array(np.arange(len(x))))
     asked = base.take(pa.array(range(0, 3000, 60)))
     got = {}
     for r in nearest_neighbours._search(books, s, 20)(asked, base).to_pylist():
