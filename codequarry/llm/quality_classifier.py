@@ -78,7 +78,7 @@ def bigrams(hashes: np.ndarray, s: Settings) -> np.ndarray:
 
 def _texts(column):
     texts = [b"" if t is None else t for t in column.to_pylist()]
-    for a, b in chunks([len(t) for t in texts], 4_000_000):
+    for a, b in chunks([len(t) for t in texts], 1_000_000):
         yield a, texts[a:b]
 
 
@@ -225,18 +225,15 @@ class _Scorer:
         return (1 / (1 + np.exp(-np.clip(np.array(out), -500, 500)))).tolist()
 
 
-def _score(model, s: Settings):
+def _score(model, s: Settings, keep: tuple[str, ...]):
     def run(batches):
         value, bias = model.value
         scorer = _Scorer((value, bias), s)
         for batch in batches:
-            at = batch.schema.get_field_index("text_bytes")
             out = []
-            for _, texts in _texts(batch.column(at)):
+            for _, texts in _texts(batch.column("text").cast(pa.binary())):
                 out += scorer(texts)
-            arrays = [batch.column(k) for k in range(batch.num_columns) if k != at]
-            names = [n for n in batch.schema.names if n != "text_bytes"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), pa.array(out, pa.float64())], [*keep, "score"])
 
     return run
 
@@ -245,9 +242,9 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], s: Settings = S
     """Columns ``keep`` and a score from 0 to 1 of each row's whole text."""
     ship(documents.sparkSession)
     model = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("text_bytes"))
-    schema = StructType([f for f in rows.schema.fields if f.name != "text_bytes"] + [StructField("score", DoubleType())])
-    return rows.mapInArrow(_score(model, s), schema)
+    rows = documents.select(*dict.fromkeys([*keep, "text"]))  # a text that is kept is sent to the task once
+    schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType())])
+    return rows.mapInArrow(_score(model, s, keep), schema)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
