@@ -30,7 +30,7 @@ def cells(hashes: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def _counted(hash_batches, flush: int = 1 << 22):
+def _counted(hash_batches, flush: int = 1 << 21):
     """Per shard: the cells met once, and those met twice or more, in this partition."""
     held: list[np.ndarray] = []
     size = 0
@@ -40,9 +40,9 @@ def _counted(hash_batches, flush: int = 1 << 22):
         first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         twice = np.diff(np.r_[first, len(every)]) > 1
         unique = every[first]
-        bounds = np.searchsorted(unique, np.arange(SHARDS + 1) * SHARD_CELLS)
+        bounds = np.searchsorted(unique, (np.arange(SHARDS + 1) * SHARD_CELLS).astype(np.uint32))
         rows = [(s, a, b) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        pack = lambda x, s: zlib.compress(np.diff(x - s * SHARD_CELLS, prepend=0).astype(np.uint32).tobytes(), 1)
+        pack = lambda x, s: zlib.compress(np.diff(x - np.uint32(s * SHARD_CELLS), prepend=np.uint32(0)).tobytes(), 1)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([s for s, _, _ in rows], pa.int32()),
@@ -53,7 +53,7 @@ def _counted(hash_batches, flush: int = 1 << 22):
         )
 
     for h in hash_batches:
-        held += cells(h)
+        held += [c.astype(np.uint32) for c in cells(h)]
         size += DEPTH * len(h)
         if size >= flush:
             yield out()
