@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
-from codequarry.operators import file_rules, issue_filters, known_false, line_rules
+from codequarry.operators import file_rules, issue_filters, known_false, line_rules, review
 from codequarry.plans import scan
+from codequarry.sources import manifests
 from codequarry.sources import source_files as S
 
 _FILES = f"WITH source_files AS ({S.DERIVED.replace('AS STRING', 'AS VARCHAR')})"
@@ -94,6 +95,27 @@ _KNOWN_FALSE = """CASE WHEN rule = 'stub-function' AND message LIKE '%isOpen%ret
   WHEN rule = 'resource-leak' AND starts_with(snippet, 'defer ') THEN 'deferred_close' END"""
 
 
+#: Manifests by other means than the engine's: a window carries each line's section forward.
+_MANIFESTS = (
+    f"WITH m AS ({manifests.DERIVED_MANIFESTS.replace('FROM documents', 'FROM orders').replace('AS STRING', 'AS VARCHAR')})"
+    + r""", raw AS (SELECT path, generate_subscripts(string_split(source, chr(10)), 1) AS line, trim(unnest(string_split(source, chr(10))), concat(' ', chr(9))) AS text FROM m),
+said AS (SELECT *, last_value(CASE WHEN regexp_matches(text, '^\[[^\]]+\]') THEN regexp_extract(text, '^\[([^\]]+)\]', 1) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS section FROM raw),
+numbered AS (SELECT *, sum(CASE WHEN starts_with(text, '[') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS block FROM said),
+named AS (
+  SELECT path, 'python' AS language, lower(regexp_extract(text, '^([^=<>!~\s\[]+)', 1)) AS name FROM said WHERE path LIKE '%/requirements.txt' AND NOT starts_with(text, '#') AND NOT starts_with(text, '-')
+  UNION ALL SELECT path, 'python', lower(regexp_extract(text, '^["'']([a-zA-Z0-9_-]+)["'']', 1)) FROM said WHERE path LIKE '%/pyproject.toml' AND section = 'project.dependencies'
+  UNION ALL SELECT path, 'python', lower(regexp_extract(text, '^([a-zA-Z0-9_-]+)\s*=', 1)) FROM said WHERE path LIKE '%/pyproject.toml' AND section LIKE 'tool.poetry.%dependencies%' AND NOT starts_with(text, 'python ')
+  UNION ALL SELECT path, 'python', lower(regexp_extract(text, '^["'']([a-zA-Z0-9_-]+)', 1)) FROM said WHERE path LIKE '%/pyproject.toml' AND section LIKE 'tool.pdm.%dependencies%'
+  UNION ALL SELECT path, 'python', lower(regexp_extract(text, '^["'']([a-zA-Z0-9_-]+)["'']\s*[=<>!~\[,]', 1)) FROM said WHERE path LIKE '%/pyproject.toml' AND section NOT LIKE '%dependencies%'
+  UNION ALL SELECT path, 'python', lower(arg_min(regexp_extract(text, '^name\s*=\s*"([^"]+)"', 1), line)) FROM numbered WHERE path LIKE '%.lock' AND section = '[package' AND regexp_matches(text, '^name\s*=') AND NOT contains(text, '"python"') GROUP BY path, block
+  UNION ALL SELECT path, 'python', lower(regexp_extract(text, '^([a-zA-Z0-9_-]+)\s*=', 1)) FROM said WHERE path LIKE '%/Pipfile' AND section IN ('packages', 'dev-packages')
+  UNION ALL SELECT path, 'python', lower(unnest(regexp_extract_all(source, '["'']([a-zA-Z0-9_-]+)["'']\s*[=<>!~]', 1))) FROM m WHERE path LIKE '%/setup.py'
+  UNION ALL SELECT path, unnest(['javascript', 'typescript']), name FROM (SELECT path, unnest(json_keys(source, '$.dependencies') || json_keys(source, '$.devDependencies')) AS name FROM m WHERE path LIKE '%/package.json' AND json_valid(source))
+  UNION ALL SELECT path, 'go', coalesce(nullif(regexp_extract(text, '^module\s+(\S+)', 1), ''), regexp_extract(text, '^(\S+)\s+v[\d.]+', 1)) FROM said WHERE path LIKE '%/go.mod')"""
+)
+_REVIEWED = "(rule IN ('api-hallucination', 'package-hallucination') OR (rule IN ('fake-url', 'security') AND severity <> 'low') OR (rule IN ('swallowed-error', 'hardcoded-value', 'resource-leak', 'unused-declaration') AND severity IN ('critical', 'high') AND confidence = 'high'))"
+
+
 def _found_issues(spark, sf_dir):
     return S.derived(spark, sf_dir, S.DERIVED_ISSUES, "orders")
 
@@ -171,6 +193,9 @@ def queries() -> dict:
         "prefilter": lambda s, d: known_false.prefiltered(_found_issues(s, d)),
         "removals_by_rule": lambda s, d: known_false.removals_by_rule(_found_issues(s, d)),
         "json_report": lambda s, d: issue_filters.as_json(_scan(s, d)),
+        "declared_packages": lambda s, d: manifests.declared(S.derived(s, d, manifests.DERIVED_MANIFESTS, "orders")),
+        "review_eligible": lambda s, d: review.eligible(_scan(s, d)),
+        "review_portions": lambda s, d: review.portion_rules(_found_issues(s, d).withColumns({"severity": F.lit("high"), "line": F.col("id")}), 25),
     }
     out |= {f"rule_{name.replace('-', '_')}": _function_rule(name) for name in _SQL_FUNCTION_RULES}
     return out | {f"rule_{name.replace('-', '_')}": _rule(name) for name in _SQL_RULES}
@@ -206,6 +231,9 @@ def oracle_sql() -> dict[str, str]:
     out["known_false"] = f"{_ISSUE_ROWS} SELECT *, {_KNOWN_FALSE} AS known_false FROM found"
     out["prefilter"] = f"{_ISSUE_ROWS} SELECT * FROM found WHERE {_KNOWN_FALSE} IS NULL"
     out["removals_by_rule"] = f"{_ISSUE_ROWS} SELECT rule, count(*) AS n FROM found WHERE {_KNOWN_FALSE} IS NOT NULL GROUP BY rule"
+    out["declared_packages"] = f"{_MANIFESTS} SELECT DISTINCT path, language, name FROM named WHERE name <> ''"
+    out["review_eligible"] = of(f"SELECT * FROM issues WHERE {_REVIEWED}")
+    out["review_portions"] = f"{_ISSUE_ROWS}, placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY id) - 1) // 25 AS INT) AS portion FROM found) SELECT path, portion, count(*) AS n, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM placed GROUP BY path, portion"
     where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
     out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
     out["structure"] = out["structure"].replace("SELECT *", "SELECT path, severity, message")
