@@ -89,9 +89,15 @@ class Similarity:
     def low(self, c: int) -> float:
         return (100 / self.percent) ** c
 
+    def differences(self, c: int) -> int:
+        """The most elements that two linked sets differ by, if the smaller one is of class c."""
+        return int(self.low(c + 1) * (100 - self.percent) / self.percent * (1 + 1e-9))
+
     def groups(self, c: int) -> int:
-        """One more than two sets can differ by, if the smaller one is of class c."""
-        return int(self.low(c + 1) * (100 - self.percent) / self.percent * (1 + 1e-9)) + 1
+        """How many groups sets of class c are hashed into: more than they can differ by, and as many again as will be empty."""
+        least = self.differences(c) + 1
+        empty = least * math.exp(-self.low(c) / least)
+        return least + math.ceil(1.5 * empty + 2 * math.sqrt(empty))
 
 
 def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -113,9 +119,11 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
 def signatures(tokens: np.ndarray, s: Similarity) -> np.ndarray:
     """One number for each group's content, in the set's own size class and the one below.
 
-    Empty groups would be equal everywhere. They give no signature; a set that
-    has one is grouped again by another hash, as has any partner that only
-    such a group is shared with. The last hash keeps them.
+    Empty groups would be equal everywhere and give no signature. A set with
+    more groups in use than linked sets can differ by shares one of those with
+    every partner; one with fewer is grouped again by another hash. Under each
+    hash it still shows its groups in use, for partners that stop there. The
+    last hash keeps the empty ones too.
     """
     out = []
     c = s.size_class(len(tokens))
@@ -129,12 +137,12 @@ def signatures(tokens: np.ndarray, s: Similarity) -> np.ndarray:
             group = ((mixed >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
             sums = np.zeros(n, np.uint64)
             np.add.at(sums, group, mix(mixed))
-            full = np.bincount(group, minlength=n) > 0
+            used = np.bincount(group, minlength=n) > 0
             named = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + label))
-            if full.all() or seed == SEEDS - 1:
-                out.append(named)
+            enough = used.sum() > s.differences(k)
+            out.append(named if seed == SEEDS - 1 and not enough else named[used])
+            if enough:
                 break
-            out.append(named[full])
     return np.concatenate(out)
 
 

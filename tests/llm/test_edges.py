@@ -37,6 +37,20 @@ def test_rows_that_share_a_doc_id_keep_all_links(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 20, 60, 330, 1000])
+def test_sets_that_differ_as_much_as_links_can_share_a_signature(percent, n):
+    s, rng = jaccard_join.Similarity(5, percent), np.random.default_rng(n)
+    for _ in range(20):
+        apart = n * (100 - percent) // percent
+        x = np.unique(rng.integers(0, 2**64, n + apart, dtype=np.uint64))
+        rng.shuffle(x)
+        cut = n + int(rng.integers(0, apart + 1))
+        a, b = np.sort(x[:cut]), np.sort(np.r_[x[:n], x[cut:]])
+        assert s.linked(n, len(a), len(b))
+        assert len(np.intersect1d(jaccard_join.signatures(a, s), jaccard_join.signatures(b, s)))
+
+
 @pytest.mark.parametrize("s", [jaccard_join.Similarity(3, 90), jaccard_join.Similarity()])
 def test_box_join_finds_all_pairs_that_the_bound_leaves(s):
     rng = np.random.default_rng(1)
