@@ -286,7 +286,8 @@ def pivot_pairs(near: np.ndarray, rank: list, few: int) -> list[tuple[int, int,
 def _tree_pairs(s: Similarity, few: int):
     """Of rows (cell, rep, weight, joined, counts) sorted by cell: pairs of representatives to verify, and whether others depend on them.
 
-    Where some are joined already, only pairs of a joined one and another are wanted.
+    A pair is named the same way in every cell, the lower rank first, so that it is verified once. Where some are
+    joined already, only pairs of a joined one and another are wanted.
     """
 
     def flush(rows):
@@ -294,7 +295,9 @@ def _tree_pairs(s: Similarity, few: int):
         joined = np.array([r[3] for r in rows])
         if joined.any():
             near &= joined[:, None] ^ joined[None, :]
-        return [(rows[i][1], rows[k][1], wide) for i, k, wide in pivot_pairs(near, [(r[2], r[1]) for r in rows], few)]
+        rank = [(r[2], r[1]) for r in rows]
+        pairs = [(*sorted((i, k), key=rank.__getitem__), wide) for i, k, wide in pivot_pairs(near, rank, few)]
+        return [(rows[i][1], rows[k][1], wide) for i, k, wide in pairs]
 
     def batch_of(pairs):
         types = (pa.int64(), pa.int64(), pa.bool_())
