@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import bpe, jaccard_join, merkle, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
+from codequarry.llm import bpe, hard_negatives, jaccard_join, merkle, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         nearest_neighbours.op8_nearest_neighbours,
         bpe.op9_bpe,
         mixing.op10_mixing,
+        hard_negatives.op12_hard_negatives,
         merkle.op13_merkle_manifest,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.SQL, "op13_merkle_manifest": merkle.SQL}
+    return {"op2_quality_rules": quality_rules.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_merkle_manifest": merkle.SQL}
