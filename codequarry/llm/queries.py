@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import bpe, hard_negatives, jaccard_join, merkle, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, token_counts
+from codequarry.llm import bpe, hard_negatives, jaccard_join, merkle, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, suffix_tree_lm, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         nearest_neighbours.op8_nearest_neighbours,
         bpe.op9_bpe,
         mixing.op10_mixing,
+        suffix_tree_lm.op11_suffix_tree_lm,
         hard_negatives.op12_hard_negatives,
         merkle.op13_merkle_manifest,
     ]
