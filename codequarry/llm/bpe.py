@@ -8,7 +8,9 @@ is linear in the word. The result is exactly that of applying merges in rank
 order. Words are cached per worker, in bounded caches.
 
 The tokenizer's file is a parameter; its bytes travel to the tasks in a
-broadcast of that file's size. Null is an empty text, which has no tokens.
+broadcast of that file's size; a file that asks for another normaliser, split
+pattern or model is refused. Texts beyond Latin letters are normalised by the
+library itself, whose version of Unicode decides which marks compose. Null is an empty text, which has no tokens.
 Rows are independent, so repeated rows give repeated results, and extra
 columns are ignored.
 """
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -46,17 +47,16 @@ def byte_symbols() -> list[str]:
 
 @dataclass(frozen=True)
 class Unicode:
-    """Code points that the tokenizer's library treats by another version of Unicode than Python: other lower case, and
-    (added, removed) letters and numbers, written for a character class."""
+    """Code points that the tokenizer's library treats by another version of Unicode than Python: (added, removed) letters
+    and numbers, written for a character class."""
 
-    lower: tuple[tuple[int, str], ...] = ()
     letters: tuple[str, str] = ("", "")
     numbers: tuple[str, str] = ("", "")
 
 
 @lru_cache(maxsize=4)
 def unicode_of(tokenizer: str) -> Unicode:
-    """Asks the library's normaliser and pre-tokeniser of this file about each code point, once."""
+    """Asks the library's pre-tokeniser of this file about each code point, once."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
@@ -64,18 +64,15 @@ def unicode_of(tokenizer: str) -> Unicode:
     chars = [chr(c) for c in [*range(0x80, 0x40000), *range(0xE0000, 0xE1000)] if not 0xD800 <= c < 0xE000]
     space = set(regex.findall(f"[{SPACE}]", "".join(chars)))
     of_python = {k: set(regex.findall(rf"\p{{{k}}}", "".join(chars))) for k in "LN"}
-    lower, of_library = [], {"L": set(), "N": set()}
+    of_library = {"L": set(), "N": set()}
     for first in range(0, len(chars), 256):
         part = [c for c in chars[first : first + 256] if c not in space]
-        for c, n in zip(part, t.normalizer.normalize_str("|".join(part)).split("|"), strict=True):
-            if n != plain_lower(c):
-                lower.append((ord(c), n))
         # between letters a letter splits nothing off, between marks nothing but a letter or a number splits anything off
         whole = lambda mark: {p[1] for p in _shown([p for p, _ in t.pre_tokenizer.pre_tokenize_str("\n".join([mark + c + mark for c in part]))]) if len(p) == 3 and p[0] == p[2] == mark}  # noqa: B023, E731
         letters = whole("a")
         of_library["L"] |= letters
         of_library["N"] |= set(part) - letters - whole("!")
-    return Unicode(tuple(lower), *((written(of_library[k] - of_python[k]), written(of_python[k] - of_library[k])) for k in "LN"))
+    return Unicode(*((written(of_library[k] - of_python[k]), written(of_python[k] - of_library[k])) for k in "LN"))
 
 
 def written(chars: set[str]) -> str:
@@ -91,8 +88,26 @@ def _shown(pieces: list[str]) -> list[str]:
     return "\n".join(pieces).translate(_BYTES).encode("latin-1").decode("utf-8", "replace").split("\n")
 
 
-def plain_lower(text: str) -> str:
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower() alone would see a word's last sigma
+#: The one normaliser and split pattern that this encoder knows.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Beyond these, composition and lower case follow the library's version of Unicode; below, nothing composes and all versions agree.
+BEYOND_LATIN = regex.compile("[^\\x00-\u02ff]")
+
+
+def checked(d: dict) -> dict:
+    """The file's content, if it asks for what this encoder does."""
+    split = next((p for p in (d.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"), None)
+    if d.get("normalizer") != NORMALIZER or split is None or split["pattern"] != {"Regex": PATTERN} or d["model"]["type"] != "BPE":
+        raise ValueError("the tokenizer's file has a normaliser, split pattern or model that is not known here")
+    return d
+
+
+def normalizer_of(d: dict):
+    """The library's normaliser of a tokenizer's file, without its vocabulary."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(json.dumps({"version": "1.0", "normalizer": d["normalizer"], "model": {"type": "BPE", "vocab": {}, "merges": []}})).normalizer
 
 
 _BYTES = {ord(c): b for b, c in enumerate(byte_symbols())}
@@ -102,9 +117,9 @@ class BytePairs:
     """The vocabulary and merges of a byte-level BPE with an end-of-word mark."""
 
     def __init__(self, spec: str, unicode: Unicode | None = None):
-        d = json.loads(spec)
+        d = checked(json.loads(spec))
         u = unicode or Unicode()
-        self.lower = dict(u.lower)
+        self.normalizer = normalizer_of(d)
         model = d["model"]
         self.mark = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
@@ -223,10 +238,11 @@ class BytePairs:
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        text = plain_lower(text)
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            text = text.lower()
+        else:
+            text = self.normalizer.normalize_str(text)
         get, piece = self.cache.get, self.piece
-        if self.lower and not text.isascii():
-            text = text.translate(self.lower)
         pieces = self.odd_pieces if self.odd and not text.isascii() and self.odd.search(text) else self.pieces
         return b"".join([get(p) or piece(p) for p in pieces.findall(text)])
 

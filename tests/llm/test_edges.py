@@ -117,6 +117,34 @@ def test_bpe_of_code_points_that_unicode_versions_treat_differently():
             assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, hex(c)
 
 
+def test_bpe_of_marks_next_to_each_other():
+    """Which marks compose, and in which order they stand, is a matter of the library's version of Unicode."""
+    import random
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(file)
+    with open(file, encoding="utf-8") as f:
+        own = bpe.BytePairs(f.read(), bpe.unicode_of(file))
+    newer = [0x7FD, 0xC3C, 0xD3B, 0x10EFD, *range(0x898, 0x8A0), *range(0x8CA, 0x8D4), *range(0x1ABF, 0x1ACF), *range(0x1DF6, 0x1DFB), *range(0x10D24, 0x10D28)]
+    marks = [*newer, *(c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c)))]
+    pick = random.Random(9)
+    for i in range(20_000):
+        text = pick.choice("aeo\u00c9\u03b1\u0438x") + chr(newer[i % len(newer)]) + "".join(chr(pick.choice(marks)) for _ in range(2)) + pick.choice(["", " b"])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_bpe_refuses_a_file_that_asks_for_something_else():
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    with pytest.raises(ValueError):
+        bpe.BytePairs(json.dumps(spec | {"normalizer": {"type": "NFKC"}}))
+
+
 def test_secrets_are_added_and_strict_spans_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = [(r.text or "", r.spans) for r in docs.join(pii.op5_pii(spark, "/root/testdata/sf0.01").select("doc_id", "spans"), "doc_id").select("text", "spans").collect()]
