@@ -243,17 +243,39 @@ def fit(spans: DataFrame) -> Model:
     return train([(dict(zip(names, k)), n) for k, n in counts])
 
 
+#: A span that is kept, and one on the way there.
+_KEPT = "struct<start:int,kind:int,end:int,strict:boolean>"
+_FREE = "struct<start:int,kind:int,end:int,strict:boolean,free:boolean>"
+
+
 def _kept(found: Column, model: Model) -> Column:
     """Strict spans, and likely looser ones that overlap no strict one and no likely one before them.
 
-    The work grows with the likely looser spans of a text times its spans; strict spans alone cost nothing.
+    ``found`` is sorted by start. Three sweeps: one has the last end of strict spans before, one (backwards) the first
+    start of those behind, one the last end of the looser ones that are left, so the work is linear in a text's spans.
     """
-    strict = F.filter(found, lambda x: x["strict"])
-    likely = F.filter(found, lambda x: ~x["strict"] & (model.probability(x) >= 0.5))
-    overlap = lambda x, y: (x["start"] < y["end"]) & (y["start"] < x["end"])
-    free = F.filter(likely, lambda x: ~F.exists(strict, lambda y: overlap(x, y)))
-    first = F.filter(free, lambda x: ~F.exists(free, lambda y: overlap(x, y) & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["kind"] < x["kind"])))))
-    return F.array_sort(F.concat(strict, first))
+
+    def sweep(spans, first, after, free):
+        def step(at, x):
+            ok = x["free"] & (x["strict"] | free(at, x))
+            return after(at, x, ok), F.struct(*[x[n].alias(n) for n in ("start", "kind", "end", "strict")], ok.alias("free"))
+
+        return _walk(spans, "int", F.lit(first), _FREE, step)
+
+    def judged(x):
+        likely = x["strict"] | (model.probability(x) >= 0.5)
+        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["strict"].alias("strict"), likely.alias("free"))
+
+    likely = F.filter(F.transform(found, judged), lambda x: x["free"])
+    strict_end = lambda at, x, ok: F.when(x["strict"], F.greatest(at, x["end"])).otherwise(at)
+    strict_start = lambda at, x, ok: F.when(x["strict"], x["start"]).otherwise(at)
+    loose_end = lambda at, x, ok: F.when(ok & ~x["strict"], F.greatest(at, x["end"])).otherwise(at)
+    before = sweep(likely, 0, strict_end, lambda at, x: at <= x["start"])
+    behind = sweep(F.reverse(before), 2**31 - 1, strict_start, lambda at, x: at >= x["end"])
+    free = F.filter(F.reverse(behind), lambda x: x["free"])
+    # a looser span stands behind the ends of all free ones before it, whether those were kept or not
+    seen = _walk(free, "int", F.lit(0), _FREE, lambda at, x: (loose_end(at, x, F.lit(True)), F.struct(*[x[n].alias(n) for n in ("start", "kind", "end", "strict")], (x["strict"] | (at <= x["start"])).alias("free"))))
+    return F.transform(F.filter(seen, lambda x: x["free"]), lambda x: F.struct(*[x[n].alias(n) for n in ("start", "kind", "end", "strict")]).cast(_KEPT))
 
 
 def _named(spans: Column) -> Column:
