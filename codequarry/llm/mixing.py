@@ -8,8 +8,10 @@ buckets leave a threshold of 36 bits; a document is taken once more if its
 hash is below its source's threshold. Nothing is sorted but the buckets.
 
 A null text or one without words has size 0 and is never taken. A null source
-is a source of its own, the last. Repeated rows have equal hashes and are
-taken or left together. Extra columns are ignored.
+is a source of its own, the last. Rows with equal hashes (repeated rows) are
+numbered across all tasks, and all but the first get a hash of their number, so
+that a source of equal rows comes as near its target as any other. Extra
+columns are ignored by the query and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.llm.merkle import GROUP, positions
 from codequarry.runtime import materialize
 
 LEVEL_BITS, LEVELS = 12, 3
@@ -33,19 +36,36 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source keys, size and the first 36 bits of a hash of each row."""
-    return documents.select(
+def sized(documents: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, source keys, size and the first 36 bits of a hash of each row, written once; and what is ``carried``."""
+    rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("source", F.lit("")).alias("source_key"),
         F.col("source").isNull().alias("source_null"),
         size_of(F.col("text")).alias("size"),
         place(F.col("doc_id"), F.col("text")).alias("place"),
+        *carried,
     )
+    return apart(materialize(rows, "sizes"))
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows of which no two need share a place: of equal places all but one move to a place made of it and their number."""
+    again = materialize(rows.groupBy("place").count().filter("count > 1").select("place"), "mixing-again")
+    if again.isEmpty():
+        return rows
+    group = dict(zip(GROUP, (F.lit(True), F.col("place").cast("string"))))
+    same = positions(rows.join(again, "place", "left_semi").withColumns(group), ["doc_id", "size"])
+    moved = F.when(F.col("idx") == 0, F.col("place")).otherwise(_bits(F.xxhash64("place", "idx")))
+    return materialize(rows.join(again, "place", "left_anti").select(rows.columns).unionByName(same.withColumn("place", moved).select(rows.columns)), "mixing-apart")
+
+
+def _bits(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - LEVEL_BITS * LEVELS)
 
 
 def place(doc_id: Column, text: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id.cast("long"), text), 64 - LEVEL_BITS * LEVELS)
+    return _bits(F.xxhash64(doc_id.cast("long"), text))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -115,7 +135,7 @@ def _with_sources(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 def planned(documents: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """The sizes of all rows, written once, and the plan of each source."""
-    sizes = materialize(sized(documents), "sizes")
+    sizes = sized(documents)
     return sizes, thresholds(sizes, **options)
 
 
@@ -125,15 +145,8 @@ def taken_copies() -> Column:
 
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row as often as it is taken (0, 1 or 2 times), columns unchanged."""
-    _, plan = planned(documents, **options)
-    row = F.struct(*[documents[f"`{c}`"] for c in documents.columns])
-    rows = documents.select(
-        row.alias("row"),
-        F.coalesce("source", F.lit("")).alias("source_key"),
-        F.col("source").isNull().alias("source_null"),
-        size_of(F.col("text")).alias("size"),
-        place(F.col("doc_id"), F.col("text")).alias("place"),
-    )
+    rows = sized(documents, F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row"))
+    plan = thresholds(rows.drop("row"), **options)
     again = _with_sources(rows, plan).withColumn("n", taken_copies()).filter("n > 0")
     return again.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
