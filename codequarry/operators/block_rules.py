@@ -1,8 +1,8 @@
 """Rules over whole functions, comments with the code below them, and exports: built-in expressions over whole sources.
 
-Function patterns run once over a file's source; a hit's line is counted from
-the line feeds before it, so no file is exploded into lines for them. Only
-dead-code shuffles: exported names against the words of all files.
+Functions and methods come from the scope parser, Python's from its syntax tree
+(by patterns where that does not parse). Only dead-code shuffles: exported names
+against the words of all files.
 
 A null source has no functions, comments or exports; equal files give equal
 issues each. Extra columns are ignored.
@@ -13,28 +13,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators import python_tree, syntax
 from codequarry.operators.line_rules import ISSUE
 from codequarry.sources.source_files import is_test_file
 
-_JS = r"(?:function\s+(\w+)\s*\([^(){}]*\)[^{}();=]*|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^(){}]*\)[^{}();=]*=>\s*)"
-#: language: a function's head up to its body's brace; one of the groups is its name.
-HEADS = {
-    "javascript": _JS,
-    "typescript": _JS,
-    "java": r"(?:public|private|protected|static)\s+[\w<>\[\], ]+\s(\w+)\s*\([^(){}]*\)[^{}();=]*",
-    "go": r"func\s+(?:\([^()]*\)\s*)?(\w+)\s*\([^{}]*\)[^{}();=\n]*",
-    "rust": r"fn\s+(\w+)[^{};]*",
-}
-_EMPTY_JS = r"\{\s*(?:(?://[^\n]*\n|/\*[^*]*\*/)\s*)*(?:return\s*;?\s*)?\}"
-#: language: a body that does nothing, and one that only gives a fixed value.
-EMPTY = {"javascript": _EMPTY_JS, "typescript": _EMPTY_JS, "java": r"\{\s*(?:return(?:\s+null)?\s*;\s*)?\}", "go": r"\{\s*(?:return(?:[ \t]+(?:nil|0|false|\"\"))?\s*)?\}", "rust": r"\{\s*(?:return\s*(?:\(\))?\s*;\s*)?\}"}
 _VALUE = r"(?:null|undefined|true|false|0|''|\"\"|\[\s*\]|\{\s*\})"
+#: language: what the only statement of a body that does nothing may be.
+EMPTY = {"javascript": "return", "typescript": "return", "java": "return(?: null)?", "go": "return(?: (?:nil|0|false|\"\"))?", "rust": r"return(?: \(\))?", "php": "return"}
+#: language: the only statement of a body that gives a fixed value.
 STUB = {
-    "javascript": rf"\{{\s*return\s+{_VALUE}\s*;?\s*\}}",
-    "typescript": rf"\{{\s*return\s+{_VALUE}\s*;?\s*\}}",
-    "java": r"\{\s*return\s+(?:true|false|0|\"\")\s*;\s*\}",
-    "go": r"\{\s*return\s+true\s*\}",
-    "rust": r"\{\s*(?:None|true|false|0|todo!\(\)|unimplemented!\(\))\s*\}",
+    "javascript": f"return {_VALUE}",
+    "typescript": f"return {_VALUE}",
+    "java": 'return (?:true|false|0|"")',
+    "go": "return true",
+    "rust": r"(?:return )?(?:None|true|false|0|todo!\(\)|unimplemented!\(\))",
+    "php": r"return (?:null|true|false|0|''|\"\"|\[\])",
+    "ruby": r"(?:return )?(?:nil|true|false|0|''|\"\"|\[\]|\{\})",
 }
 _DEF = r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\([^()]*\)[^:\n]*:[ \t]*\n(?:[ \t]*#[^\n]*\n)*[ \t]+"
 _DEF_END = r"[ \t]*(?:\n[ \t]*)*(?=\n\S|\n[ \t]*(?:async[ \t]+)?(?:def|class|@)|\s*$(?![\s\S]))"
@@ -43,6 +37,7 @@ BOOLEAN_NAME = r"^(?:is|has|can|should)[A-Z_]"
 FACTORY_NAME = r"^(?:create|make|build|default|noop|empty|new)"
 FIXED_NAMES = ["constructor", "init", "main", "new", "default"]
 _CHECKED = r"\{(?:[^{}]++|\{[^{}]*+\})*+\}"
+_HEAD_JS = r"(?:function\s+(\w+)\s*\([^(){}]*\)[^{}();=]*|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^(){}]*\)[^{}();=]*=>\s*)"
 WEAK = r"if\s*\(\s*!\s*\w+\s*\)\s*\{?\s*(?:return|throw)\b"
 STRONG = r"(?i)typeof|instanceof|\.test\(|\.match\(|\.length\b|Number\.is|isNaN|Array\.isArray|\b(?:joi|zod|yup|ajv)\b"
 NARRATIVE = r"(?i)^(?:now |then |here )?(?:we |let's |let us )?(?:create|get|set|call|loop|iterate|check|add|initiali[sz]e|define|increment|update|calculate|import)\b"
@@ -76,31 +71,41 @@ def _live(files: DataFrame, *languages: str) -> DataFrame:
     return files.filter(~is_test_file(F.col("path")) & F.col("language").isin(*languages)).select("path", "language", "source")
 
 
-def _functions(files: DataFrame, bodies: dict[str, str], python: str | None) -> DataFrame:
-    parts = [_matches(_live(files, language), HEADS[language] + body, 2 if HEADS[language] is _JS else 1) for language, body in bodies.items()]
-    if python:
-        parts.append(_matches(_live(files, "python"), python))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(~F.col("name").isin(FIXED_NAMES) & ~F.col("name").rlike(f"{FACTORY_NAME}|^__|^test_"))
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.filter(~F.col("name").isin(FIXED_NAMES) & ~F.col("name").rlike(f"{FACTORY_NAME}|^__|^test_"))
+
+
+def _bodies(files: DataFrame, only: dict[str, str], none: bool) -> DataFrame:
+    """path, line, snippet and name of functions and methods whose one statement is as ``only`` says for their language, or (``none``) that have none."""
+    rows = syntax.parsed(_live(files, *only)).select("path", "language", F.split("source", "\n", -1).alias("rows"), "nodes")
+    pattern = F.element_at(F.create_map(*[F.lit(x) for k, v in only.items() for x in (k, f"^(?:{v})$")]), F.col("language"))
+    such = lambda x: x["kind"].isin("function", "method") & (x["name"] != "") & ((F.lit(none) & (x["size"] == 0)) | ((x["size"] == 1) & F.regexp_like(x["only"], pattern)))
+    rows = rows.select("path", "rows", F.explode(F.filter("nodes", such)).alias("x"))
+    return _named(rows.select("path", "x.line", F.regexp_replace(F.get("rows", F.col("x.line") - 1), r"^\s+|\s+$", "").alias("snippet"), "x.name"))
+
+
+def _unparsed(files: DataFrame, pattern: str) -> DataFrame:
+    """The pattern's matches in Python files that do not parse."""
+    broken = python_tree.parsed(_live(files, "python")).filter("error is not null").select("path", F.lit("python").alias("language"), "source")
+    return _named(_matches(broken, pattern)).select("path", "line", "snippet", "name")
 
 
 def stub_functions(files: DataFrame) -> DataFrame:
     """Functions that only give a fixed value; of low severity where the name asks a question."""
+    rows = _bodies(files, STUB, False).unionByName(_unparsed(files, PYTHON["stub"]))
     severity = F.when(F.col("name").rlike(BOOLEAN_NAME), "low").otherwise("high")
-    return _issues(_functions(files, STUB, PYTHON["stub"]), "stub-function", "ai-code", severity, "high", "function only returns a fixed value")
+    return _issues(rows, "stub-function", "ai-code", severity, "high", "function only returns a fixed value").unionByName(python_tree.stub_functions(files))
 
 
 def empty_functions(files: DataFrame) -> DataFrame:
-    return _issues(_functions(files, EMPTY, PYTHON["empty"]), "empty-impl", "ai-code", F.lit("high"), "high", "function does nothing")
+    rows = _bodies(files, EMPTY, True).unionByName(_unparsed(files, PYTHON["empty"]))
+    return _issues(rows, "empty-impl", "ai-code", F.lit("high"), "high", "function does nothing").unionByName(python_tree.empty_functions(files))
 
 
 def weak_validation(files: DataFrame) -> DataFrame:
     """Script functions with untyped parameters that ask only whether a value is there; bodies of up to two levels of braces."""
-    bodies = {language: _CHECKED for language in ("javascript", "typescript")}
     head = F.regexp_extract("text", r"\(([^(){}]*)\)", 1)
-    rows = _functions(files, bodies, None).filter(F.col("text").rlike(WEAK) & ~F.col("text").rlike(STRONG) & (head != "") & ~head.contains(":"))
+    rows = _named(_matches(_live(files, "javascript", "typescript"), _HEAD_JS + _CHECKED, 2)).filter(F.col("text").rlike(WEAK) & ~F.col("text").rlike(STRONG) & (head != "") & ~head.contains(":"))
     return _issues(rows, "weak-validation", "ai-code", F.lit("medium"), "medium", "only presence is checked")
 
 

@@ -1,6 +1,8 @@
-"""Handlers that swallow errors, and code behind a return: patterns and line pairs over code without comments.
+"""Handlers that swallow errors, and code behind a return: patterns over code without comments, and the scopes around it.
 
-All are expressions over one file's row, without a shuffle. A null source has no
+Patterns are expressions over one file's row; blocks and Python's handlers come
+from one Arrow pass over it (see ``syntax`` and ``python_tree``; Python files
+that do not parse are judged by the pattern). A null source has no
 issues; equal files give equal issues each. Extra columns are ignored.
 """
 
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
+from codequarry.operators import python_tree, syntax
 from codequarry.operators.line_rules import ISSUE
 from codequarry.sources.source_files import is_test_file
 
@@ -27,11 +30,8 @@ SWALLOWED = {
     "php": r"\bcatch\s*\([^()]*\)\s*\{\s*(?:(?:echo|print|var_dump|error_log)\b[^;{}]*;\s*)*\}",
     "ruby": r"(?m)^[ \t]*rescue\b[^\n]*\n\s*(?:nil\s+|retry\s+|(?:puts|p|warn|(?:Rails\.)?logger\.\w+)\b[^\n]*\n\s*)?(?:end|ensure|else)\b",
 }
-EXIT = r"^(?:return|throw|raise)\b"
-#: A statement that goes on in the next line.
-OPEN = r"[(\[{,+\-*/%&|?:=<>.\\]$"
-CLOSING = r"^[}\])]"
-NEW_BLOCK = r"^(?:case|default|else|elif|except|finally|catch|rescue|ensure|end|when|def|class|func|fn|function|async|export|import|public|private|protected|static|if|unless|for|foreach|while|loop|switch|match|try|with|do|begin|impl|struct|enum|interface|type|pub|const|let|var|@|#\[)"
+#: What may stand behind a return: declarations that hold anywhere, labels of a switch, and one more way out.
+HOISTED = r"^(?:function|class|method) \{\}$|^(?:case|default|when)\b|^(?:return|throw|raise|break|continue|goto)\b|^(?:export|import|type|interface|end)\b"
 
 
 def _feeds(text: Column) -> Column:
@@ -61,32 +61,24 @@ def _issues(rows: DataFrame, rule: str, category: str, severity: str, confidence
 
 def swallowed_errors(files: DataFrame) -> DataFrame:
     """Handlers of seven languages whose body is empty or only prints or logs."""
-    live = files.filter(~is_test_file(F.col("path")) & F.col("language").isin(*SWALLOWED)).select("path", "language", "source", code(F.col("source"), F.col("language")).alias("code"))
+    broken = python_tree.parsed(files.filter(~is_test_file(F.col("path")))).filter("error is not null").select("path", F.lit("python").alias("language"), "source")
+    live = files.filter(~is_test_file(F.col("path")) & F.col("language").isin(*set(SWALLOWED) - {"python"})).select("path", "language", "source").unionByName(broken)
+    live = live.select("path", "language", "source", code(F.col("source"), F.col("language")).alias("code"))
     out = None
     for pattern in sorted(set(SWALLOWED.values())):
         part = _found(live.filter(F.col("language").isin(*[k for k, v in SWALLOWED.items() if v == pattern])), pattern)
         out = part if out is None else out.unionByName(part)
-    return _issues(out, "swallowed-error", "ai-code", "high", F.lit("medium"), "error is caught and not handled")
+    return _issues(out, "swallowed-error", "ai-code", "high", F.lit("medium"), "error is caught and not handled").unionByName(python_tree.swallowed_errors(files))
 
 
 def unreachable_code(files: DataFrame) -> DataFrame:
-    """Lines of code behind a whole return, throw or raise of the same indent; of low confidence where only one line is."""
-    live = files.filter(~is_test_file(F.col("path"))).select("path", F.split(code(F.col("source"), F.col("language"), True), "\n", -1).alias("code"), F.split("source", "\n", -1).alias("rows"))
-    numbered = F.transform("code", lambda t, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(t, r"^([ \t]*)", 1)).alias("indent"), F.regexp_replace(t, r"^\s+|\s+$", "").alias("text")))
-    live = live.select("path", "rows", F.filter(numbered, lambda x: x["text"] != "").alias("code"))
-    near = F.arrays_zip(F.slice("code", 2, F.size("code")).alias("x"), F.col("code").alias("before"), F.slice("code", 3, F.size("code")).alias("after"))
-    brackets = lambda t, marks: F.length(t) - F.length(F.translate(t, marks, ""))
-
-    def hit(p):
-        x, b = p["x"], p["before"]
-        whole = ~b["text"].rlike(OPEN) & (brackets(b["text"], "([{") == brackets(b["text"], ")]}"))
-        return x.isNotNull() & b["text"].rlike(EXIT) & whole & (x["indent"] == b["indent"]) & ~x["text"].rlike(f"{CLOSING}|{NEW_BLOCK}|{EXIT}|^[.?:&|+*]")
-
-    def shown(p):
-        after = p["after"]
-        alone = after.isNull() | (after["line"] > p["x"]["line"] + 1) | after["text"].rlike(f"{CLOSING}|{NEW_BLOCK}")
-        return F.struct(p["x"]["line"].alias("line"), F.when(alone, "low").otherwise("medium").alias("confidence"), F.get("rows", p["x"]["line"] - 1).alias("text"))
-
-    rows = live.filter(F.size("code") > 1).select("path", F.explode(F.transform(F.filter(near, hit), shown)).alias("x"))
-    rows = rows.select("path", "x.line", "x.confidence", F.regexp_replace("x.text", r"^\s+|\s+$", "").alias("snippet"))
-    return _issues(rows, "unreachable-code", "correctness", "low", F.col("confidence"), "code behind a return is never reached")
+    """The first statement of each block behind one that leaves it: a return, throw or the like, or branches that all end so.
+
+    Of low confidence where no other statement of the block follows it.
+    """
+    rows = syntax.parsed(files.filter(~is_test_file(F.col("path")))).select("path", F.split("source", "\n", -1).alias("rows"), F.filter("statements", lambda x: ~x["reached"]).alias("dead"))
+    counted = F.filter("dead", lambda x: ~x["text"].rlike(HOISTED))
+    rows = rows.select("path", "rows", F.posexplode(counted).alias("at", "x")).select("path", "rows", "x.*")
+    first = rows.groupBy("path", "node").agg(F.min_by(F.struct("line", F.get("rows", F.col("line") - 1).alias("text")), "seq").alias("x"), F.count("*").alias("n"))
+    first = first.select("path", "x.line", F.regexp_replace("x.text", r"^\s+|\s+$", "").alias("snippet"), F.when(F.col("n") == 1, "low").otherwise("medium").alias("confidence"))
+    return _issues(first, "unreachable-code", "correctness", "low", F.col("confidence"), "code behind a return is never reached")

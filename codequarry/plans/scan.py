@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules
+from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, promise_rules
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ FILE_RULES = {
     "dead-code": block_rules.dead_code,
     "swallowed-error": flow_rules.swallowed_errors,
     "unreachable-code": flow_rules.unreachable_code,
+    "unhandled-promise": promise_rules.unhandled_promises,
 }
 
 
