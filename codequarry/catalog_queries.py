@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
-from codequarry.operators import file_rules, issue_filters, known_false, line_rules, review
+from codequarry.operators import file_rules, issue_filters, known_false, line_rules, promise_rules, python_tree, review, symbols, syntax
 from codequarry.plans import scan
-from codequarry.sources import manifests
+from codequarry.sources import fixtures, manifests
 from codequarry.sources import source_files as S
 
 _FILES = f"WITH source_files AS ({S.DERIVED.replace('AS STRING', 'AS VARCHAR')})"
@@ -71,7 +71,8 @@ _SQL_FUNCTION_RULES = {
         _issue(
             "dead-code", "quality", "low", "medium", "exported name is never used",
             "text LIKE 'export %' AND regexp_extract(text, 'part[0-9]+') NOT IN (SELECT regexp_extract(source, 'part[0-9]+') FROM source_files WHERE contains(source, 'import {'))",
-        )
+        ),
+        _issue("dead-code", "quality", "low", "medium", "exported name is never used", "(language = 'python' AND regexp_matches(text, '^def [a-z]')) OR (language = 'go' AND regexp_matches(text, '^func [A-Z]'))"),
     ],
 }
 
@@ -116,6 +117,58 @@ named AS (
 _REVIEWED = "(rule IN ('api-hallucination', 'package-hallucination') OR (rule IN ('fake-url', 'security') AND severity <> 'low') OR (rule IN ('swallowed-error', 'hardcoded-value', 'resource-leak', 'unused-declaration') AND severity IN ('critical', 'high') AND confidence = 'high'))"
 
 
+def _with_files(sql: str) -> str:
+    """The files, and their sources without the comment lines."""
+    return f"WITH source_files AS ({sql.replace('AS STRING', 'AS VARCHAR')}), plain AS (SELECT path, language, regexp_replace(source, '(?m)^(//|#).*$', '', 'g') AS code, regexp_replace(path, '/?[^/]*$', '') AS folder FROM source_files)"
+
+
+#: Imports by patterns over the first lines, their candidates and the paths that exist, by priority.
+_GRAPH = (
+    _with_files(fixtures.DERIVED_GRAPH)
+    + r""", listed AS (SELECT path, language, folder, regexp_extract(code, 'from "([^"]+)"', 1) AS source, regexp_replace(unnest(string_split(regexp_extract(code, 'import \{([^}]*)\}', 1), ',')), '^\s+|\s+$', '', 'g') AS item FROM plain WHERE regexp_matches(code, '^import \{')),
+found AS (SELECT path, language, folder, source, string_split(item, ' as ')[1] AS name, string_split(item, ' as ')[-1] AS local FROM listed
+  UNION ALL SELECT path, language, folder, regexp_extract(code, 'from "([^"]+)"', 1), 'default', regexp_extract(code, '^import (\w+) from', 1) FROM plain WHERE regexp_matches(code, '^import \w+ from')
+  UNION ALL SELECT path, language, folder, regexp_extract(code, 'from "([^"]+)"', 1), '*', regexp_extract(code, '^import \* as (\w+)', 1) FROM plain WHERE regexp_matches(code, '^import \* as')
+  UNION ALL SELECT path, language, folder, regexp_extract(code, '^from (\S+) import', 1), regexp_extract(code, ' import (\w+)', 1), regexp_extract(code, ' as (\w+)', 1) FROM plain WHERE regexp_matches(code, '^from ')),
+stems AS (SELECT *, CASE WHEN language = 'python' THEN concat(folder, '/', substr(source, 2)) ELSE regexp_replace(replace(concat(folder, '/', source), '/./', '/'), '[^/]+/\.\./', '') END AS stem FROM found),
+tried AS (SELECT s.*, f.path AS target, e.prio FROM stems s, (SELECT unnest(['', '.ts', '.tsx', '.js', '.jsx', '.py', '/index.ts', '/index.js', '/__init__.py']) AS ending, unnest(range(9)) AS prio) e JOIN source_files f ON f.path = concat(s.stem, e.ending)),
+resolved AS (SELECT s.path, s.source, s.name, s.local, arg_min(t.target, t.prio) AS target FROM stems s LEFT JOIN tried t ON t.path = s.path AND t.name = s.name AND t.source = s.source GROUP BY ALL),
+defined AS (SELECT path, language, regexp_extract(code, 'export function (\w+)', 1) AS name, 1 AS line FROM plain UNION ALL SELECT path, language, regexp_extract(code, 'export const (\w+)', 1), 4 FROM plain UNION ALL SELECT path, language, regexp_extract(code, 'export class (\w+)', 1), 1 FROM plain
+  UNION ALL SELECT path, language, regexp_extract(code, '^def (\w+)', 1), 1 FROM plain UNION ALL SELECT path, language, regexp_extract(code, '(?m)^([A-Z]+_\d+) =', 1), 3 FROM plain UNION ALL SELECT path, language, regexp_extract(code, '^func ([A-Z]\w*)', 1), 1 FROM plain),
+exported AS (SELECT * FROM defined WHERE name <> ''),
+named AS (SELECT target AS path, CASE WHEN name = 'default' THEN local ELSE name END AS name, path AS from_path FROM resolved WHERE target IS NOT NULL AND name <> '*')"""
+)
+_DEAD = r"""SELECT e.path, e.line, 'dead-code' AS rule, 'low' AS severity, 'medium' AS confidence, 'quality' AS category, 'exported name is never used' AS message, string_split(s.source, chr(10))[e.line] AS snippet FROM exported e JOIN source_files s ON s.path = e.path
+WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.path = e.path AND n.name = e.name) AND e.path NOT IN (SELECT target FROM resolved WHERE name = '*' AND target IS NOT NULL) AND NOT (e.language = 'go' AND EXISTS (SELECT 1 FROM plain p WHERE p.language = 'go' AND p.path <> e.path AND regexp_matches(p.code, concat('\b', e.name, '\b'))))"""
+
+#: Braces matched by windows: a closing one belongs to the opening one before it on the same level.
+_BLOCKS = (
+    _with_files(fixtures.DERIVED_PROMISES)
+    + """, marks AS (SELECT path, generate_subscripts(string_split(code, ''), 1) AS nth, unnest(string_split(code, '')) AS c FROM plain WHERE language <> 'python'),
+placed AS (SELECT *, 1 + sum(CASE WHEN c = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY nth) AS line, sum(CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY path ORDER BY nth) AS depth FROM marks),
+edges AS (SELECT path, nth, c, line, CASE WHEN c = '{' THEN depth ELSE depth + 1 END AS level FROM placed WHERE c IN ('{', '}')),
+blocks AS (SELECT path, c, line, lead(line) OVER (PARTITION BY path, level ORDER BY nth) AS last FROM edges)"""
+)
+#: An await is guarded by a try above it of less indent that has a handler of the same indent below it.
+_PROMISE_LINES = (
+    _with_files(fixtures.DERIVED_PROMISES)
+    + r""", l AS (SELECT path, language, code, CAST(generate_subscripts(string_split(code, chr(10)), 1) AS INT) AS line, unnest(string_split(code, chr(10))) AS text FROM plain), indented AS (SELECT *, length(regexp_extract(text, '^\s*')) AS indent FROM l),
+open AS (SELECT * FROM indented a WHERE NOT EXISTS (SELECT 1 FROM indented t WHERE t.path = a.path AND t.line < a.line AND t.indent < a.indent AND regexp_matches(t.text, '^\s*try\b') AND EXISTS (SELECT 1 FROM indented h WHERE h.path = t.path AND h.line > a.line AND h.indent = t.indent AND regexp_matches(h.text, '^\s*[}]?\s*(catch|finally|except)\b')))),
+awaits AS (SELECT path, line FROM open WHERE regexp_matches(text, '\bawait\b')),
+bare AS (SELECT o.path, o.line, 'await of an operation that may fail outside try' AS message, 'low' AS confidence, trim(o.text) AS snippet FROM open o LEFT JOIN indented n ON n.path = o.path AND n.line = o.line + 1 WHERE regexp_matches(o.text, '\bawait\b.*\b(fetch|db)\b') AND NOT (regexp_matches(o.text, '\btx =') AND coalesce(regexp_matches(n.text, '^\s*try\b'), false))),
+chains AS (SELECT path, 1 AS line, 'chain of then() without catch()' AS message, 'high' AS confidence, string_split(code, chr(10))[1] AS snippet FROM plain WHERE language = 'typescript' AND contains(code, '.then(') AND NOT contains(code, '.catch(') AND NOT contains(code, 'console.')),
+futures AS (SELECT path, line, 'Future.get() outside try' AS message, 'medium' AS confidence, trim(text) AS snippet FROM open WHERE language = 'java' AND contains(text, 'future.get()'))"""
+)
+
+
+def _graph(f):
+    return lambda spark, sf_dir: f(S.derived(spark, sf_dir, fixtures.DERIVED_GRAPH))
+
+
+def _promises(f):
+    return lambda spark, sf_dir: f(S.derived(spark, sf_dir, fixtures.DERIVED_PROMISES))
+
+
 def _found_issues(spark, sf_dir):
     return S.derived(spark, sf_dir, S.DERIVED_ISSUES, "orders")
 
@@ -197,6 +250,19 @@ def queries() -> dict:
         "review_eligible": lambda s, d: review.eligible(_scan(s, d)),
         "review_portions": lambda s, d: review.portion_rules(_found_issues(s, d).withColumns({"severity": F.lit("high"), "line": F.col("id")}), 25),
     }
+    out |= {
+        "resolved_imports": _graph(lambda f: symbols.resolved_imports(f).select("path", "source", "name", "local", "target")),
+        "project_symbols": _graph(lambda f: symbols.symbols(f).filter("exported").select("path", "name", "line")),
+        "symbol_references": _graph(lambda f: symbols.symbol_references(f).select("path", "name", "line", "from_path")),
+        "reference_counts": _graph(lambda f: symbols.reference_counts(f).filter("exported").select("path", "name", F.col("n").cast("long").alias("n"))),
+        "module_index": _graph(symbols.module_index),
+        "graph_dead_code": _graph(symbols.dead_code),
+        "code_blocks": _promises(lambda f: syntax.ast_nodes(f).filter("node > 0 and language <> 'python'").select("path", "line", F.col("end").alias("last"))),
+        "awaits_outside_try": _promises(lambda f: promise_rules.awaits_outside_try(f)),
+        "rule_unhandled_promise": _promises(lambda f: scan.issues(f, scan.Options(only=("unhandled-promise",)))),
+        "py_functions": lambda s, d: python_tree.py_functions(S.derived(s, d, S.DERIVED_FUNCTIONS)).select("path", "name", "line", "statements", F.col("only").alias("single")),
+        "py_handlers": lambda s, d: python_tree.py_handlers(S.derived(s, d, S.DERIVED_FLOW)).select("path", "line", "type", "statements", "swallowed"),
+    }
     out |= {f"rule_{name.replace('-', '_')}": _function_rule(name) for name in _SQL_FUNCTION_RULES}
     return out | {f"rule_{name.replace('-', '_')}": _rule(name) for name in _SQL_RULES}
 
@@ -236,6 +302,18 @@ def oracle_sql() -> dict[str, str]:
     out["review_portions"] = f"{_ISSUE_ROWS}, placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY id) - 1) // 25 AS INT) AS portion FROM found) SELECT path, portion, count(*) AS n, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM placed GROUP BY path, portion"
     where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
     out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
+    out["resolved_imports"] = f"{_GRAPH} SELECT path, source, name, local, target FROM resolved"
+    out["project_symbols"] = f"{_GRAPH} SELECT path, name, line FROM exported"
+    out["symbol_references"] = f"{_GRAPH} SELECT e.path, e.name, e.line, n.from_path FROM exported e JOIN named n ON n.path = e.path AND n.name = e.name"
+    out["reference_counts"] = f"{_GRAPH} SELECT e.path, e.name, count(n.from_path) AS n FROM exported e LEFT JOIN named n ON n.path = e.path AND n.name = e.name GROUP BY ALL"
+    out["module_index"] = f"{_GRAPH} SELECT regexp_extract(path, '([^/.]+)[.][a-z]+$', 1) AS module, path FROM plain UNION SELECT replace(regexp_replace(path, '[.][a-z]+$', ''), '/', '.'), path FROM plain"
+    out["graph_dead_code"] = f"{_GRAPH} {_DEAD}"
+    out["code_blocks"] = f"{_BLOCKS} SELECT path, CAST(line AS INT) AS line, CAST(last AS INT) AS last FROM blocks WHERE c = '{{'"
+    out["awaits_outside_try"] = f"{_PROMISE_LINES} SELECT path, line FROM awaits"
+    out["rule_unhandled_promise"] = f"{_PROMISE_LINES} SELECT path, line, 'unhandled-promise' AS rule, 'medium' AS severity, confidence, 'ai-code' AS category, message, snippet FROM (SELECT * FROM bare UNION ALL SELECT * FROM chains UNION ALL SELECT * FROM futures)"
+    python = "language = 'python' AND path LIKE"
+    out["py_functions"] = f"{_FUNCTION_LINES.replace('NOT LIKE', 'NOT LIKE concat(' + repr('!') + ', path) OR path LIKE')} SELECT path, regexp_extract(text, '^def (\\w+)', 1) AS name, line, CASE WHEN contains(text, 'def step') THEN 0 ELSE 1 END AS statements, CASE WHEN contains(text, 'def step') THEN '' ELSE 'return True' END AS single FROM lines WHERE language = 'python' AND text LIKE 'def %'"
+    out["py_handlers"] = f"{_FLOW_FILES}, l AS (SELECT path, language, CAST(generate_subscripts(string_split(source, chr(10)), 1) AS INT) AS line, unnest(string_split(source, chr(10))) AS text FROM source_files), n AS (SELECT *, lead(text) OVER (PARTITION BY path ORDER BY line) AS a, lead(text, 2) OVER (PARTITION BY path ORDER BY line) AS b FROM l) SELECT path, line, regexp_extract(text, '^except (\\w+)', 1) AS type, CASE WHEN b LIKE ' %' THEN 2 ELSE 1 END AS statements, a LIKE '%pass' AND NOT b LIKE ' %' AS swallowed FROM n WHERE language = 'python' AND text LIKE 'except %'"
     out["structure"] = out["structure"].replace("SELECT *", "SELECT path, severity, message")
     out |= {f"rule_{name.replace('-', '_')}": f"{_FUNCTION_LINES} {' UNION ALL '.join(parts)}" for name, parts in _SQL_FUNCTION_RULES.items()}
     return out | {f"rule_{name.replace('-', '_')}": f"{_LINES} {' UNION ALL '.join(parts)}" for name, parts in _SQL_RULES.items()}

@@ -1,10 +1,9 @@
-"""Rules over whole functions, comments with the code below them, and exports: built-in expressions over whole sources.
+"""Rules over whole functions, and comments with the code below them.
 
 Functions and methods come from the scope parser, Python's from its syntax tree
-(by patterns where that does not parse). Only dead-code shuffles: exported names
-against the words of all files.
+(by patterns where that does not parse). Nothing is shuffled.
 
-A null source has no functions, comments or exports; equal files give equal
+A null source has no functions or comments; equal files give equal
 issues each. Extra columns are ignored.
 """
 
@@ -42,7 +41,6 @@ WEAK = r"if\s*\(\s*!\s*\w+\s*\)\s*\{?\s*(?:return|throw)\b"
 STRONG = r"(?i)typeof|instanceof|\.test\(|\.match\(|\.length\b|Number\.is|isNaN|Array\.isArray|\b(?:joi|zod|yup|ajv)\b"
 NARRATIVE = r"(?i)^(?:now |then |here )?(?:we |let's |let us )?(?:create|get|set|call|loop|iterate|check|add|initiali[sz]e|define|increment|update|calculate|import)\b"
 REASONED = r"(?i)\b(?:todo|fixme|hack|note|because|since|why|must|avoid|ensure|otherwise|unless|see|lint|noqa|https?)\b|@"
-EXPORTED = r"(?m)^export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)\s+(\w+)"
 
 
 def _matches(files: DataFrame, pattern: str, names: int = 1) -> DataFrame:
@@ -119,16 +117,3 @@ def narrative_comments(files: DataFrame) -> DataFrame:
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
     rows = rows.filter(F.arrays_overlap(tokens("said"), tokens("below"))).withColumn("snippet", F.trim("text"))
     return _issues(rows, "narrative-comments", "ai-code", F.lit("low"), "low", "comment retells the code")
-
-
-def exports(files: DataFrame) -> DataFrame:
-    """path, line, snippet and name of what scripts export."""
-    return _matches(_live(files, "javascript", "typescript"), EXPORTED).select("path", "line", "snippet", "name").filter(~F.col("name").startswith("__"))
-
-
-def dead_code(files: DataFrame) -> DataFrame:
-    """Exports whose name no file holds a second time: the words of all files, pre-aggregated, meet the exported names."""
-    exported = exports(files)
-    words = files.select(F.explode(F.regexp_extract_all("source", F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("name"))
-    used = words.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
-    return _issues(exported.join(used, "name", "left_anti"), "dead-code", "quality", F.lit("low"), "medium", "exported name is never used")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, promise_rules
+from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, promise_rules, symbols
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ FILE_RULES = {
     "empty-impl": block_rules.empty_functions,
     "weak-validation": block_rules.weak_validation,
     "narrative-comments": block_rules.narrative_comments,
-    "dead-code": block_rules.dead_code,
+    "dead-code": symbols.dead_code,
     "swallowed-error": flow_rules.swallowed_errors,
     "unreachable-code": flow_rules.unreachable_code,
     "unhandled-promise": promise_rules.unhandled_promises,
