@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
-from codequarry.operators import file_rules, issue_filters, known_false, line_rules, promise_rules, python_tree, review, symbols, syntax
+from codequarry.operators import file_rules, issue_filters, known_false, line_rules, packages, promise_rules, python_tree, review, symbols, syntax
 from codequarry.plans import scan
 from codequarry.sources import fixtures, manifests
 from codequarry.sources import source_files as S
@@ -161,6 +161,22 @@ futures AS (SELECT path, line, 'Future.get() outside try' AS message, 'medium' A
 )
 
 
+#: A name is known if it is, or begins with, one that is; what manifests declare is made of ``nation``.
+_MODULES = (
+    _with_files(fixtures.DERIVED_PACKAGES)
+    + r""", l AS (SELECT path, language, CAST(generate_subscripts(string_split(code, chr(10)), 1) AS INT) AS line, unnest(string_split(code, chr(10))) AS text FROM plain),
+used AS (SELECT path, language, line, CASE language WHEN 'java' THEN regexp_extract(text, '^import ([\w.]+);', 1) WHEN 'rust' THEN regexp_extract(text, '^use ([\w:]+);', 1) WHEN 'go' THEN regexp_extract(text, '^ *"([^"]+)"', 1) WHEN 'csharp' THEN regexp_extract(text, '^using ([\w.]+);', 1) ELSE regexp_extract(text, '^import ([\w.]+)$', 1) END AS module FROM l),
+known(language, name) AS (SELECT * FROM (VALUES ('java', 'java.util'), ('rust', 'std'), ('go', 'net/http'), ('csharp', 'System'), ('kotlin', 'kotlin'), ('swift', 'Foundation')) v UNION ALL SELECT 'rust', concat('acme', n_nationkey) FROM nation WHERE n_nationkey < 2 UNION ALL SELECT 'go', concat('acme.org/p', n_nationkey) FROM nation WHERE n_nationkey < 2)"""
+)
+
+
+def _declared(spark, sf_dir):
+    """In the files' folder: two crates and two modules; in another folder: all."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    at = lambda rows, folder: rows.select(F.lit(f"{folder}/Cargo.toml").alias("path"), F.lit("rust").alias("language"), F.format_string("acme%s", "n_nationkey").alias("name")).unionByName(rows.select(F.lit(f"{folder}/go.mod").alias("path"), F.lit("go").alias("language"), F.format_string("acme.org/p%s", "n_nationkey").alias("name")))
+    return at(n.filter("n_nationkey < 2"), "src").unionByName(at(n, "elsewhere"))
+
+
 def _graph(f):
     return lambda spark, sf_dir: f(S.derived(spark, sf_dir, fixtures.DERIVED_GRAPH))
 
@@ -251,6 +267,8 @@ def queries() -> dict:
         "review_portions": lambda s, d: review.portion_rules(_found_issues(s, d).withColumns({"severity": F.lit("high"), "line": F.col("id")}), 25),
     }
     out |= {
+        "package_imports": lambda s, d: packages.package_imports(S.derived(s, d, fixtures.DERIVED_PACKAGES)),
+        "unknown_modules": lambda s, d: packages.unknown_modules(S.derived(s, d, fixtures.DERIVED_PACKAGES), _declared(s, d)),
         "resolved_imports": _graph(lambda f: symbols.resolved_imports(f).select("path", "source", "name", "local", "target")),
         "project_symbols": _graph(lambda f: symbols.symbols(f).filter("exported").select("path", "name", "line")),
         "symbol_references": _graph(lambda f: symbols.symbol_references(f).select("path", "name", "line", "from_path")),
@@ -302,6 +320,8 @@ def oracle_sql() -> dict[str, str]:
     out["review_portions"] = f"{_ISSUE_ROWS}, placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY id) - 1) // 25 AS INT) AS portion FROM found) SELECT path, portion, count(*) AS n, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM placed GROUP BY path, portion"
     where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
     out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
+    out["package_imports"] = f"{_MODULES} SELECT path, language, line, module FROM used WHERE module <> ''"
+    out["unknown_modules"] = f"{_MODULES} SELECT path, language, line, module FROM used u WHERE module <> '' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.language = u.language AND (module = k.name OR starts_with(module, concat(k.name, CASE k.language WHEN 'rust' THEN '::' WHEN 'go' THEN '/' ELSE '.' END))))"
     out["resolved_imports"] = f"{_GRAPH} SELECT path, source, name, local, target FROM resolved"
     out["project_symbols"] = f"{_GRAPH} SELECT path, name, line FROM exported"
     out["symbol_references"] = f"{_GRAPH} SELECT e.path, e.name, e.line, n.from_path FROM exported e JOIN named n ON n.path = e.path AND n.name = e.name"

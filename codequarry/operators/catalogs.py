@@ -60,3 +60,48 @@ RUBY_STDLIB = frozenset(
     kconv nkf observer openssl optionparser pty readline rexml/document ripper sdbm syslog/logger time un unicode_normalize win32ole
     """.split()
 )
+
+# Standard packages of other languages. Of those whose names nest (NESTED), what lies below an entry counts too.
+GO_STDLIB = set(
+    """archive archive/tar archive/zip bufio builtin bytes compress compress/bzip2 compress/flate compress/gzip compress/lzw compress/zlib container container/heap container/list container/ring context crypto
+    crypto/aes crypto/cipher crypto/des crypto/dsa crypto/ecdsa crypto/ed25519 crypto/elliptic crypto/hmac crypto/md5 crypto/rand crypto/rc4 crypto/rsa crypto/sha1 crypto/sha256 crypto/sha512 crypto/subtle
+    crypto/tls crypto/x509 database database/sql debug debug/dwarf debug/elf debug/gosym debug/macho debug/pe debug/plan9obj embed encoding encoding/ascii85 encoding/asn1 encoding/base32 encoding/base64
+    encoding/binary encoding/csv encoding/gob encoding/hex encoding/json encoding/pem encoding/xml errors expvar flag fmt go go/ast go/build go/constant go/doc go/format go/importer go/parser go/printer
+    go/scanner go/token go/types hash hash/adler32 hash/crc32 hash/crc64 hash/fnv html html/template image image/color image/color/palette image/draw image/gif image/jpeg image/png index index/suffixarray
+    io io/fs io/ioutil log log/syslog maps math math/big math/bits math/cmplx math/rand mime mime/multipart mime/quotedprintable net net/http net/http/cgi net/http/cookiejar net/http/fcgi net/http/httptest
+    net/http/httptrace net/http/httputil net/http/pprof net/mail net/netip net/rpc net/rpc/jsonrpc net/smtp net/textproto net/url os os/exec os/signal os/user path path/filepath plugin reflect regexp
+    regexp/syntax runtime runtime/cgo runtime/debug runtime/metrics runtime/pprof runtime/race runtime/trace slices sort strconv strings sync sync/atomic syscall testing testing/fstest testing/iotest
+    testing/quick text text/scanner text/tabwriter text/template text/template/parse time unicode unicode/utf16 unicode/utf8 unsafe""".split()
+)
+JAVA_STDLIB = set(
+    """java.lang java.util java.io java.net java.nio java.math java.time java.text java.security java.awt java.applet java.beans java.rmi java.sql javax.crypto javax.net.ssl javax.security.auth javax.sql
+    javax.xml.parsers javax.xml.transform javax.xml.bind javax.json javax.swing javax.awt javax.naming javax.management org.w3c.dom org.xml.sax""".split()
+)
+RUST_STDLIB = set("std core alloc proc_macro test crate self super".split())
+PHP_STDLIB = set(
+    """Core standard SPL Reflection curl date dom fileinfo filter hash iconv json libxml mbstring mysqlnd openssl pcre PDO pdo_mysql pdo_pgsql pdo_sqlite pgsql Phar posix random readline redis session SimpleXML
+    soap sockets sodium sqlite3 tokenizer xml xmlreader xmlwriter xsl zip zlib ArrayAccess ArrayObject Closure Countable DirectoryIterator DomainException ErrorException Exception FilesystemIterator
+    FilterIterator GlobIterator InvalidArgumentException Iterator IteratorAggregate LengthException LogicException OutOfBoundsException OutOfRangeException OverflowException PDOException RangeException
+    RecursiveArrayIterator RecursiveDirectoryIterator RecursiveIteratorIterator RuntimeException SeekableIterator Serializable SplFixedArray SplHeap SplMaxHeap SplMinHeap SplObjectStorage SplPriorityQueue
+    SplQueue SplStack Traversable UnderflowException UnexpectedValueException""".split()
+)
+C_HEADERS = {f"{n}.h" for n in "stdio stdlib string math time ctype errno signal assert stddef stdbool stdint inttypes limits float locale setjmp stdarg complex fenv tgmath wchar wctype iso646".split()}
+CPP_HEADERS = C_HEADERS | set(
+    """algorithm array atomic bitset chrono codecvt compare complex concepts condition_variable coroutine deque exception execution filesystem format forward_list fstream functional future initializer_list
+    iomanip ios iosfwd iostream istream iterator limits list locale map memory memory_resource mutex new numbers numeric optional ostream queue random ranges ratio regex scoped_allocator set shared_mutex
+    source_location span sstream stack stdexcept stop_token streambuf string string_view strstream syncstream system_error thread tuple type_traits typeindex typeinfo unordered_map unordered_set utility
+    valarray variant vector version cassert ccomplex cctype cerrno cfenv cfloat cinttypes ciso646 climits clocale cmath csetjmp csignal cstdalign cstdarg cstdbool cstddef cstdint cstdio cstdlib cstring
+    ctgmath ctime cuchar cwchar cwctype""".split()
+)
+KOTLIN_STDLIB = {"kotlin", "kotlinx"}
+SWIFT_MODULES = set(
+    """Swift Foundation FoundationNetworking FoundationXML Combine Concurrency Observation SwiftUI UIKit AppKit CoreData CoreFoundation CoreGraphics CoreImage CoreLocation CoreServices CoreText CoreVideo CryptoKit
+    GameKit MapKit Network Photos PhotosUI Security StoreKit WebKit XCTest SwiftData WidgetKit CloudKit AVFoundation CoreAudio CoreAnimation CoreMedia CoreMIDI Metal MetalKit MetalPerformanceShaders SceneKit
+    SpriteKit Vision NaturalLanguage Speech CoreML CreateML ActivityKit BackgroundTasks UserNotifications OSLog System RegexBuilder Charts""".split()
+)
+CSHARP_STDLIB = {"System", "Microsoft"}
+#: language: its catalog, and what separates the parts of a name of which a beginning is enough (empty: names are whole).
+STANDARD = {
+    "go": (GO_STDLIB, ""), "java": (JAVA_STDLIB, "."), "rust": (RUST_STDLIB, "::"), "php": (PHP_STDLIB, "\\"), "c": (C_HEADERS, ""), "cpp": (CPP_HEADERS, ""),
+    "kotlin": (KOTLIN_STDLIB, "."), "swift": (SWIFT_MODULES, ""), "csharp": (CSHARP_STDLIB, "."),
+}

@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators import packages
 from codequarry.operators.catalogs import NODE_BUILTINS, PYTHON_COMMON_PACKAGES, PYTHON_STDLIB, RUBY_STDLIB
 from codequarry.operators.line_rules import ISSUE
 from codequarry.sources.source_files import extension, is_test_file, lines
@@ -83,7 +84,7 @@ def trusted(spark) -> DataFrame:
 
 
 def unknown_packages(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """Imports of packages that no catalog, project module or declaration (language, name) knows."""
+    """Imports of packages that no catalog, project module or declaration (path, language, name) knows, in all languages."""
     spark = files.sparkSession
     popular = spark.createDataFrame([(language, n) for language, names in POPULAR.items() for n in names], "language string, name string")
     used = imports(files).filter(~(F.col("module").rlike(PLACEHOLDER) & (F.col("language") != "ruby")))
@@ -93,8 +94,11 @@ def unknown_packages(files: DataFrame, declared: DataFrame | None = None) -> Dat
     own = files.select("language", F.explode(F.split(F.regexp_replace("path", r"\.[^./]+$", ""), "/")).alias("name")).distinct()
     left = used.join(own, ["language", "name"], "left_anti")
     if declared is not None:
-        left = left.join(declared.select("language", "name").distinct(), ["language", "name"], "left_anti")
-    return _issue(left, "package-hallucination", "hallucination", "high", "high", "package is not known")
+        near = packages.nearest_manifests(left, declared)
+        entries = declared.select("language", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), "name").distinct()
+        known = left.select("path", "language", "name").distinct().join(near, ["path", "language"]).join(entries, ["language", "folder", "name"], "left_semi").select("path", "language", "name")
+        left = left.join(known, ["path", "language", "name"], "left_anti")
+    return packages.unknown_packages(files, declared).unionByName(_issue(left, "package-hallucination", "hallucination", "high", "high", "package is not known"))
 
 
 def unused_imports(files: DataFrame) -> DataFrame:

@@ -35,11 +35,11 @@ FILE_RULES = {
 }
 
 
-def issues(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """Only the branches of enabled rules are planned."""
+def issues(files: DataFrame, options: Options = Options(), declared: DataFrame | None = None) -> DataFrame:
+    """Only the branches of enabled rules are planned. ``declared`` has what manifests declare: path, language, name."""
     enabled = lambda r: r in options.only if options.only else r not in options.skip
     rules = FILE_RULES | ({"unused-declaration": declarations.unused_declarations} if options.every_declaration else {})
-    parts = [f(files) for r, f in rules.items() if enabled(r)]
+    parts = [f(files, declared) if r == "package-hallucination" else f(files) for r, f in rules.items() if enabled(r)]
     if any(enabled(r.rule) for r in line_rules.RULES):
         parts.append(line_rules.line_issues(files, options.only, options.skip))
     if not parts:

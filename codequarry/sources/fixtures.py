@@ -53,3 +53,16 @@ DERIVED_PROMISES = _files(
     ],
     "k % 10",
 )
+
+#: Imports of six languages: of a standard package, and of one that only some manifests know.
+DERIVED_PACKAGES = _files(
+    [
+        ("'java'", _said("src/k<k>.java"), _said("import java.util.List;", "import com.acme<k % 5>.X;")),
+        ("'rust'", _said("src/k<k>.rs"), _said("use std::fmt;", "use acme<k % 5>::y;")),
+        ("'go'", _said("src/k<k>.go"), _said("import (", '  "net/http"', '  "acme.org/p<k % 5>/inner"', ")")),
+        ("'csharp'", _said("src/k<k>.cs"), _said("using System.Linq;", "using Acme<k % 5>.Core;")),
+        ("'kotlin'", _said("src/k<k>.kt"), _said("import kotlin.math.max", "import com.acme<k % 5>.X")),
+        ("'swift'", _said("src/k<k>.swift"), _said("import Foundation", "import Acme<k % 5>")),
+    ],
+    "k % 6",
+)

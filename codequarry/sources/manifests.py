@@ -79,11 +79,24 @@ def _go(files: DataFrame) -> DataFrame:
     return _named(rows, "go", names)
 
 
+def _cargo(files: DataFrame) -> DataFrame:
+    """Keys of the sections of dependencies, and packages named by the section itself; of a workspace too."""
+    parts = files.filter("file = 'Cargo.toml'").select("path", F.explode(F.split("source", NEXT_HEADER, -1)).alias("part"))
+    parts = parts.select("path", F.regexp_extract("part", HEADER, 1).alias("section"), _lines("part").alias("said"))
+    listed = F.when(F.col("section").rlike(r"(?:^|[.])(?:dev-|build-)?dependencies$"), F.transform(F.slice("said", 2, F.size("said")), lambda x: F.regexp_extract(x, BARE, 1)))
+    own = F.array(F.regexp_extract("section", r"(?:^|[.])(?:dev-|build-)?dependencies[.]([\w-]+)$", 1))
+    return _named(parts, "rust", F.concat(F.coalesce(listed, F.array().cast("array<string>")), own))
+
+
+def _gems(files: DataFrame) -> DataFrame:
+    return _named(files.filter("file = 'Gemfile'"), "ruby", F.transform(_lines("source"), lambda x: F.regexp_extract(x, r"""^gem\s*\(?\s*["']([^"']+)["']""", 1)))
+
+
 def declared(files: DataFrame) -> DataFrame:
     """path, language and name of each declared dependency, once a file."""
     files = files.filter("source is not null").select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "source")
     out = _requirements(files)
-    for part in (_sections, _setup, _scripts, _go):
+    for part in (_sections, _setup, _scripts, _go, _cargo, _gems):
         out = out.unionByName(part(files))
     return out.distinct()
 
