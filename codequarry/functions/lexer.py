@@ -40,7 +40,8 @@ def _masked(source: Column, family: str, strings_too: bool) -> Column:
     def shown(x):
         out = F.when(x.rlike(f"^(?s:{comments})$") & ~x.rlike("^[\"'`]"), _blank(x))
         if strings_too:
-            out = out.when(x.rlike(r"""^["'`/]""") & (F.length(x) > 1), F.concat(F.left(x, F.lit(1)), _blank(F.substring(x, F.lit(2), F.length(x) - 2)), F.right(x, F.lit(1))))
+            begins = r"""^["'`/]""" if family == "script" else r"""^["'`]"""  # only there a slash may begin a literal
+            out = out.when(x.rlike(begins) & (F.length(x) > 1), F.concat(F.left(x, F.lit(1)), _blank(F.substring(x, F.lit(2), F.length(x) - 2)), F.right(x, F.lit(1))))
         return out.otherwise(x)
 
     return F.array_join(F.transform(pieces, shown), "")

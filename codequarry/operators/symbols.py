@@ -211,7 +211,7 @@ def referenced_names(files: DataFrame) -> DataFrame:
 
 
 def dead_code(files: DataFrame) -> DataFrame:
-    """Exported names that nothing uses: no import names them, no file takes their whole module, and, where code names things without importing them (Go, Java, Rust, Ruby), no other file holds the word."""
+    """Exported names that nothing uses: no import names them, no file takes their whole module, and, where code names things without importing them (Go, Java, Rust, Ruby), no other file holds the word; and its own file does not say it again."""
     exported = symbols(files).filter(F.col("exported") & ~is_test_file(F.col("path")) & ~F.col("name").rlike("^__.*__$") & ~F.col("name").isin("main", "new", "initialize", "default"))
     refs = resolved_imports(files)
     named = refs.filter("target is not null and not whole").select(F.col("target").alias("path"), F.when(F.col("name") == "default", F.col("local")).otherwise(F.col("name")).alias("name")).distinct()
@@ -222,7 +222,8 @@ def dead_code(files: DataFrame) -> DataFrame:
     words = files.filter(by_word).select("path", F.explode(F.array_distinct(F.regexp_extract_all(code(F.col("source"), F.col("language"), True), F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name"))
     shared = words.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name", F.lit(True).alias("shared"))
     left = left.join(shared, "name", "left").filter(~by_word | F.col("shared").isNull())
-    lines = files.select("path", F.split("source", "\n", -1).alias("rows"))
+    lines = files.select("path", F.split("source", "\n", -1).alias("rows"), code(F.col("source"), F.col("language"), True).alias("bare"))
     fixed = {"rule": F.lit("dead-code"), "severity": F.lit("low"), "confidence": F.lit("medium"), "category": F.lit("quality"), "message": F.lit("exported name is never used")}
-    rows = left.join(lines, "path").withColumn("snippet", F.regexp_replace(F.get("rows", F.col("line") - 1), r"^\s+|\s+$", ""))
+    again = F.regexp_count("bare", F.concat(F.lit(r"(?<![\w$])\Q"), "name", F.lit(r"\E(?![\w$])"))) > 1
+    rows = left.join(lines, "path").filter(~again).withColumn("snippet", F.regexp_replace(F.get("rows", F.col("line") - 1), r"^\s+|\s+$", ""))
     return rows.select(*[fixed[n].alias(n) if n in fixed else F.col(n) for n in ISSUE])

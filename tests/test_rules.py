@@ -157,3 +157,30 @@ def test_known_false_alarms(spark):
     issues = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "id int, rule string, message string, snippet string, path string")
     assert {r.id for r in known_false.prefiltered(issues).collect()} == {i for i, r in enumerate(rows) if not r[4]}
     assert sum(r.n for r in known_false.removals_by_rule(issues).collect()) == sum(r[4] for r in rows)
+
+
+LINES = [
+    ("typescript", '"Object.map(x)"; // Object.map(y)\nObject.map(z)\n', "api-hallucination", [2]),
+    ("typescript", "let x = 1 // const password = 'abcdefgh'\nconst password = 'abcdefgh'\n", "security", [2]),
+    ("python", "db.execute(f\"SELECT * FROM t WHERE a = {a}\")\ndb.execute('SELECT * FROM t WHERE a = ?', a)\nlog(f\"SELECT {a}\")\n", "security", [1]),
+    ("typescript", "db.query(`SELECT a FROM t WHERE b = ${b}`)\ndb.query('SELECT a FROM t WHERE b = $1', [b])\n", "security", [1]),
+    ("python", "os.system('rm ' + name)\nos.system('ls')\nsubprocess.run(['ls', name])\n", "security", [1]),
+    ("typescript", "exec(`rm ${name}`)\nexec('ls')\nre.exec('a' + b)\n", "security", [1]),
+    ("typescript", "const apiToken = 'abcdefghijkl'\nconst token = readToken()\n", "security", [1]),
+    ("typescript", "\tconst u = 'https://api.acme9.com/v1/users'\n", "fake-url", [1]),
+    ("python", "/* no comment here\nx = eval(user_input)\n", "security", [2]),
+]
+
+
+@pytest.mark.parametrize("language,source,rule,lines", LINES)
+def test_lines_are_code(spark, language, source, rule, lines):
+    rows = issues(spark.createDataFrame([("src/a", language, source)], SCHEMA), Options(only=(rule,))).collect()
+    assert sorted(r.line for r in rows) == lines
+    assert all(r.snippet == r.snippet.strip() for r in rows)
+
+
+def test_only_whole_words_of_a_path_excuse_values(spark):
+    source = 'const u = "https://acme.example9.com/x"\n'
+    rows = [(p, "typescript", source) for p in ("src/blockchain/x.ts", "src/config/x.ts", "src/app.config.ts", "src/blocklist.ts", "src/reconfigured.ts")]
+    found = {r.path for r in issues(spark.createDataFrame(rows, SCHEMA), Options(only=("hardcoded-value",))).collect()}
+    assert found == {"src/blockchain/x.ts", "src/reconfigured.ts"}
