@@ -246,6 +246,10 @@ class BytePairs:
         pieces = self.odd_pieces if self.odd and not text.isascii() and self.odd.search(text) else self.pieces
         return b"".join([get(p) or piece(p) for p in pieces.findall(text)])
 
+    def forget(self) -> None:
+        """Empties the caches: a worker that goes on to other tasks keeps the tables only."""
+        self.cache, self.apart = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """Tokens joined by spaces, gathered from one blob by offsets."""
         at = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -278,6 +282,7 @@ def _encode(spec):
                     [batch.column(0).slice(a, b - a), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.binary())],
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        bpe.forget()
 
     return run
 

@@ -30,7 +30,7 @@ def cells(hashes: np.ndarray) -> list[np.ndarray]:
     ]
 
 
-def _counted(hash_batches, flush: int = 1 << 21):
+def _counted(hash_batches, flush: int = 1 << 20):
     """Per shard: the cells met once, and those met twice or more, in this partition."""
     held: list[np.ndarray] = []
     size = 0
