@@ -137,7 +137,7 @@ def header(text: str, language: str, inside: str) -> tuple[str, str]:
         return ("method" if inside == "class" else "function"), name
     if m := (_GO_TYPE.search(text) if language == "go" else _TYPE.search(text)):
         return "class", m[1]
-    if inside == "class" and (m := _METHOD.search(text)) and not re.search(r"\bnew\s|=", text[: m.start()]):
+    if (inside == "class" or (language == "java" and inside == "file")) and (m := _METHOD.search(text)) and not re.search(r"\bnew\s|=", text[: m.start()]):
         return "method", m[1]
     if not text or word in ("static", "default", "defer", "go", "move") and len(text.split()) == 1:
         return "block", ""

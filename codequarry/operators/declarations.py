@@ -1,4 +1,7 @@
-"""Declarations that their file never uses: imports, variables and functions found by pattern, held against the words of the code.
+"""Declarations that their file never uses: imports, variables and functions, held against the words of the code.
+
+Local names come from the statements of the scope parser, imports from the symbol
+graph or by pattern.
 
 Comments and strings do not count as uses, except strings that may hold
 expressions. A null source declares nothing; extra columns are ignored.
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.operators import symbols, syntax
 from codequarry.operators.block_rules import _live, _matches
 from codequarry.operators.line_rules import ISSUE
 
@@ -20,20 +24,12 @@ JS_IMPORT = r"\bimport\b(?!\s+type\s+(?!from\b))\s*([\w$\s{},*]+?)\s*\bfrom\s*['
 GO_BLOCK = r"(?:\bimport\s*\(|\G(?!\A))[^\")]*?(?:([\w.]+)[ \t]+)?\"([^\"\n]+)\""
 GO_SINGLE = r"(?m)^[ \t]*import[ \t]+(?:([\w.]+)[ \t]+)?\"([^\"\n]+)\""
 PYTHON_VARIABLE, PYTHON_DEF = r"(?m)^(\w+)[ \t]*=(?!=)", r"(?m)^def[ \t]+(\w+)[ \t]*\("
-#: Declarations of one name each: (languages, pattern).
-SINGLE = (
-    (JS, r"(?m)^[ \t]*(?:const|let|var)[ \t]+(\w+)\s*=(?!=)"),
-    (("go",), r"\b(\w+)\s*:="),
-    (("go",), r"\bvar\s+(\w+)\s"),
-    (("java",), r"\bimport\s+(?:static\s+)?[\w.]+\.(\w+)\s*;"),
-    (("java",), r"(?m)(?:^|\s)(?:final\s+)?\w+(?:<[^>]+>)?(?:\[\])?\s+(\w+)\s*=(?!=)"),
-    (("rust",), r"\buse\s+[\w:]+::(?:\w+\s+as\s+)?(?!(?:self|super|crate)\b)(\w+)(?!\s+as\b|\w|::)"),
-    (("rust",), r"\blet\s+(?:mut\s+)?(?!self\b)(\w+)\s*(?::\s*[^=;]+)?\s*=(?!=)"),
-)
 # Words that no declaration names.
 PYTHON_WORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
+JAVA_KEYWORDS = ["return", "throw", "new", "else", "case", "package", "import", "assert", "goto", "yield"]
 JAVA_WORDS = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null".split()
-PLACEHOLDER = r"(?i)^(?:[xyz]{2,}|_{3,}|todo|fixme|placeholder|example|foobar?)$"
+# Names of examples.
+EXAMPLE_NAMES = ["todo", "fixme", "placeholder", "example", "foo", "foob", "fooba", "foobar"]
 _DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
 _TRIPLE = r'"""(?:\\.|[^\\])*?"""|' + r"'''(?:\\.|[^\\])*?'''"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*+\*/|//[^\n]*"
@@ -71,6 +67,34 @@ def _from_imports(files: DataFrame) -> DataFrame:
     return _listed(rows, F.split(F.regexp_replace("name", r"#[^\n]*|[()\\]", " "), ","))
 
 
+def _bound(text: Column, language: Column) -> Column:
+    """Names that a plain statement declares, told by its words: a script's or Rust's keyword, Go's left side, Java's type before the name."""
+    words = F.split(text, r"[\s(]+")
+    word = lambda n: F.coalesce(F.get(words, F.lit(n)), F.lit(""))
+    bare = lambda x: F.regexp_extract(x, r"^([A-Za-z_$][\w$]*)", 1)
+    assigned = text.rlike(r"[^=!<>]=[^=>]|[^=!<>]=$")
+    script = F.when(word(0).isin("const", "let", "var") & assigned, F.array(bare(word(1))))
+    left = F.substring_index(text, ":=", 1)
+    names = F.transform(F.split(F.element_at(F.split(F.trim(left), r"^(?:if|for|switch)\s+"), -1), ","), lambda x: F.trim(x))
+    go = F.when(text.contains(":="), names).when(word(0) == "var", F.array(bare(word(1))))
+    before = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.substring_index(text, "=", 1), r"<[^=]*>|\[\s*\]", " "), r"@\w+", " "), r"\s+"), lambda x: (x != "") & ~x.isin("final", "public", "private", "protected", "static", "volatile", "transient"))
+    typed = (F.size(before) == 2) & ~F.get(before, F.lit(0)).isin(JAVA_KEYWORDS) & F.get(before, F.lit(0)).rlike(r"^[\w.]+$")
+    java = F.when(assigned & typed, F.array(bare(F.get(before, F.lit(1)))))
+    rust = F.when((word(0) == "let") & assigned, F.array(bare(F.when(word(1) == "mut", word(2)).otherwise(word(1)))))
+    return F.coalesce(F.when(language.isin(*JS), script).when(language == "go", go).when(language == "java", java).when(language == "rust", rust), F.array().cast("array<string>"))
+
+
+def _locals(files: DataFrame) -> DataFrame:
+    """path, language, line, snippet and name of what statements declare in scripts, Go, Java and Rust, and of Java's and Rust's imports."""
+    live = _live(files, *JS, "go", "java", "rust")
+    said = syntax.parsed(live).select("path", "language", F.split("source", "\n", -1).alias("rows"), F.inline("statements"))
+    bound = said.select("path", "language", "line", "rows", F.explode(_bound(F.col("text"), F.col("language"))).alias("name")).select("path", "language", "line", F.get("rows", F.col("line") - 1).alias("snippet"), "name")
+    brought = symbols.imports(_live(files, "java", "rust")).filter("name <> '*'").select("path", "language", "line", F.col("local").alias("name"))
+    rows = live.select("path", F.split("source", "\n", -1).alias("rows"))
+    brought = brought.join(rows, "path").select("path", "language", "line", F.get("rows", F.col("line") - 1).alias("snippet"), "name")
+    return bound.unionByName(brought).filter("name <> '' and name not in ('self', 'super', 'crate')").withColumn("snippet", F.trim("snippet"))
+
+
 def declarations(files: DataFrame) -> DataFrame:
     """path, line, snippet, name, kind and own: how often the declaration itself names it in code."""
     live = {language: _live(files, language) for language in LANGUAGES}
@@ -97,12 +121,14 @@ def declarations(files: DataFrame) -> DataFrame:
         if kind == "variable":
             rows = rows.filter(~F.col("name").rlike("^[A-Z][A-Z_0-9]+$"))
         found.append((rows.join(public, ["path", "name"], "left_anti"), kind, 1))
-    found += [(_matches(_live(files, *languages), p).filter(~F.col("name").isin(JAVA_WORDS) | (F.col("language") != "java")), "local", 1) for languages, p in SINGLE]
+    found.append((_locals(files).filter(~F.col("name").isin(JAVA_WORDS) | (F.col("language") != "java")), "local", 1))
     out = None
     for rows, kind, own in found:
         rows = rows.select("path", "language", F.col("line").cast("int").alias("line"), "snippet", "name", F.lit(kind).alias("kind"), F.lit(own).alias("own"))
         out = rows if out is None else out.unionByName(rows)
-    fine = F.col("name").rlike(r"^[A-Za-z$][\w$]*$") & ~F.col("name").rlike(PLACEHOLDER)
+    lower = F.lower("name")
+    example = lower.isin(EXAMPLE_NAMES) | ((F.length("name") > 1) & (F.translate(lower, "xyz", "") == ""))
+    fine = F.col("name").rlike(r"^[A-Za-z$][\w$]*$") & ~example
     alembic = (F.col("language") == "python") & F.col("path").rlike(r"alembic[\\/]versions[\\/]")
     return out.filter(fine & ~alembic).dropDuplicates(["path", "name", "line"])
 
