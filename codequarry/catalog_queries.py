@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
-from codequarry.operators import file_rules, issue_filters, known_false, line_rules, packages, promise_rules, python_tree, review, symbols, syntax
+from codequarry.operators import file_rules, issue_filters, known_false, line_rules, packages, projects, promise_rules, python_tree, review, symbols, syntax
 from codequarry.plans import scan
 from codequarry.sources import fixtures, manifests
 from codequarry.sources import source_files as S
@@ -170,6 +170,21 @@ known(language, name) AS (SELECT * FROM (VALUES ('java', 'java.util'), ('rust',
 )
 
 
+#: What package.json says, and whether its project has it.
+_PROJECTS = (
+    f"WITH f AS ({fixtures.DERIVED_PROJECTS.replace('AS STRING', 'AS VARCHAR')})"
+    + r""", p AS (SELECT DISTINCT project FROM f), m AS (SELECT project, CASE WHEN json_valid(source) THEN source ELSE '{}' END AS js FROM f WHERE path = 'package.json'),
+entry AS (SELECT project, 'main' AS kind, 'high' AS severity, json_extract_string(js, '$.main') AS named FROM m UNION ALL SELECT project, 'module', 'medium', json_extract_string(js, '$.module') FROM m
+  UNION ALL SELECT project, 'bin', 'high', json_extract_string(js, '$.bin') FROM m WHERE json_type(js, '$.bin') = 'VARCHAR' UNION ALL SELECT project, 'bin', 'high', unnest(json_extract_string(js, ['$.bin.x', '$.bin.z'])) FROM m WHERE json_type(js, '$.bin') = 'OBJECT'),
+gap AS (SELECT project, 'tsconfig.json' AS path, 'medium' AS severity, 'tsconfig.json is missing' AS message FROM p WHERE EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND path = 'package.json') AND EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND path LIKE '%.ts') AND NOT EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND path = 'tsconfig.json')
+  UNION ALL SELECT project, 'package.json', 'medium', 'package.json does not say "type": "module", but scripts import' FROM m WHERE json_extract_string(js, '$.type') IS DISTINCT FROM 'module' AND EXISTS (SELECT 1 FROM f WHERE f.project = m.project AND path LIKE 'src/%.js' AND source LIKE 'import %')
+  UNION ALL SELECT project, 'go.mod', 'high', 'go.mod is missing' FROM p WHERE EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND path LIKE '%.go') AND NOT EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND path IN ('package.json', 'go.mod'))
+  UNION ALL SELECT project, '.gitignore', 'low', '.gitignore is missing' FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.project = p.project AND path = '.gitignore')
+  UNION ALL SELECT project, 'package.json', severity, concat('package.json names ', named, ' as ', kind, ', which does not exist') FROM entry e WHERE named IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.project = e.project AND (path = regexp_replace(named, '^[.]/', '') OR starts_with(path, concat(named, '/'))))
+  UNION ALL SELECT project, 'package.json', 'medium', concat('dependency ', name, ' is declared and not installed') FROM (SELECT project, unnest(json_keys(js, '$.dependencies')) AS name FROM m) d WHERE EXISTS (SELECT 1 FROM f WHERE f.project = d.project AND path LIKE 'node_modules/%') AND NOT EXISTS (SELECT 1 FROM f WHERE f.project = d.project AND starts_with(path, concat('node_modules/', d.name, '/'))))"""
+)
+
+
 def _declared(spark, sf_dir):
     """In the files' folder: two crates and two modules; in another folder: all."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -267,6 +282,7 @@ def queries() -> dict:
         "review_portions": lambda s, d: review.portion_rules(_found_issues(s, d).withColumns({"severity": F.lit("high"), "line": F.col("id")}), 25),
     }
     out |= {
+        "project_gaps": lambda s, d: projects.gaps(S.derived(s, d, fixtures.DERIVED_PROJECTS)),
         "package_imports": lambda s, d: packages.package_imports(S.derived(s, d, fixtures.DERIVED_PACKAGES)),
         "unknown_modules": lambda s, d: packages.unknown_modules(S.derived(s, d, fixtures.DERIVED_PACKAGES), _declared(s, d)),
         "resolved_imports": _graph(lambda f: symbols.resolved_imports(f).select("path", "source", "name", "local", "target")),
@@ -320,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
     out["review_portions"] = f"{_ISSUE_ROWS}, placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY path ORDER BY id) - 1) // 25 AS INT) AS portion FROM found) SELECT path, portion, count(*) AS n, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM placed GROUP BY path, portion"
     where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
     out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
+    out["project_gaps"] = f"{_PROJECTS} SELECT project, path, severity, message FROM gap"
     out["package_imports"] = f"{_MODULES} SELECT path, language, line, module FROM used WHERE module <> ''"
     out["unknown_modules"] = f"{_MODULES} SELECT path, language, line, module FROM used u WHERE module <> '' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.language = u.language AND (module = k.name OR starts_with(module, concat(k.name, CASE k.language WHEN 'rust' THEN '::' WHEN 'go' THEN '/' ELSE '.' END))))"
     out["resolved_imports"] = f"{_GRAPH} SELECT path, source, name, local, target FROM resolved"

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, promise_rules, symbols
+from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, projects, promise_rules, symbols
 
 
 @dataclass(frozen=True)
@@ -35,13 +35,19 @@ FILE_RULES = {
 }
 
 
-def issues(files: DataFrame, options: Options = Options(), declared: DataFrame | None = None) -> DataFrame:
-    """Only the branches of enabled rules are planned. ``declared`` has what manifests declare: path, language, name."""
+def issues(files: DataFrame, options: Options = Options(), declared: DataFrame | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """Only the branches of enabled rules are planned.
+
+    ``declared`` has what manifests declare: path, language, name. ``listing`` has every file of the projects: project,
+    path, source; with it, or where only ``structure`` is asked for (then the files are all), the projects' gaps are found.
+    """
     enabled = lambda r: r in options.only if options.only else r not in options.skip
     rules = FILE_RULES | ({"unused-declaration": declarations.unused_declarations} if options.every_declaration else {})
     parts = [f(files, declared) if r == "package-hallucination" else f(files) for r, f in rules.items() if enabled(r)]
     if any(enabled(r.rule) for r in line_rules.RULES):
         parts.append(line_rules.line_issues(files, options.only, options.skip))
+    if enabled("structure") and (listing is not None or options.only == ("structure",)):
+        parts.append(projects.structure(files if listing is None else listing))
     if not parts:
         raise ValueError("no rule is enabled")
     out = parts[0].select(*line_rules.ISSUE)

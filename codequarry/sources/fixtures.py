@@ -66,3 +66,14 @@ DERIVED_PACKAGES = _files(
     ],
     "k % 6",
 )
+
+#: Projects of eight files each, with package.json files that name what is there and what is not.
+DERIVED_PROJECTS = """
+SELECT concat('p', CAST(p AS STRING)) AS project,
+  CASE k % 8 WHEN 0 THEN 'package.json' WHEN 1 THEN 'src/a.js' WHEN 2 THEN 'src/b.ts' WHEN 3 THEN CASE WHEN p % 2 = 0 THEN 'node_modules/have/index.js' ELSE 'other/have.js' END WHEN 4 THEN CASE WHEN p % 5 = 0 THEN 'bin/y.js' ELSE 'bin/x.js' END
+    WHEN 5 THEN CASE WHEN p % 4 = 0 THEN '.gitignore' ELSE 'README.md' END WHEN 6 THEN 'main.go' ELSE CASE WHEN p % 3 = 1 THEN 'tsconfig.json' ELSE 'notes.txt' END END AS path,
+  CASE k % 8 WHEN 0 THEN CASE WHEN p % 7 = 0 THEN '{ not json' ELSE concat('{"name": "x", "main": "', CASE WHEN p % 2 = 0 THEN 'lib/index.js' ELSE './src/a.js' END, '", "module": "src", "bin": ', CASE WHEN p % 3 = 0 THEN '"bin/x.js"' ELSE '{"x": "bin/x.js", "z": "bin"}' END,
+    ', "dependencies": {"left', CAST(p % 9 AS STRING), '": "1", "have": "2"}', CASE WHEN p % 6 = 1 THEN ', "type": "module"' ELSE '' END, '}') END
+    WHEN 1 THEN concat('import x from "y";', chr(10), coalesce(text, '')) ELSE text END AS source
+FROM (SELECT doc_id AS k, CAST(floor(doc_id / 8) AS BIGINT) AS p, text FROM documents) d
+"""
