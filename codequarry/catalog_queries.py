@@ -7,13 +7,17 @@ and it splits lines by ``unnest``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
 from codequarry.operators import file_rules, issue_filters, known_false, line_rules, packages, projects, promise_rules, python_tree, review, symbols, syntax
 from codequarry.plans import scan
+from codequarry.runtime import shared_folder
 from codequarry.sources import fixtures, manifests
 from codequarry.sources import source_files as S
+from codequarry.sources.verdict_store import VerdictStore
 
 _FILES = f"WITH source_files AS ({S.DERIVED.replace('AS STRING', 'AS VARCHAR')})"
 _LINES = (
@@ -185,6 +189,31 @@ gap AS (SELECT project, 'tsconfig.json' AS path, 'medium' AS severity, 'tsconfig
 )
 
 
+def _with_verdicts(spark, sf_dir):
+    """Issues and verdicts on them: those of files whose number is a multiple of three are false, those of multiples of five get a new message."""
+    found = _scan(spark, sf_dir)
+    n = F.regexp_extract("path", "m([0-9]+)", 1).cast("long")
+    verdict = F.when(n % 3 == 0, "false_positive").when(n % 5 == 0, "enhanced").otherwise("confirmed")
+    return found, found.filter(n % 2 == 0).select("path", "line", "rule", "message", verdict.alias("verdict"), F.lit("better").alias("new_message"), F.lit(None).cast("string").alias("new_severity"))
+
+
+def _judged(spark, sf_dir):
+    return review.judged(*_with_verdicts(spark, sf_dir)).select("path", "line", "rule", "message", "severity", "verdict")
+
+
+def _cached(spark, sf_dir):
+    """Verdicts written in two runs, the older of which has run out for all it holds."""
+    found = _scan(spark, sf_dir)
+    n = F.regexp_extract("path", "m([0-9]+)", 1).cast("long")
+    store = VerdictStore(spark, f"{shared_folder(spark)}/codequarry/verdicts-{uuid.uuid4().hex}")
+    at = lambda text: F.lit(text).cast("timestamp")
+    keyed = review.verdict_key(found).withColumn("n", n)
+    store.put(keyed.filter("n % 3 = 0").select("key", F.lit("old").alias("value")), at("2024-01-01 00:00:00"))
+    store.put(keyed.filter("n % 4 = 0").select("key", F.lit("new").alias("value")), at("2024-01-02 12:00:00"))
+    store.compact(at("2024-01-02 00:00:00"))
+    return review.already_judged(found, store, at("2024-01-02 13:00:00")).select("path", "line", "rule", "cached", "hit")
+
+
 def _declared(spark, sf_dir):
     """In the files' folder: two crates and two modules; in another folder: all."""
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -282,6 +311,10 @@ def queries() -> dict:
         "review_portions": lambda s, d: review.portion_rules(_found_issues(s, d).withColumns({"severity": F.lit("high"), "line": F.col("id")}), 25),
     }
     out |= {
+        "review_judged": _judged,
+        "review_cached": _cached,
+        "review_context": lambda s, d: review.with_context(_scan(s, d), S.derived(s, d)).select("path", "line", "rule", "context"),
+        "report_lines": lambda s, d: review.report_lines(_scan(s, d)),
         "project_gaps": lambda s, d: projects.gaps(S.derived(s, d, fixtures.DERIVED_PROJECTS)),
         "package_imports": lambda s, d: packages.package_imports(S.derived(s, d, fixtures.DERIVED_PACKAGES)),
         "unknown_modules": lambda s, d: packages.unknown_modules(S.derived(s, d, fixtures.DERIVED_PACKAGES), _declared(s, d)),
@@ -337,6 +370,11 @@ def oracle_sql() -> dict[str, str]:
     where = "(language = 'python' AND regexp_matches(text, '^[a-z]+ =') AND NOT text LIKE 'f = %') OR regexp_matches(text, '^(const|let) [a-z] =') OR text LIKE 'import madeup%'"
     out["rule_every_unused_declaration"] = f"{_LINES} {_issue('unused-declaration', 'quality', 'low', 'medium', 'declaration is not used', where)}"
     out["project_gaps"] = f"{_PROJECTS} SELECT project, path, severity, message FROM gap"
+    number = "CAST(regexp_extract(path, 'm([0-9]+)', 1) AS BIGINT)"
+    out["review_judged"] = of(f"SELECT path, line, rule, CASE WHEN {number} % 10 = 0 THEN 'better' ELSE message END AS message, severity, CASE WHEN {number} % 2 = 1 THEN NULL WHEN {number} % 5 = 0 THEN 'enhanced' ELSE 'confirmed' END AS verdict FROM issues WHERE {number} % 6 <> 0")
+    out["review_cached"] = of(f"SELECT path, line, rule, CASE WHEN {number} % 4 = 0 THEN 'new' END AS cached, {number} % 4 = 0 AS hit FROM issues")
+    around = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 2 END"
+    out["report_lines"] = of("SELECT path, line, concat(path, ':', line, '  [', upper(severity), ']  ', message) AS text FROM issues")
     out["package_imports"] = f"{_MODULES} SELECT path, language, line, module FROM used WHERE module <> ''"
     out["unknown_modules"] = f"{_MODULES} SELECT path, language, line, module FROM used u WHERE module <> '' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.language = u.language AND (module = k.name OR starts_with(module, concat(k.name, CASE k.language WHEN 'rust' THEN '::' WHEN 'go' THEN '/' ELSE '.' END))))"
     out["resolved_imports"] = f"{_GRAPH} SELECT path, source, name, local, target FROM resolved"

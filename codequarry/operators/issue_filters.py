@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.sources.source_files import language_of
+
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 CONFIDENCES = ("high", "medium", "low")
 
@@ -46,10 +48,13 @@ def reduce_false_positives(issues: DataFrame) -> DataFrame:
 
 
 def confirmed_by_registry(issues: DataFrame, known: DataFrame) -> DataFrame:
-    """Package issues whose snippet's last word is a registry's package go; others stay."""
-    named = issues.withColumn("package", F.regexp_extract("snippet", r"([\w.-]+)\W*$", 1))
-    k = known.select(F.col("name").alias("package"), F.lit("package-hallucination").alias("rule")).distinct()
-    return named.join(k, ["package", "rule"], "left_anti").select(*issues.columns)
+    """Package issues go whose package a registry knows, if ``known`` (name, language) has it in the file's language; others stay.
+
+    A ``known`` without languages counts for all. An issue's package is the last word of its snippet.
+    """
+    named = issues.withColumn("package", F.regexp_extract("snippet", r"([\w.-]+)\W*$", 1)).withColumn("of", language_of(F.col("path")))
+    k = known.select(F.col("name").alias("package"), F.lit("package-hallucination").alias("rule"), *([F.col("language").alias("of")] if "language" in known.columns else [])).distinct()
+    return named.join(k, [c for c in ("package", "rule", "of") if c in k.columns], "left_anti").select(*issues.columns)
 
 
 def ordered(issues: DataFrame) -> DataFrame:

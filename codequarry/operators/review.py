@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.sources.verdict_store import VerdictStore, key_of
+
 from codequarry.operators.issue_filters import CONFIDENCES, SEVERITIES, rank
 
 # The severities and confidences of each rule that are reviewed; rules not listed never are.
@@ -77,8 +79,9 @@ def judged(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Issues after review, with ``verdict``: false positives go, enhanced ones take the new message and severity where given.
 
     ``verdicts`` has path, line, rule, verdict, new_message and new_severity, one row per issue at most; an issue without one stays as it is.
+    Where two issues of a rule share a line, verdicts also need the issue's ``message``.
     """
-    at = ["path", "line", "rule"]
+    at = ["path", "line", "rule", *(["message"] if "message" in verdicts.columns else [])]
     joined = issues.join(verdicts.select(*at, "verdict", "new_message", "new_severity"), at, "left").filter("verdict is null or verdict <> 'false_positive'")
     better = lambda c: F.when(F.col("verdict") == "enhanced", F.coalesce(F.col(f"new_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
     return joined.select(*[better(c) if c in ("message", "severity") else F.col(f"`{c}`") for c in issues.columns], "verdict")
@@ -86,7 +89,7 @@ def judged(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def review_statistics(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: issues reviewed, removed and enhanced, and the share removed in whole per cent."""
-    at = ["path", "line", "rule"]
+    at = ["path", "line", "rule", *(["message"] if "message" in verdicts.columns else [])]
     rows = eligible(issues).join(verdicts.select(*at, "verdict"), at, "left")
     counts = rows.agg(F.count("*").alias("reviewed"), F.count_if(F.col("verdict") == "false_positive").alias("removed"), F.count_if(F.col("verdict") == "enhanced").alias("enhanced"))
     share = F.when(F.col("reviewed") > 0, F.round(F.col("removed") * 100 / F.col("reviewed"))).otherwise(0)
@@ -108,3 +111,13 @@ def detailed_lines(issues: DataFrame) -> DataFrame:
 def fails(issues: DataFrame) -> bool:
     """Whether a build that checks for issues fails: there is one at least."""
     return not issues.isEmpty()
+
+
+def verdict_key(issues: DataFrame) -> DataFrame:
+    """Issues with ``key``, under which a verdict on them is stored: their rule, message, snippet and path."""
+    return issues.withColumn("key", key_of(F.col("rule"), F.col("message"), F.col("snippet"), F.col("path")))
+
+
+def already_judged(issues: DataFrame, store: VerdictStore, now: Column | None = None) -> DataFrame:
+    """Issues with ``cached``, the stored verdict, and ``hit``; those without one are still to be reviewed."""
+    return store.looked_up(verdict_key(issues), now).drop("key")
