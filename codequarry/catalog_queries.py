@@ -373,7 +373,9 @@ def oracle_sql() -> dict[str, str]:
     number = "CAST(regexp_extract(path, 'm([0-9]+)', 1) AS BIGINT)"
     out["review_judged"] = of(f"SELECT path, line, rule, CASE WHEN {number} % 10 = 0 THEN 'better' ELSE message END AS message, severity, CASE WHEN {number} % 2 = 1 THEN NULL WHEN {number} % 5 = 0 THEN 'enhanced' ELSE 'confirmed' END AS verdict FROM issues WHERE {number} % 6 <> 0")
     out["review_cached"] = of(f"SELECT path, line, rule, CASE WHEN {number} % 4 = 0 THEN 'new' END AS cached, {number} % 4 = 0 AS hit FROM issues")
-    around = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 5 WHEN 'medium' THEN 3 ELSE 2 END"
+    near = " ".join(f"WHEN '{r}' THEN {k}" for r, k in review.AROUND_RULE.items())
+    worse = " ".join(f"WHEN '{r}' THEN {k}" for r, k in review.AROUND_SEVERITY.items())
+    out["review_context"] = f"{_ISSUES}, sized AS (SELECT row_number() OVER () AS id, path, line, rule, CASE rule {near} ELSE CASE severity {worse} ELSE {review.AROUND} END END AS k FROM issues) SELECT s.path, s.line, s.rule, string_agg(concat(CASE WHEN l.line = s.line THEN '>>> ' ELSE '    ' END, l.line, '| ', l.text), chr(10) ORDER BY l.line) AS context FROM sized s JOIN lines l ON l.path = s.path AND abs(l.line - s.line) <= s.k GROUP BY s.id, s.path, s.line, s.rule"
     out["report_lines"] = of("SELECT path, line, concat(path, ':', line, '  [', upper(severity), ']  ', message) AS text FROM issues")
     out["package_imports"] = f"{_MODULES} SELECT path, language, line, module FROM used WHERE module <> ''"
     out["unknown_modules"] = f"{_MODULES} SELECT path, language, line, module FROM used u WHERE module <> '' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.language = u.language AND (module = k.name OR starts_with(module, concat(k.name, CASE k.language WHEN 'rust' THEN '::' WHEN 'go' THEN '/' ELSE '.' END))))"

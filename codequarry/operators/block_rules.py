@@ -1,7 +1,7 @@
 """Rules over whole functions, and comments with the code below them.
 
-Functions and methods come from the scope parser, Python's from its syntax tree
-(by patterns where that does not parse). Nothing is shuffled.
+Functions and methods come from the scope parser (Python's from its own syntax
+tree, see ``python_tree``). Nothing is shuffled.
 
 A null source has no functions or comments; equal files give equal
 issues each. Extra columns are ignored.
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.operators import python_tree, syntax
 from codequarry.operators.line_rules import ISSUE
 from codequarry.sources.source_files import is_test_file
 
@@ -29,9 +28,6 @@ STUB = {
     "php": r"return (?:null|true|false|0|''|\"\"|\[\])",
     "ruby": r"(?:return )?(?:nil|true|false|0|''|\"\"|\[\]|\{\})",
 }
-_DEF = r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\([^()]*\)[^:\n]*:[ \t]*\n(?:[ \t]*#[^\n]*\n)*[ \t]+"
-_DEF_END = r"[ \t]*(?:\n[ \t]*)*(?=\n\S|\n[ \t]*(?:async[ \t]+)?(?:def|class|@)|\s*$(?![\s\S]))"
-PYTHON = {"empty": rf"{_DEF}(?:pass|\.\.\.|return)\b?{_DEF_END}", "stub": rf"{_DEF}return[ \t]+(?:None|True|False|0|''|\"\"|\[\]|\{{\}}){_DEF_END}"}
 BOOLEAN_NAME = r"^(?:is|has|can|should)[A-Z_]"
 FACTORY_NAME = r"^(?:create|make|build|default|noop|empty|new)"
 FIXED_NAMES = ["constructor", "init", "main", "new", "default"]
@@ -73,31 +69,32 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("name").isin(FIXED_NAMES) & ~F.col("name").rlike(f"{FACTORY_NAME}|^__|^test_"))
 
 
-def _bodies(files: DataFrame, only: dict[str, str], none: bool) -> DataFrame:
-    """path, line, snippet and name of functions and methods whose one statement is as ``only`` says for their language, or (``none``) that have none."""
-    rows = syntax.parsed(_live(files, *only)).select("path", "language", F.split("source", "\n", -1).alias("rows"), "nodes")
-    pattern = F.element_at(F.create_map(*[F.lit(x) for k, v in only.items() for x in (k, f"^(?:{v})$")]), F.col("language"))
-    such = lambda x: x["kind"].isin("function", "method") & (x["name"] != "") & ((F.lit(none) & (x["size"] == 0)) | ((x["size"] == 1) & F.regexp_like(x["only"], pattern)))
-    rows = rows.select("path", "rows", F.explode(F.filter("nodes", such)).alias("x"))
-    return _named(rows.select("path", "x.line", F.regexp_replace(F.get("rows", F.col("x.line") - 1), r"^\s+|\s+$", "").alias("snippet"), "x.name"))
+def _such(only: dict[str, str], none: bool):
+    """Functions and methods whose one statement is as ``only`` says for their language, or (``none``) that have none."""
+    pattern = F.try_element_at(F.create_map(*[F.lit(x) for k, v in only.items() for x in (k, f"^(?:{v})$")]), F.col("language"))
+    none = F.lit(none) & F.col("language").isin(*only)
 
+    def test(x):
+        body = (none & (x["size"] == 0)) | ((x["size"] == 1) & F.coalesce(F.regexp_like(x["only"], pattern), F.lit(False)))
+        named = (x["name"] != "") & ~x["name"].isin(FIXED_NAMES) & ~x["name"].rlike(f"{FACTORY_NAME}|^__|^test_")
+        return x["kind"].isin("function", "method") & named & body
 
-def _unparsed(files: DataFrame, pattern: str) -> DataFrame:
-    """The pattern's matches in Python files that do not parse."""
-    broken = python_tree.parsed(_live(files, "python")).filter("error is not null").select("path", F.lit("python").alias("language"), "source")
-    return _named(_matches(broken, pattern)).select("path", "line", "snippet", "name")
+    return test
 
 
-def stub_functions(files: DataFrame) -> DataFrame:
-    """Functions that only give a fixed value; of low severity where the name asks a question."""
-    rows = _bodies(files, STUB, False).unionByName(_unparsed(files, PYTHON["stub"]))
-    severity = F.when(F.col("name").rlike(BOOLEAN_NAME), "low").otherwise("high")
-    return _issues(rows, "stub-function", "ai-code", severity, "high", "function only returns a fixed value").unionByName(python_tree.stub_functions(files))
+def findings(rules: set[str]) -> list[Column]:
+    """Of one file's blocks (see ``syntax.parsed``): functions that do nothing or only give a fixed value, as arrays of issues without path and snippet."""
 
+    def issue(x, rule, severity, message):
+        return F.struct(x["line"].alias("line"), F.lit(rule).alias("rule"), severity.alias("severity"), F.lit("high").alias("confidence"), F.lit("ai-code").alias("category"), F.lit(message).alias("message"))
 
-def empty_functions(files: DataFrame) -> DataFrame:
-    rows = _bodies(files, EMPTY, True).unionByName(_unparsed(files, PYTHON["empty"]))
-    return _issues(rows, "empty-impl", "ai-code", F.lit("high"), "high", "function does nothing").unionByName(python_tree.empty_functions(files))
+    out = []
+    if "stub-function" in rules:
+        asks = lambda x: F.when(x["name"].rlike(BOOLEAN_NAME), "low").otherwise("high")
+        out.append(F.transform(F.filter("nodes", _such(STUB, False)), lambda x: issue(x, "stub-function", asks(x), "function only returns a fixed value")))
+    if "empty-impl" in rules:
+        out.append(F.transform(F.filter("nodes", _such(EMPTY, True)), lambda x: issue(x, "empty-impl", F.lit("high"), "function does nothing")))
+    return out
 
 
 def weak_validation(files: DataFrame) -> DataFrame:

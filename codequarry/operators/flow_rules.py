@@ -1,8 +1,7 @@
 """Handlers that swallow errors, and code behind a return: patterns over code without comments, and the scopes around it.
 
-Patterns are expressions over one file's row; blocks and Python's handlers come
-from one Arrow pass over it (see ``syntax`` and ``python_tree``; Python files
-that do not parse are judged by the pattern). A null source has no
+Patterns are expressions over one file's row; Python's handlers come from its
+syntax tree (see ``python_tree``). A null source has no
 issues; equal files give equal issues each. Extra columns are ignored.
 """
 
@@ -12,19 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.lexer import code
-from codequarry.operators import python_tree, syntax
 from codequarry.operators.line_rules import ISSUE
 from codequarry.sources.source_files import is_test_file
 
-# Exceptions that are often left alone on purpose.
-SILENT = ["OSError", "FileNotFoundError", "PermissionError", "ImportError", r"asyncio\.CancelledError", "KeyboardInterrupt", "StopIteration"]
 _JS = r"\bcatch\s*(?:\(\s*\w+[^(){}]*\)\s*)?\{\s*(?:console\.log\s*\([^{}\n]*\)\s*;?\s*|console\.\w+\s*\(\s*\w+\s*\)\s*;?\s*)?\}"
-_PYTHON_BODY = r"(?:pass|\.\.\.|print\s*\([^\n]*\)|log(?:ger|ging)?\.\w+\([^\n,]*\))"
 #: language: a handler from its keyword on, with a body that does nothing or only tells of the error.
 SWALLOWED = {
     "javascript": _JS,
     "typescript": _JS,
-    "python": rf"(?m)^([ \t]*)except\b(?![^:\n]*\b(?:{'|'.join(SILENT)})\b)[^:\n]*:[ \t]*(?:{_PYTHON_BODY}[ \t]*$|\n(?:[ \t]*\n)*\1[ \t]+{_PYTHON_BODY}[ \t]*$(?!(?:\n[ \t]*$)*\n\1[ \t]+\S))",
     "java": r"\bcatch\s*\([^()]*\)\s*\{\s*(?:(?:\w+\.printStackTrace\s*\(\s*\)|(?:System\.(?:out|err)\.print\w*|log(?:ger)?\.\w+)\s*\([^;{}]*\))\s*;\s*)*\}",
     "go": r"\bif\s+err\s*!=\s*nil\s*\{\s*(?:(?:log|fmt)\.\w+\([^\n]*\)\s*){0,2}\}",
     "php": r"\bcatch\s*\([^()]*\)\s*\{\s*(?:(?:echo|print|var_dump|error_log)\b[^;{}]*;\s*)*\}",
@@ -60,25 +54,32 @@ def _issues(rows: DataFrame, rule: str, category: str, severity: str, confidence
 
 
 def swallowed_errors(files: DataFrame) -> DataFrame:
-    """Handlers of seven languages whose body is empty or only prints or logs."""
-    broken = python_tree.parsed(files.filter(~is_test_file(F.col("path")))).filter("error is not null").select("path", F.lit("python").alias("language"), "source")
-    live = files.filter(~is_test_file(F.col("path")) & F.col("language").isin(*set(SWALLOWED) - {"python"})).select("path", "language", "source").unionByName(broken)
+    """Handlers of six languages whose body is empty or only prints or logs."""
+    live = files.filter(~is_test_file(F.col("path")) & F.col("language").isin(*SWALLOWED))
     live = live.select("path", "language", "source", code(F.col("source"), F.col("language")).alias("code"))
     out = None
     for pattern in sorted(set(SWALLOWED.values())):
         part = _found(live.filter(F.col("language").isin(*[k for k, v in SWALLOWED.items() if v == pattern])), pattern)
         out = part if out is None else out.unionByName(part)
-    return _issues(out, "swallowed-error", "ai-code", "high", F.lit("medium"), "error is caught and not handled").unionByName(python_tree.swallowed_errors(files))
+    return _issues(out, "swallowed-error", "ai-code", "high", F.lit("medium"), "error is caught and not handled")
 
 
-def unreachable_code(files: DataFrame) -> DataFrame:
-    """The first statement of each block behind one that leaves it: a return, throw or the like, or branches that all end so.
+def findings(rules: set[str]) -> list[Column]:
+    """Of one file's statements (see ``syntax.parsed``): the first one of each block behind one that leaves it, as an array of issues without path and snippet.
 
-    Of low confidence where no other statement of the block follows it.
+    What leaves a block is a return, throw or the like, or branches that all end so. Of low confidence where no other
+    statement of the block follows.
     """
-    rows = syntax.parsed(files.filter(~is_test_file(F.col("path")))).select("path", F.split("source", "\n", -1).alias("rows"), F.filter("statements", lambda x: ~x["reached"]).alias("dead"))
-    counted = F.filter("dead", lambda x: ~x["text"].rlike(HOISTED))
-    rows = rows.select("path", "rows", F.posexplode(counted).alias("at", "x")).select("path", "rows", "x.*")
-    first = rows.groupBy("path", "node").agg(F.min_by(F.struct("line", F.get("rows", F.col("line") - 1).alias("text")), "seq").alias("x"), F.count("*").alias("n"))
-    first = first.select("path", "x.line", F.regexp_replace("x.text", r"^\s+|\s+$", "").alias("snippet"), F.when(F.col("n") == 1, "low").otherwise("medium").alias("confidence"))
-    return _issues(first, "unreachable-code", "correctness", "low", F.col("confidence"), "code behind a return is never reached")
+    if "unreachable-code" not in rules:
+        return []
+    dead = F.filter("statements", lambda x: ~x["reached"] & ~x["text"].rlike(HOISTED))
+
+    def first(spans):
+        same = lambda x: F.filter(spans, lambda y: y["node"] == x["node"])
+        alone = lambda x: F.size(same(x)) == 1
+        heads = F.filter(spans, lambda x: x["seq"] == F.array_min(F.transform(same(x), lambda y: y["seq"])))
+        fixed = [F.lit(v).alias(n) for n, v in (("rule", "unreachable-code"), ("severity", "low"))]
+        rest = [F.lit(v).alias(n) for n, v in (("category", "correctness"), ("message", "code behind a return is never reached"))]
+        return F.transform(heads, lambda x: F.struct(x["line"].alias("line"), *fixed, F.when(alone(x), "low").otherwise("medium").alias("confidence"), *rest))
+
+    return [F.element_at(F.transform(F.array(dead), first), 1)]  # ``dead`` computed once

@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.operators import syntax
-from codequarry.operators.line_rules import ISSUE
-from codequarry.sources.source_files import is_test_file
 
 # Words of operations that may fail.
 CRITICAL_WORDS = [
@@ -43,14 +41,18 @@ def _text(x: Column) -> Column:
     return F.array_join(F.slice(F.col("rows"), x["line"], x["last"] - x["line"] + 1), "\n")
 
 
-def findings(statements: Column, nodes: Column, language: Column) -> Column:
-    """array<struct<line, last, message, confidence>> of one file."""
+def findings(rules: set[str]) -> list[Column]:
+    """Of one file (see ``syntax.parsed``, and ``rows``, its code's lines): an array of issues without path and snippet."""
+    if "unhandled-promise" not in rules:
+        return []
+    statements, nodes, language = F.col("statements"), F.col("nodes"), F.col("language")
     tries = F.filter(nodes, lambda n: (n["kind"] == "try") & (n["name"] == "handled"))
     whole = F.filter(nodes, lambda n: n["kind"].isin(*FUNCTIONS) & (n["lead"] == "try {}"))  # functions of which the body is a try
     script = language.isin("javascript", "typescript")
 
     def hit(x: Column, message: str, confidence: str) -> Column:
-        return F.struct(x["line"].alias("line"), F.lit(message).alias("message"), F.lit(confidence).alias("confidence"))
+        fixed = [F.lit(v).alias(n) for n, v in (("rule", "unhandled-promise"), ("severity", "medium"), ("confidence", confidence), ("category", "ai-code"), ("message", message))]
+        return F.struct(x["line"].alias("line"), *fixed)
 
     chains = F.filter(statements, lambda x: script & x["text"].rlike(r"\.then\s*\(") & ~x["text"].rlike(r"\.catch\s*\(") & ~_text(x).rlike(HARMLESS) & ~_text(x).rlike(r"\.catch\s*\("))
     follows = lambda x: F.exists(statements, lambda y: (y["node"] == x["node"]) & (y["seq"] == x["seq"] + 1) & (y["text"] == "try {}"))
@@ -58,20 +60,12 @@ def findings(statements: Column, nodes: Column, language: Column) -> Column:
     awaits = F.filter(statements, lambda x: ((script & x["text"].rlike(CRITICAL)) | ((language == "python") & x["text"].startswith("await ") & x["text"].rlike(CRITICAL))))
     bare = F.filter(awaits, lambda x: ~_within(x, F.concat(tries, whole)) & ~(begins(x) & follows(x)))
     futures = F.filter(statements, lambda x: (language == "java") & x["text"].rlike(r"\.get\s*\(\s*\)") & x["text"].rlike("[Ff]uture") & ~_within(x, tries))
-    return F.concat(
+    found = F.concat(
         F.transform(chains, lambda x: hit(x, "chain of then() without catch()", "high")),
         F.transform(bare, lambda x: hit(x, "await of an operation that may fail outside try", "low")),
         F.transform(futures, lambda x: hit(x, "Future.get() outside try", "medium")),
     )
-
-
-def unhandled_promises(files: DataFrame) -> DataFrame:
-    live = files.filter(~is_test_file(F.col("path")) & F.col("language").isin("javascript", "typescript", "python", "java"))
-    rows = syntax.parsed(live).withColumn("rows", F.split("code", "\n", -1))
-    rows = rows.select("path", F.split("source", "\n", -1).alias("source"), F.inline(findings(F.col("statements"), F.col("nodes"), F.col("language"))))
-    fixed = {"rule": F.lit("unhandled-promise"), "severity": F.lit("medium"), "category": F.lit("ai-code")}
-    snippet = F.regexp_replace(F.get("source", F.col("line") - 1), r"^\s+|\s+$", "")
-    return rows.select(*[fixed[n].alias(n) if n in fixed else snippet.alias(n) if n == "snippet" else F.col(n) for n in ISSUE])
+    return [found]
 
 
 def awaits_outside_try(files: DataFrame) -> DataFrame:

@@ -2,23 +2,22 @@
 
 ``ast.parse`` runs inside the tasks, file by file in Arrow batches; nothing is
 imported or executed. What the rows say is judged by column expressions. A
-source that does not parse has one row of ``py_errors`` and neither functions
-nor handlers; so has one nested too deep for the parser. A null source is an
-empty file. Equal files give equal rows each. Extra columns are ignored.
+source that does not parse, or is nested too deep for the parser, has a row of
+``py_errors``, and of its functions and handlers only those that patterns find
+to do nothing or give a fixed value. A null source is an empty file. Equal files give equal rows each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.operators.line_rules import ISSUE
 from codequarry.runtime import ship
-from codequarry.sources.source_files import is_test_file
 
 # Exceptions that are often left alone on purpose, names under which an exception is told, and calls that tell.
 SILENT = ["OSError", "FileNotFoundError", "PermissionError", "ImportError", "asyncio.CancelledError", "KeyboardInterrupt", "StopIteration"]
@@ -68,6 +67,23 @@ def _logged(x: ast.stmt) -> bool:
     return x.value.func.attr in LOGS and not any(isinstance(v, ast.Name) and v.id in TOLD for v in values)
 
 
+_DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\([^()]*\)[^:\n]*:[ \t]*\n(?:[ \t]*#[^\n]*\n)*[ \t]+"
+_DEF_END = r"[ \t]*(?:\n[ \t]*)*(?=\n\S|\n[ \t]*(?:async[ \t]+)?(?:def|class|@)|\s*\Z)"
+_IDLE_DEF = re.compile(rf"{_DEF}(?:pass|\.\.\.){_DEF_END}", re.M)
+_FIXED_DEF = re.compile(rf"{_DEF}(return(?:[ \t]+(?:None|True|False|0|''|\"\"|\[\]|\{{\}}))?){_DEF_END}", re.M)
+_IDLE_EXCEPT = re.compile(r"^([ \t]*)except\b([^:\n]*):[ \t]*(?:(?:pass|\.\.\.)[ \t]*$|\n(?:[ \t]*\n)*\1[ \t]+(?:pass|\.\.\.)[ \t]*$(?!(?:\n[ \t]*$)*\n\1[ \t]+\S))", re.M)
+
+
+def guessed(source: str) -> tuple[list[dict], list[dict]]:
+    """What patterns tell of a source that does not parse."""
+    line = lambda m: source.count("\n", 0, m.start()) + 1
+    function = {"owner": None, "bases": [], "decorators": [], "docstring": False, "is_async": False}
+    functions = [function | {"name": m[1], "line": line(m), "end": line(m), "statements": 0, "only": ""} for m in _IDLE_DEF.finditer(source)]
+    functions += [function | {"name": m[1], "line": line(m), "end": line(m), "statements": 1, "only": " ".join(m[2].split())} for m in _FIXED_DEF.finditer(source)]
+    handlers = [{"line": line(m), "try_line": line(m), "end": line(m), "type": re.sub(r"\s+as\s+\w+$", "", m[2].strip()), "statements": 1, "raises": False, "returns": False, "silent": True} for m in _IDLE_EXCEPT.finditer(source)]
+    return functions, handlers
+
+
 def facts(source: str) -> tuple[list[dict], list[dict], str | None]:
     """Functions, handlers and the parser's complaint of one source."""
     try:
@@ -75,7 +91,7 @@ def facts(source: str) -> tuple[list[dict], list[dict], str | None]:
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [], [], f"{type(e).__name__}: {getattr(e, 'msg', e)}"[:200]
+        return *guessed(source), f"{type(e).__name__}: {getattr(e, 'msg', e)}"[:200]
     functions, handlers = [], []
     todo: list[tuple[ast.AST, ast.ClassDef | None]] = [(tree, None)]
     while todo:
@@ -128,32 +144,27 @@ def py_errors(files: DataFrame) -> DataFrame:
     return parsed(files).filter("error is not null").select("path", "error")
 
 
-def _issues(rows: DataFrame, rule: str, severity, confidence: str, message: str) -> DataFrame:
-    fixed = {"rule": F.lit(rule), "severity": severity, "confidence": F.lit(confidence), "category": F.lit("ai-code"), "message": F.lit(message)}
-    snippet = F.regexp_replace(F.get(F.split("source", "\n", -1), F.col("line") - 1), r"^\s+|\s+$", "")
-    return rows.select(*[fixed[n].alias(n) if n in fixed else snippet.alias(n) if n == "snippet" else F.col(n) for n in ISSUE])
-
-
-def _judged(files: DataFrame) -> DataFrame:
-    """Functions that may be blamed for a body without work: not abstract, not excused by a decorator, not special or a test."""
-    rows = parsed(files.filter(~is_test_file(F.col("path")))).select("path", "source", F.inline("functions"))
-    excused = F.arrays_overlap("decorators", F.array(*map(F.lit, EXCUSING))) | F.arrays_overlap("bases", F.array(*map(F.lit, ABSTRACT_BASES)))
-    return rows.filter(~excused & ~F.col("name").rlike("^(?:__.*__|test_.*)$"))
-
+# Names that say a function only makes something, or asks a question.
+MAKES, ASKS = "^(?:create|make|build|default|noop|empty|new)", "^(?:is|has|can|should)_"
+FIXED = "^return (?:None|True|False|0|''|\\[\\]|\\(\\)|\\{\\})$"
 
-def empty_functions(files: DataFrame) -> DataFrame:
-    rows = _judged(files).filter("statements = 0")
-    return _issues(rows, "empty-impl", F.lit("high"), "high", "function does nothing")
 
+def findings(rules: set[str]):
+    """array<struct<line, rule, severity, confidence, category, message>> of one file's functions and handlers, of the rules asked for."""
 
-def stub_functions(files: DataFrame) -> DataFrame:
-    """Functions whose only work is to return a fixed value; of low severity where the name asks a question."""
-    rows = _judged(files).filter(F.col("only").rlike("^return (?:None|True|False|0|''|\\[\\]|\\(\\)|\\{\\})$") & ~F.col("name").rlike("^(?:create|make|build|default|noop|empty|new)"))
-    return _issues(rows, "stub-function", F.when(F.col("name").rlike("^(?:is|has|can|should)_"), "low").otherwise("high"), "high", "function only returns a fixed value")
+    def issue(x, rule, severity, confidence, message):
+        return F.struct(x["line"].alias("line"), F.lit(rule).alias("rule"), severity.alias("severity"), F.lit(confidence).alias("confidence"), F.lit("ai-code").alias("category"), F.lit(message).alias("message"))
 
+    def blamed(x):  # not abstract, not excused by a decorator, not special or a test
+        excused = F.arrays_overlap(x["decorators"], F.array(*map(F.lit, EXCUSING))) | F.arrays_overlap(x["bases"], F.array(*map(F.lit, ABSTRACT_BASES)))
+        return ~excused & ~x["name"].rlike("^(?:__.*__|test_.*)$")
 
-def swallowed_errors(files: DataFrame) -> DataFrame:
-    """Handlers that do nothing, or only log without the exception, but for exceptions that are often left alone."""
-    rows = parsed(files.filter(~is_test_file(F.col("path")))).select("path", "source", F.inline("handlers"))
-    rows = rows.filter(F.col("silent") & ~F.col("type").isin(*SILENT))
-    return _issues(rows, "swallowed-error", F.lit("high"), "medium", "error is caught and not handled")
+    empty = F.filter("functions", lambda x: blamed(x) & (x["statements"] == 0))
+    stub = F.filter("functions", lambda x: blamed(x) & x["only"].rlike(FIXED) & ~x["name"].rlike(MAKES))
+    silent = F.filter("handlers", lambda x: x["silent"] & ~x["type"].isin(*SILENT))
+    found = {
+        "empty-impl": F.transform(empty, lambda x: issue(x, "empty-impl", F.lit("high"), "high", "function does nothing")),
+        "stub-function": F.transform(stub, lambda x: issue(x, "stub-function", F.when(x["name"].rlike(ASKS), "low").otherwise("high"), "high", "function only returns a fixed value")),
+        "swallowed-error": F.transform(silent, lambda x: issue(x, "swallowed-error", F.lit("high"), "medium", "error is caught and not handled")),
+    }
+    return [v for k, v in found.items() if k in rules]

@@ -213,11 +213,14 @@ def referenced_names(files: DataFrame) -> DataFrame:
 def dead_code(files: DataFrame) -> DataFrame:
     """Exported names that nothing uses: no import names them, no file takes their whole module, and, where code names things without importing them (Go, Java, Rust, Ruby), no other file holds the word; and its own file does not say it again."""
     exported = symbols(files).filter(F.col("exported") & ~is_test_file(F.col("path")) & ~F.col("name").rlike("^__.*__$") & ~F.col("name").isin("main", "new", "initialize", "default"))
-    refs = resolved_imports(files)
-    named = refs.filter("target is not null and not whole").select(F.col("target").alias("path"), F.when(F.col("name") == "default", F.col("local")).otherwise(F.col("name")).alias("name")).distinct()
-    whole = refs.filter("target is not null and whole").select(F.col("target").alias("path")).distinct()
-    unknown = refs.filter("target is null").select(F.explode(F.array("name", "local")).alias("name")).distinct()
-    left = exported.join(named, ["path", "name"], "left_anti").join(whole, "path", "left_anti").join(unknown, "name", "left_anti")
+    # what imports use: a name of a file, a whole file, or a name of no known file
+    row = lambda ok, path, name: F.when(ok, F.struct(path.alias("of"), name.alias("use")))
+    found, meant = F.col("target").isNotNull(), F.when(F.col("name") == "default", F.col("local")).otherwise(F.col("name"))
+    used = F.array(row(found & ~F.col("whole"), F.col("target"), meant), row(found & F.col("whole"), F.col("target"), F.lit("*")), row(~found, F.lit(""), F.col("name")), row(~found, F.lit(""), F.col("local")))
+    used = resolved_imports(files).select(F.inline(F.array_compact(used))).distinct()
+    asked = F.array(F.struct(F.col("path").alias("of"), F.col("name").alias("use")), F.struct(F.col("path").alias("of"), F.lit("*").alias("use")), F.struct(F.lit("").alias("of"), F.col("name").alias("use")))
+    hit = exported.select("path", "name", F.inline(asked)).join(used, ["of", "use"], "left_semi").select("path", "name").distinct()
+    left = exported.join(hit, ["path", "name"], "left_anti")
     by_word = F.col("language").isin("go", "java", "rust", "ruby")
     words = files.filter(by_word).select("path", F.explode(F.array_distinct(F.regexp_extract_all(code(F.col("source"), F.col("language"), True), F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name"))
     shared = words.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name", F.lit(True).alias("shared"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, projects, promise_rules, symbols
+from codequarry.operators import block_rules, declarations, file_rules, flow_rules, issue_filters, line_rules, parsed_rules, projects, symbols
 
 
 @dataclass(frozen=True)
@@ -24,14 +24,10 @@ FILE_RULES = {
     "resource-leak": file_rules.resource_leaks,
     "package-hallucination": file_rules.unknown_packages,
     "unused-declaration": file_rules.unused_imports,
-    "stub-function": block_rules.stub_functions,
-    "empty-impl": block_rules.empty_functions,
     "weak-validation": block_rules.weak_validation,
     "narrative-comments": block_rules.narrative_comments,
     "dead-code": symbols.dead_code,
     "swallowed-error": flow_rules.swallowed_errors,
-    "unreachable-code": flow_rules.unreachable_code,
-    "unhandled-promise": promise_rules.unhandled_promises,
 }
 
 
@@ -44,6 +40,7 @@ def issues(files: DataFrame, options: Options = Options(), declared: DataFrame |
     enabled = lambda r: r in options.only if options.only else r not in options.skip
     rules = FILE_RULES | ({"unused-declaration": declarations.unused_declarations} if options.every_declaration else {})
     parts = [f(files, declared) if r == "package-hallucination" else f(files) for r, f in rules.items() if enabled(r)]
+    parts += parsed_rules.issues(files, {r for r in parsed_rules.BY_SCOPES | parsed_rules.BY_TREE if enabled(r)})
     if any(enabled(r.rule) for r in line_rules.RULES):
         parts.append(line_rules.line_issues(files, options.only, options.skip))
     if enabled("structure") and (listing is not None or options.only == ("structure",)):
