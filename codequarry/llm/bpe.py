@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.memory import frugal
 from codequarry.llm.hashing import chunks
 from codequarry.runtime import ship
 
@@ -293,7 +294,7 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     ship(spark)
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast((f.read(), unicode_of(tokenizer)))
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(spec), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(_encode(spec)), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(found: DataFrame) -> DataFrame:

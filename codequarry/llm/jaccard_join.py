@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.memory import frugal
 from codequarry.llm import sketch
 from codequarry.llm.components import components
 from codequarry.llm.hashing import Prefix, batches, mix, word_hashes
@@ -385,7 +386,7 @@ def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataF
             .select("cell", "rep", "weight", "joined", "counts")
             .repartition("cell")
             .sortWithinPartitions("cell")
-            .mapInArrow(_tree_pairs(s, FEW if first else FEW_APART), "a long, b long, wide boolean")
+            .mapInArrow(frugal(_tree_pairs(s, FEW if first else FEW_APART)), "a long, b long, wide boolean")
         )
         stars = here.filter((F.col("n") > direct) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("wide"))
         pairs = near.unionByName(stars).groupBy("a", "b").agg(F.max("wide").alias("wide"))
@@ -394,7 +395,7 @@ def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataF
             pairs.join(side("a", "doc_a", "x"), "a")
             .join(side("b", "doc_b", "y"), "b")
             .select("a", "b", "wide", "doc_a", "doc_b", "weight", "x", "y")
-            .mapInArrow(_verify(s, shared), "rep long, a long, b long, weight long, linked boolean, keys array<long>"),
+            .mapInArrow(frugal(_verify(s, shared)), "rep long, a long, b long, weight long, linked boolean, keys array<long>"),
             "links",
         )
         found.append(checked.filter("linked").select("a", "b"))
@@ -420,7 +421,7 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
 
     shared = spark.sparkContext.broadcast(sketch.repeated(docs, tokens))
     repeated = spark.sparkContext.broadcast(sketch.repeated(docs, names))
-    described = materialize(docs.mapInArrow(_describe(repeated, shared, s), "doc_id long, n long, set_a long, set_b long, names array<long>, text binary"), "shingles")
+    described = materialize(docs.mapInArrow(frugal(_describe(repeated, shared, s)), "doc_id long, n long, set_a long, set_b long, names array<long>, text binary"), "shingles")
     by_set = ["n", "set_a", "set_b"]
     reps = materialize(described.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("doc"), F.first("names").alias("names")), "sets")
     met = reps.filter(F.size("names") > 0).select(F.explode("names").alias("key"), F.col("set_a").alias("rep"), F.size("names").cast("long").alias("weight"))
@@ -429,7 +430,7 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     wanted = reps.select(F.col("set_a").alias("rep"), "doc", F.size("names").cast("long").alias("weight")).join(met.select("rep").distinct(), "rep", "left_semi")
     mine = described.filter(F.col("text").isNotNull()).select("doc_id", F.col("set_a").alias("rep"), "text")
     sets = mine.join(wanted, "rep").filter("doc_id = doc").select("rep", "doc", "weight", "text")
-    table = _bucketed(sets.mapInArrow(_tokens(s), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "rep")
+    table = _bucketed(sets.mapInArrow(frugal(_tokens(s)), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "rep")
     links = _links(met, spark.table(table), s, shared)
     spark.sql(f"DROP TABLE {table}")  # its files stay in the shared folder
     out = described.select("doc_id", F.col("n").alias("n_shingles"), *[F.col(k).alias(f"of_{k}") for k in by_set])

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from codequarry.llm.memory import frugal
 from codequarry.llm.hashing import Prefix, chunks, mix
 from codequarry.runtime import ship
 
@@ -173,10 +174,10 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tu
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.max("label").alias("label"))
         .select("label", "text")
-        .mapInArrow(_featurize(s), "label int, at binary, weight binary")
+        .mapInArrow(frugal(_featurize(s)), "label int, at binary, weight binary")
         .repartition(1)  # train_rows rows of at most ``buckets`` numbers
         .sortWithinPartitions("at", "weight", "label")
-        .mapInArrow(_learn(s), "value binary, bias double")
+        .mapInArrow(frugal(_learn(s)), "value binary, bias double")
         .first()
     )
     return (np.frombuffer(bytes(learnt["value"]), "<f8"), learnt["bias"]) if learnt else (np.zeros(s.buckets), 0.0)
@@ -244,7 +245,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], s: Settings = S
     model = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(*dict.fromkeys([*keep, "text"]))  # a text that is kept is sent to the task once
     schema = StructType([rows.schema[c] for c in keep] + [StructField("score", DoubleType())])
-    return rows.mapInArrow(_score(model, s, keep), schema)
+    return rows.mapInArrow(frugal(_score(model, s, keep)), schema)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

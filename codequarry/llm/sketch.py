@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.llm.memory import frugal
 from codequarry.llm.hashing import mix
 
 BITS, DEPTH, SHARD_BITS = 27, 2, 6
@@ -103,9 +104,9 @@ def repeated(df: DataFrame, hashes_of) -> Repeated:
         return _counted(h for batch in batches for h in hashes_of(batch))
 
     rows = (
-        df.mapInArrow(count, "shard int, once binary, more binary")
+        df.mapInArrow(frugal(count), "shard int, once binary, more binary")
         .repartition(min(SHARDS, 16), F.col("shard"))
-        .mapInArrow(_merge, "shard int, bits binary")
+        .mapInArrow(frugal(_merge), "shard int, bits binary")
         .collect()  # one bit per cell: bounded by BITS
     )
     bits = np.zeros((DEPTH << BITS) // 8, np.uint8)
