@@ -2,9 +2,9 @@
 
 Contexts are up to ``Settings.depth`` words before a token. The tree grows
 level by level: a gram of three words or more is counted only if its context
-and its suffix are frequent (``least`` times or more in the training texts, and
-a ``share`` of their tokens or more, as suffix trees ask for a least probability,
-so that what a chunk gets back does not grow with the number of chunks), and of
+and its suffix are frequent (``least`` times or more in the training texts,
+however many these are; a caller may ask for a ``share`` of their tokens as
+well, as suffix trees ask for a least probability), and of
 the frequent ones a context is kept if its distribution diverges from that of its longest
 kept suffix by more than ``bits`` over all its occurrences, each symbol being
 discounted by its own occurrence. The next symbol of a kept context has
@@ -48,7 +48,7 @@ _STEP = np.uint64(0xD1342543DE82EF95)
 class Settings:
     depth: int = 2
     least: int = 16
-    share: float = 5e-7
+    share: float = 0.0
     discount: float = 0.75
     bits: float = 24.0
     #: Tokens of a chunk, and keys that a range of hashes holds, about.

@@ -59,3 +59,13 @@ def test_continuations_of_a_context(spark):
     docs = spark.createDataFrame(rows + asked, "doc_id long, text string")
     got = [tuple(r) for r in T.scores(docs, _held(), s).filter("held_out").collect()]
     _same(got, [r for r in T.brute_force(rows + asked, s) if r[1]])
+
+
+def test_frequent_is_the_same_at_any_size(spark):
+    """Among four million other tokens a gram of ``least`` occurrences is still a gram of the model."""
+    assert T.Settings().frequent(0) == T.Settings().frequent(10**12) == T.Settings().least
+    filler = spark.range(3, 103).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), 50_000).alias("text"))
+    rows = spark.createDataFrame([(2, "x y"), (3, "x y"), (1, "x y")], "doc_id long, text string")
+    held = F.col("doc_id") == 1
+    (got,) = T.scores(filler.unionByName(rows), held, T.Settings(least=2, bits=0.0)).filter("held_out").collect()
+    assert got.train_tokens > 4_000_000 and got.score > got.base_score + 5
