@@ -19,7 +19,7 @@ Elements that no second document holds cannot be shared, so each member meets
 the others again under a short prefix of the rest, those that p lacks (the
 rarer ones) first. Members linked with p are in one component already: only
 keys that hold another member are followed, and of their pairs only those with
-one. Pivots' ranks fall from round to round, so the rounds end by themselves;
+one; keys that a sketch tells to be of one member alone are never written out. Pivots' ranks fall from round to round, so the rounds end by themselves;
 what is paired stays linear for any group of near copies.
 
 Null texts and texts without words have no shingles and are linked with
@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -356,6 +357,29 @@ def _verify(s: Similarity, shared):
     return run
 
 
+def _followed(wide: DataFrame) -> DataFrame:
+    """Rows key, rep, weight, joined of rows (rep, weight, linked, keys), but for keys that no second row has (by a merged sketch).
+
+    Nobody is met under those, and they are most of the keys.
+    """
+
+    def keys(batch):
+        yield batch.column(3).flatten().to_numpy().view(np.uint64)
+
+    again = wide.sparkSession.sparkContext.broadcast(sketch.repeated(wide, keys))
+
+    def run(found):
+        for batch in found:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                held = part.column(3).flatten()
+                keep = pa.array(np.flatnonzero(again.value(held.to_numpy().view(np.uint64))))
+                of = pc.list_parent_indices(part.column(3)).take(keep)
+                yield pa.RecordBatch.from_arrays([held.take(keep), *(part.column(k).take(of) for k in range(3))], ["key", "rep", "weight", "joined"])
+
+    return wide.mapInArrow(frugal(run), "key long, rep long, weight long, joined boolean")
+
+
 def _bucketed(rows: DataFrame, column: str) -> str:
     """The name of a table with these rows, bucketed by a column, in the shared folder: every round joins it without a shuffle of its own."""
     spark, name = rows.sparkSession, f"codequarry_{uuid.uuid4().hex}"
@@ -399,7 +423,10 @@ def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataF
             "links",
         )
         found.append(checked.filter("linked").select("a", "b"))
-        met = checked.select(F.explode("keys").alias("key"), "rep", "weight", F.col("linked").alias("joined")).groupBy("key", "rep", "weight").agg(F.bool_and("joined").alias("joined"))
+        wide = checked.filter(F.size("keys") > 0).select("rep", "weight", "linked", "keys")
+        if wide.isEmpty():
+            return found
+        met = materialize(_followed(wide), "followed").groupBy("key", "rep", "weight").agg(F.bool_and("joined").alias("joined"))
         first = False
 
 

@@ -87,6 +87,27 @@ def test_large_group_of_near_copies(spark):
     assert got == jaccard_join.brute_force(rows, s)
 
 
+def test_only_keys_that_others_may_have_are_followed(spark, monkeypatch):
+    """Differences from a pivot that one member alone has make no rows; the components stay those of all pairs."""
+    made = {}
+    write = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: made.setdefault(label, []).append(write(df, label)) or made[label][-1])
+    rng = np.random.default_rng(7)
+    rows = []
+    for d in range(300):
+        words = [f"v{i}" for i in range(90)]
+        for at in rng.integers(0, 90, d % 7):
+            words[at] = f"x{rng.integers(0, 6 if d % 3 else 10**6)}"
+        rows.append((d, " ".join(words)))
+    s = jaccard_join.Similarity(5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(rows_of(spark, rows), s).collect()}
+    assert got == jaccard_join.brute_force(rows, s)
+    keys = made["links"][0].select(F.explode("keys").alias("key")).groupBy("key").count()
+    followed = made["followed"][0].groupBy("key").count()
+    wanted = keys.filter("count > 1")
+    assert 0 < followed.count() == wanted.join(followed, ["key", "count"]).count() < keys.count()
+
+
 def test_repeated_query_has_its_neighbours_once(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 0.1]), (2, [0.0, 0.0]), (3, None), (20, [1e-9, 1.0]), (4, [float("nan"), 1.0])]
     found = nearest_neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
