@@ -33,11 +33,13 @@ GRAM, LONGEST = 32, 256
 #: Anchors with more different runs than this are grouped across the cluster.
 SORTED_RUNS = 4096
 #: Bytes of runs that one sort takes at a time.
-SORT_BYTES = 1_000_000
+SORT_BYTES = 250_000
+#: Bytes of texts that are hashed at a time: their arrays stay in a processor's cache.
+HASH_BYTES = 1 << 17
 
 
 def _runs(batch, window):
-    for rows, texts in over_texts(batch, 1_000_000):
+    for rows, texts in over_texts(batch, HASH_BYTES):
         if not any(len(t) >= window for t in texts):
             continue
         buffer = np.frombuffer(b"".join(texts), np.uint8)

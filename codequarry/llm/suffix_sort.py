@@ -14,29 +14,43 @@ class Suffixes:
         self.text = np.concatenate([text, np.zeros(depth, np.uint8)])
         self.depth = depth
         self.prefix = Prefix(BYTE_VALUES[self.text])
+        self.words = np.zeros(max(0, len(self.text) - 7), np.uint64)  # the eight bytes from each place on
+        for k in range(8):
+            self.words = (self.words << np.uint64(8)) | self.text[k : len(self.words) + k]
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common extension of suffixes i and j: a binary search over hashes."""
-        p, out = self.prefix, np.zeros(len(i), np.int64)
+        """Length of the common extension of suffixes i and j: a binary search over hashes, for those that differ within ``depth`` bytes."""
+        sums, inverse = self.prefix.sums, self.prefix.inverse
+        a, b, u, v = sums[i], sums[j], inverse[i], inverse[j]
+        out = np.full(len(i), self.depth, np.int64)
+        w = np.flatnonzero((sums[i + self.depth] - a) * u != (sums[j + self.depth] - b) * v)
+        if not len(w):
+            return out
+        a, b, u, v, i, j = a[w], b[w], u[w], v[w], i[w], j[w]
+        have = np.zeros(len(w), np.int64)
         step = 1 << (self.depth.bit_length() - 1)
         while step:
-            longer = np.minimum(out + step, self.depth)
-            same = p.span(i, i + longer) == p.span(j, j + longer)
-            out = np.where(same, longer, out)
+            longer = np.minimum(have + step, self.depth)
+            have = np.where((sums[i + longer] - a) * u == (sums[j + longer] - b) * v, longer, have)
             step >>= 1
+        out[w] = have
         return out
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         n = self.common(i, j)
         return (n < self.depth) & (self.text[np.minimum(i + n, len(self.text) - 1)] < self.text[np.minimum(j + n, len(self.text) - 1)])
 
-    def equal(self, i: np.ndarray, j: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-        """Whether suffixes agree over ``depth`` bytes, checked on the bytes where the hashes say so."""
+    def equal(self, i: np.ndarray, j: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """Whether suffixes agree over ``depth`` bytes, checked on the bytes (eight at a time) where the hashes say so."""
         out = self.prefix.span(i, i + self.depth) == self.prefix.span(j, j + self.depth)
-        at, reach = np.flatnonzero(out), np.arange(self.depth)
+        at, size = np.flatnonzero(out), 8 if self.depth >= 8 else 1
+        where = self.words if size == 8 else self.text
         for k in range(0, len(at), block):
             part = at[k : k + block]
-            out[part] = (self.text[i[part][:, None] + reach] == self.text[j[part][:, None] + reach]).all(axis=1)
+            a, b, same = i[part], j[part], np.ones(len(part), bool)
+            for reach in (*range(0, self.depth - size, size), self.depth - size):
+                same &= where[a + reach] == where[b + reach]
+            out[part] = same
         return out
 
     def sort(self, positions: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +60,10 @@ class Suffixes:
         them, sorted blocks are merged by rank, all pairs of blocks of a level
         at once. A comparison costs the logarithm of ``depth``.
         """
-        lead = np.zeros(len(positions), np.uint64)
-        for k in range(8):
-            lead = (lead << np.uint64(8)) | self.text[positions + k]
-        order = np.lexsort((lead, group))
+        lead = self.words[positions]
+        order = np.argsort(lead, kind="stable")
+        group = group.astype(np.uint16) if group.max(initial=0) < 65536 else group  # sorted by radix
+        order = order[np.argsort(group[order], kind="stable")]
         pos, lead, group = positions[order], lead[order], group[order]
         new = np.r_[True, (lead[1:] != lead[:-1]) | (group[1:] != group[:-1])][: len(pos)]
         first = np.flatnonzero(new)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import bpe, jaccard_join, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from codequarry.llm import bpe, jaccard_join, mixing, nearest_neighbours, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, suffix_sort
 
 SCHEMA = "doc_id long, text string, source string, n_chars long, `kept id` string, `a.b` string, candidates string, spans string"
 
@@ -87,6 +87,31 @@ def test_large_group_of_near_copies(spark):
     assert got == jaccard_join.brute_force(rows, s)
 
 
+@pytest.mark.parametrize("depth", [1, 5, 8, 13, 20])
+def test_suffixes_in_order_and_equal_by_their_bytes(depth):
+    rng = np.random.default_rng(depth)
+    text = np.frombuffer(bytes(rng.choice([0, 97, 98], 400).astype("u1")) * 2, np.uint8)
+    s = suffix_sort.Suffixes(text, depth)
+    at, group = np.arange(len(text) - 8), np.arange(len(text) - 8) // 300
+    order, _ = s.sort(at, group)
+    raw = text.tobytes() + bytes(depth)
+    most = max(depth, 8)  # the sort forms its segments by eight bytes
+    key = [(int(group[i]), raw[i : i + most]) for i in order]
+    assert sorted(order) == at.tolist() and key == sorted(key)
+    i, j = rng.integers(0, len(text) - depth, (2, 3000))
+    want = np.array([raw[x : x + depth] == raw[y : y + depth] for x, y in zip(i, j)])
+    assert want.any() and (s.equal(i, j, 100) == want).all()
+
+
+def test_suffix_dedup_in_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HASH_BYTES", 300)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 300)
+    line = "".join(f"<{i}>" for i in range(120))
+    rows = [(i, f"head {i % 7} " * (i % 40) + line[i % 11 :] + f" tail {i * i}") for i in range(60)] + [(60, None), (61, "x" * 900), (62, "")]
+    got = suffix_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert {r.doc_id: tuple(r[1:]) for r in got} == {d: tuple(v[:4]) for d, v in suffix_dedup.brute_force(rows).items()}
+
+
 def test_only_keys_that_others_may_have_are_followed(spark, monkeypatch):
     """Differences from a pivot that one member alone has make no rows; the components stay those of all pairs."""
     made = {}
