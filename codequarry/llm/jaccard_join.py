@@ -17,9 +17,10 @@ must share many elements of their differences from p: if they did not, their
 distance would be the sum of their distances from p, and both would be near p.
 Elements that no second document holds cannot be shared, so each member meets
 the others again under a short prefix of the rest, those that p lacks (the
-rarer ones) first. Members linked with p are in one component already: only
-keys that hold another member are followed, and of their pairs only those with
-one; keys that a sketch tells to be of one member alone are never written out. Pivots' ranks fall from round to round, so the rounds end by themselves;
+rarer ones) first. Links found so far make components, and only members of different
+ones are paired again: a pivot whose members are all in one component has no
+keys, a key without a second component is not followed, and keys that a sketch tells to be of one
+member alone are never written out. Pivots' ranks fall from round to round, so the rounds end by themselves;
 what is paired stays linear for any group of near copies.
 
 Null texts and texts without words have no shingles and are linked with
@@ -53,6 +54,8 @@ DIMENSIONS = 128
 DIRECT, DIRECT_APART = 64, 4096
 #: Members that may all be linked and are paired with one another nevertheless, not with a pivot only; for either kind of key.
 FEW, FEW_APART = 8, 64
+#: Pairs that a task remembers, so as to name them once.
+SEEN = 200_000
 SEEDS = 4
 
 
@@ -264,41 +267,47 @@ class CountTree:
         return out
 
 
-def pivot_pairs(near: np.ndarray, rank: list, few: int) -> list[tuple[int, int, bool]]:
+def pivot_pairs(near: np.ndarray, rank: list, few: int, wanted: np.ndarray | None = None) -> list[tuple[int, int, bool]]:
     """Of members and which of them may be linked: (member, pivot, True) for those near a pivot, and all other pairs of near ones.
 
     Pivots are taken by falling rank; each takes its neighbours that no pivot has yet. What two members near one pivot
-    have to do with each other is left to the keys of their differences from it.
+    have to do with each other is left to the keys of their differences from it. Of near pairs only ``wanted`` ones matter
+    (all, if not given): they decide whether a pivot is needed, but not which members it takes, or two large groups that
+    are apart would be paired each with each.
     """
     n, out = len(near), []
+    wanted = near if wanted is None else wanted
     pivot = np.full(n, -1)
     for p in sorted(range(n), key=rank.__getitem__, reverse=True):
         if pivot[p] < 0:
             mine = np.flatnonzero(near[p] & (pivot < 0))
             pivot[mine] = pivot[p] = p
-            if len(mine) >= few:
+            some = np.union1d(mine, p)
+            i, k = np.nonzero(np.triu(wanted[np.ix_(some, some)], 1))
+            if len(mine) >= few and 2 * len(i) >= (few - 1) * len(mine):
                 out += [(i, p, True) for i in mine.tolist() if i != p]
-                continue
-            some = sorted({p, *mine.tolist()})
-            out += [(i, k, False) for i in some for k in some if k > i and near[i, k]]
-    i, k = np.nonzero(np.triu(near, 1) & (pivot[:, None] != pivot[None, :]))
+            else:
+                out += [(a, b, False) for a, b in zip(some[i].tolist(), some[k].tolist())]
+    i, k = np.nonzero(np.triu(wanted, 1) & (pivot[:, None] != pivot[None, :]))
     return out + [(a, b, False) for a, b in zip(i.tolist(), k.tolist())]
 
 
 def _tree_pairs(s: Similarity, few: int):
-    """Of rows (cell, rep, weight, joined, counts) sorted by cell: pairs of representatives to verify, and whether others depend on them.
+    """Of rows (cell, rep, weight, joined, component, counts) sorted by cell: pairs of representatives to verify, and whether others depend on them.
 
-    A pair is named the same way in every cell, the lower rank first, so that it is verified once. Where some are
-    joined already, only pairs of a joined one and another are wanted.
+    A pair is named the same way in every cell, the lower rank first, so that it is verified once; cells that have most
+    members in common come one after another, and what was named lately is not named again. Only pairs of different
+    components are wanted, and where some are joined with a pivot, of those a joined one with another.
     """
 
     def flush(rows):
-        near = CountTree(np.stack([unpacked(r[4]) for r in rows])).pairs(s)
-        joined = np.array([r[3] for r in rows])
+        near = CountTree(np.stack([unpacked(r[5]) for r in rows])).pairs(s)
+        joined, component = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        wanted = near & (component[:, None] != component[None, :])
         if joined.any():
-            near &= joined[:, None] ^ joined[None, :]
+            wanted &= joined[:, None] ^ joined[None, :]
         rank = [(r[2], r[1]) for r in rows]
-        pairs = [(*sorted((i, k), key=rank.__getitem__), wide) for i, k, wide in pivot_pairs(near, rank, few)]
+        pairs = [(*sorted((i, k), key=rank.__getitem__), wide) for i, k, wide in pivot_pairs(near, rank, few, wanted)]
         return [(rows[i][1], rows[k][1], wide) for i, k, wide in pairs]
 
     def batch_of(pairs):
@@ -306,18 +315,26 @@ def _tree_pairs(s: Similarity, few: int):
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], t) for k, t in enumerate(types)], ["a", "b", "wide"])
 
     def run(found):
-        held, out = [], []
+        held, out, seen = [], [], set()
+
+        def fresh(rows):
+            if len(seen) > SEEN:
+                seen.clear()
+            pairs = [p for p in flush(rows) if p not in seen]
+            seen.update(pairs)
+            return pairs
+
         for batch in found:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if held and row[0] != held[0][0]:
-                    out += flush(held)
+                    out += fresh(held)
                     held = []
                 held.append(row)
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
         if held:
-            out += flush(held)
+            out += fresh(held)
         if out:
             yield batch_of(out)
 
@@ -358,13 +375,13 @@ def _verify(s: Similarity, shared):
 
 
 def _followed(wide: DataFrame) -> DataFrame:
-    """Rows key, rep, weight, joined of rows (rep, weight, linked, keys), but for keys that no second row has (by a merged sketch).
+    """Rows key, rep, weight, joined, component of rows (rep, weight, linked, component, keys), but for keys that no second row has (by a merged sketch).
 
     Nobody is met under those, and they are most of the keys.
     """
 
     def keys(batch):
-        yield batch.column(3).flatten().to_numpy().view(np.uint64)
+        yield batch.column(4).flatten().to_numpy().view(np.uint64)
 
     again = wide.sparkSession.sparkContext.broadcast(sketch.repeated(wide, keys))
 
@@ -372,12 +389,12 @@ def _followed(wide: DataFrame) -> DataFrame:
         for batch in found:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                held = part.column(3).flatten()
+                held = part.column(4).flatten()
                 keep = pa.array(np.flatnonzero(again.value(held.to_numpy().view(np.uint64))))
-                of = pc.list_parent_indices(part.column(3)).take(keep)
-                yield pa.RecordBatch.from_arrays([held.take(keep), *(part.column(k).take(of) for k in range(3))], ["key", "rep", "weight", "joined"])
+                of = pc.list_parent_indices(part.column(4)).take(keep)
+                yield pa.RecordBatch.from_arrays([held.take(keep), *(part.column(k).take(of) for k in range(4))], ["key", "rep", "weight", "joined", "component"])
 
-    return wide.mapInArrow(frugal(run), "key long, rep long, weight long, joined boolean")
+    return wide.mapInArrow(frugal(run), "key long, rep long, weight long, joined boolean, component long")
 
 
 def _bucketed(rows: DataFrame, column: str) -> str:
@@ -389,27 +406,29 @@ def _bucketed(rows: DataFrame, column: str) -> str:
     return name
 
 
-def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataFrame]:
-    """Links (a, b) of documents that join all linked ones; ``met`` has key, rep and weight, ``sets`` rep, doc, weight, tokens and counts.
+def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> DataFrame | None:
+    """(node, component) of the documents with links; ``met`` has key, rep and weight, ``sets`` rep, doc, weight, tokens and counts.
 
-    ``joined`` marks members of a key whose links with the key's pivot have put them into one component.
+    ``joined`` marks members of a key that are linked with the key's pivot; ``component`` is that of the links found so far.
     """
-    found, first = [], True
-    met = met.withColumn("joined", F.lit(False))
+    found, first = None, True
+    met = met.withColumn("joined", F.lit(False)).withColumn("component", F.col("rep"))
     while True:
-        keys = met.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "rep")).alias("top"), F.bool_and("joined").alias("all"), F.bool_or("joined").alias("some"))
-        keys = keys.filter("n > 1" if first else "n > 1 and not all and (some or key % 2 = 0)")
-        here = materialize(met.join(keys.select("key", "n", F.col("top.rep").alias("pivot")), "key").select("key", "rep", "joined", "n", "pivot"), "met")
+        keys = met.groupBy("key").agg(
+            F.count("*").alias("n"), F.max(F.struct("weight", "rep")).alias("top"), F.bool_and("joined").alias("all"), F.bool_or("joined").alias("some"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        keys = keys.filter("low < high" if first else "low < high and not all and (some or key % 2 = 0)")
+        here = materialize(met.join(keys.select("key", "n", F.col("top.rep").alias("pivot")), "key").select("key", "rep", "joined", "component", "n", "pivot"), "met")
         if here.isEmpty():
             return found
         direct = DIRECT if first else DIRECT_APART
-        lists = here.filter(F.col("n") <= direct).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("rep", "joined"))).alias("reps")).select("reps").distinct()
-        cells = lists.select(F.xxhash64("reps").alias("cell"), F.explode("reps").alias("x")).select("cell", "x.rep", "x.joined")
+        lists = here.filter(F.col("n") <= direct).groupBy("key", "pivot").agg(F.sort_array(F.collect_set(F.struct("rep", "joined", "component"))).alias("reps")).select("pivot", "reps").distinct()
+        cells = lists.select("pivot", F.xxhash64("reps").alias("cell"), F.explode("reps").alias("x")).select("pivot", "cell", "x.*")
         near = (
             cells.join(sets.select("rep", "weight", "counts"), "rep")
-            .select("cell", "rep", "weight", "joined", "counts")
-            .repartition("cell")
-            .sortWithinPartitions("cell")
+            .repartitionByRange(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pivot", "cell")
+            .sortWithinPartitions("pivot", "cell")
+            .select("cell", "rep", "weight", "joined", "component", "counts")
             .mapInArrow(frugal(_tree_pairs(s, FEW if first else FEW_APART)), "a long, b long, wide boolean")
         )
         stars = here.filter((F.col("n") > direct) & (F.col("rep") != F.col("pivot"))).select(F.col("rep").alias("a"), F.col("pivot").alias("b"), F.lit(True).alias("wide"))
@@ -422,11 +441,15 @@ def _links(met: DataFrame, sets: DataFrame, s: Similarity, shared) -> list[DataF
             .mapInArrow(frugal(_verify(s, shared)), "rep long, a long, b long, weight long, linked boolean, keys array<long>"),
             "links",
         )
-        found.append(checked.filter("linked").select("a", "b"))
-        wide = checked.filter(F.size("keys") > 0).select("rep", "weight", "linked", "keys")
+        links = checked.filter("linked").select("a", "b")
+        found = components(links if found is None else links.unionByName(found.toDF("a", "b")))
+        wide = checked.filter(F.size("keys") > 0).join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        # keys are told apart by their pivot b: where its members are one component already, nobody is left to meet
+        several = wide.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("b")
+        wide = materialize(wide.join(several, "b", "left_semi").select("rep", "weight", "linked", "component", "keys"), "wide")
         if wide.isEmpty():
             return found
-        met = materialize(_followed(wide), "followed").groupBy("key", "rep", "weight").agg(F.bool_and("joined").alias("joined"))
+        met = materialize(_followed(wide), "followed").groupBy("key", "rep", "weight", "component").agg(F.bool_and("joined").alias("joined"))
         first = False
 
 
@@ -458,16 +481,13 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     mine = described.filter(F.col("text").isNotNull()).select("doc_id", F.col("set_a").alias("rep"), "text")
     sets = mine.join(wanted, "rep").filter("doc_id = doc").select("rep", "doc", "weight", "text")
     table = _bucketed(sets.mapInArrow(frugal(_tokens(s)), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "rep")
-    links = _links(met, spark.table(table), s, shared)
+    of = _links(met, spark.table(table), s, shared)
     spark.sql(f"DROP TABLE {table}")  # its files stay in the shared folder
     out = described.select("doc_id", F.col("n").alias("n_shingles"), *[F.col(k).alias(f"of_{k}") for k in by_set])
     same = [F.col(f"of_{k}") == F.col(k) for k in by_set]
     out = out.join(reps.select(*by_set, "doc"), same[0] & same[1] & same[2], "left")
-    if links:
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        out = out.join(components(edges).withColumnRenamed("node", "doc"), "doc", "left")
+    if of is not None:
+        out = out.join(of.withColumnRenamed("node", "doc"), "doc", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc", "doc_id").alias("component_id"))

@@ -133,6 +133,45 @@ def test_only_keys_that_others_may_have_are_followed(spark, monkeypatch):
     assert 0 < followed.count() == wanted.join(followed, ["key", "count"]).count() < keys.count()
 
 
+def test_pairs_of_near_copies_are_named_once_and_not_within_a_component(spark, monkeypatch):
+    """Near copies meet in many cells: what leaves the cells stays near the number of pairs, over all rounds."""
+    made, named = {}, spark.sparkContext.accumulator(0)
+    write, tree_pairs = jaccard_join.materialize, jaccard_join._tree_pairs
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: made.setdefault(label, []).append(write(df, label)) or made[label][-1])
+
+    def counting(s, few):
+        inner = tree_pairs(s, few)
+
+        def run(found):
+            for batch in inner(found):
+                named.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "_tree_pairs", counting)
+    rng = np.random.default_rng(7)
+    rows = []
+    for d in range(300):
+        words = [f"w{d % 3}v{i}" for i in range(90)]
+        for at in rng.integers(0, 90, d % 6):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((d, " ".join(words)))
+    s = jaccard_join.Similarity(5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(rows_of(spark, rows), s).collect()}
+    assert got == jaccard_join.brute_force(rows, s)
+    verified = sum(t.count() for t in made["links"])
+    assert 0 < named.value <= 2 * verified
+
+
+def test_two_components_near_one_another_are_not_paired_each_with_each():
+    n = 200
+    near, of = np.ones((n, n), bool), np.arange(n) % 2
+    pairs = jaccard_join.pivot_pairs(near, list(range(n)), 8, near & (of[:, None] != of[None, :]))
+    assert sorted(pairs) == [(i, n - 1, True) for i in range(n - 1)]
+    assert jaccard_join.pivot_pairs(near, list(range(n)), 8, np.zeros((n, n), bool)) == []
+
+
 def test_repeated_query_has_its_neighbours_once(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 0.1]), (2, [0.0, 0.0]), (3, None), (20, [1e-9, 1.0]), (4, [float("nan"), 1.0])]
     found = nearest_neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
