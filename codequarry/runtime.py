@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
+#: Bytes of rows that a Python worker gets at once, about.
+BATCH_BYTES = 4 << 20
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the Python workers, once per context."""
@@ -30,6 +33,14 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[sc] = path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's rows go to Python workers in batches of about ``BATCH_BYTES``.
+
+    Executor and worker both hold a batch, and copies of it: 10,000 whole texts or pairs of sets are tens of MB each time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +287,25 @@ def test_stages_keep_clashing_columns_and_empty_tables(spark):
     assert corpus_pipeline.token_ids(spark, none, "").count() == 0
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.token_ids])
+def test_stages_send_whole_texts_to_workers_in_small_batches(spark, stage):
+    """Held by executor and worker at once; batches of 10,000 rows, or 64 MB, took the pipeline's executors beyond their memory."""
+    docs = spark.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.expr("repeat('a b ', 50000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.unset(limit)
+        stage(spark, docs, "/root/testdata/sf0.001")
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.unset(limit)
+    assert sum(got) > 19_000_000 and max(got) < 6_000_000
+
+
 def test_classifier_of_shared_ids_and_column_names_is_the_same_each_time(spark):
     docs = rows_of(spark, [(d, f"good words {d}" if d % 2 else f"$$$ spam {d}") for d in range(40)] + [(1, "$$$ other")])
     labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, quality int")
