@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree.
 
 Contexts are up to ``Settings.depth`` words before a token. The tree grows
-level by level: a gram of three words or more is counted only if its context
+level by level: a gram of two words or more is counted only if its context
 and its suffix are frequent (``least`` times or more in the training texts,
 however many these are; a caller may ask for a ``share`` of their tokens as
 well, as suffix trees ask for a least probability), and of
@@ -15,9 +15,12 @@ token is scored in the longest kept context before it.
 Texts are coded once, as chunks of word numbers with the chunk's own
 vocabulary. Grams of a chunk are sent as arrays of distinct keys by ranges of
 their hash, so a common gram costs a number for each chunk; ranges add up what
-all chunks sent and answer each chunk. What is frequent becomes rows, and tests and
-probabilities are joins of those rows. A chunk gets back the kept part of what it
-holds. Nothing is broadcast, and what is counted grows with the corpus.
+all chunks sent and tell each chunk which of its keys are frequent, a mark for
+each, and their counts: a chunk finds the keys again by itself. One of the chunks that hold a
+frequent gram makes a row of it, with the counts of its context and suffix, and tests are
+windows and joins of those rows. A chunk gets back what the kept contexts that it
+holds leave to their suffixes, and makes the probabilities of its counts. Nothing is broadcast,
+and what is counted grows with the corpus.
 
 Null is an empty text, whose only token is the end. A null doc_id is not held
 out. Rows that share a doc_id are scored one by one. Words are told apart by 64
@@ -30,11 +33,12 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.hashing import batches, chunks, mix, word_hashes
@@ -126,6 +130,7 @@ class Chunk:
         self.trains = np.repeat(~self.held, self.lengths)
         self.sorted = np.argsort(self.vocabulary)  # the order in which words are asked about
         self.keys = [self.vocabulary[self.tokens]]
+        self.counts, self.have, self.n = np.zeros(0, np.int64), [], []  # per level: whether the gram that ends at a token is frequent, and its count
 
     def level(self, d: int) -> np.ndarray:
         """Keys of the grams of d words and the token; of use where the token has d words before it."""
@@ -135,6 +140,37 @@ class Chunk:
             self.keys.append(key)
         return self.keys[d]
 
+    def candidates(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the grams of level d end whose context and suffix are frequent, their sorted distinct keys, and the place of each among these."""
+        both = self.have[d - 1].copy()
+        both[1:] &= self.have[d - 1][:-1]
+        both &= self.place >= d
+        return both, *np.unique(self.level(d)[both], return_inverse=True)
+
+    def hear(self, answers: list[dict], depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the answers about levels 0 to ``depth``, in this order; of the last one: keys that this chunk owns, and a token where each ends."""
+        answers = sorted(answers, key=lambda r: r["range"])
+        keys, where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for d in range(depth + 1):
+            one = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unpack(r[name], kind) for r in answers if r["level"] == d)])  # noqa: B023, E731
+            if d == 0:
+                self.counts = np.zeros(len(self.vocabulary), np.int64)
+                self.counts[self.sorted] = one("counts", np.int64)
+                self.n.append(self.counts[self.tokens])
+                self.have.append(self.n[0] >= least)
+                continue
+            both, keys, of = self.candidates(d)
+            often = one("often", np.uint8).astype(bool)
+            counts, owned = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            counts[often], owned[often] = one("counts", np.int64), one("owned", np.uint8).astype(bool)
+            self.have.append(np.zeros(len(self.tokens), bool))
+            self.n.append(np.zeros(len(self.tokens), np.int64))
+            self.have[d][both], self.n[d][both] = often[of], counts[of]
+            where = np.zeros(len(keys), np.int64)
+            where[of] = np.flatnonzero(both)
+            keys, where = keys[owned], where[owned]
+        return keys, where
+
 
 def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each key stands among sorted ones, and whether it does."""
@@ -144,9 +180,9 @@ def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_keys[at] == keys
 
 
-_PASS = "kind int, chunk long, range int, keys binary, ctx binary, suffix binary, counts binary"
+_PASS = "kind int, chunk long, range int, keys binary, ctx binary, suffix binary, counts binary, n binary, m binary"
 ASK, ENTRY = 0, 1
-_BINARY = ["keys", "ctx", "suffix", "counts"]
+_BINARY = ["keys", "ctx", "suffix", "counts", "n", "m"]
 
 
 def _rows(kind: int, chunk: int, ranges: list[int], columns: dict) -> pa.RecordBatch:
@@ -155,50 +191,44 @@ def _rows(kind: int, chunk: int, ranges: list[int], columns: dict) -> pa.RecordB
     return pa.RecordBatch.from_pydict(data | {k: pa.array(columns.get(k, [None] * n), pa.binary()) for k in _BINARY})
 
 
-def _asks(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: int, first: int = 0) -> pa.RecordBatch:
+def _asks(chunk: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.RecordBatch:
     """Sorted distinct keys with their counts, cut by ranges of the hash."""
     of = ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     bounds = np.searchsorted(of, np.arange(ranges + 1))
     some = [(r, a, b) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-    return _rows(ASK, chunk, [first + r for r, _, _ in some], {"keys": [pack(keys[a:b]) for _, a, b in some], "counts": [pack(counts[a:b].astype(np.int32)) for _, a, b in some]})
+    return _rows(ASK, chunk, [r for r, _, _ in some], {"keys": [pack(keys[a:b]) for _, a, b in some], "counts": [pack(counts[a:b].astype(np.int32)) for _, a, b in some]})
 
 
 def _entries(chunk: int, ranges: int, **columns) -> pa.RecordBatch:
-    """Frequent grams of which this chunk tells the context and suffix; they pass a range on their way."""
+    """Frequent grams of which this chunk tells the context and suffix, and the counts ``n`` and ``m`` of these; they pass a range on their way."""
     return _rows(ENTRY, chunk, [chunk % ranges], {k: [pack(v)] for k, v in columns.items()})
 
 
-def _ask_first(ranges: int):
-    """Words (in ranges from 0 on), and the grams of two words (in as many ranges more)."""
-
+def _ask_words(ranges: int):
     def run(found):
         for batch in found:
             for row in batch.to_pylist():
                 c = Chunk(row)
                 counts = np.bincount(c.tokens[c.trains], minlength=len(c.vocabulary))
                 yield _asks(row["chunk"], c.vocabulary[c.sorted], counts[c.sorted], ranges)
-                at = c.place >= 1
-                keys, of = np.unique(c.level(1)[at], return_inverse=True)
-                yield _asks(row["chunk"], keys, np.bincount(of, weights=c.trains[at], minlength=len(keys)), ranges, ranges)
 
     return run
 
 
-_ANSWER = "kind int, chunk long, range int, keys binary, ctx binary, suffix binary, counts binary, owned binary, total long, different long"
+_ANSWER = "kind int, chunk long, range int, keys binary, ctx binary, suffix binary, counts binary, n binary, m binary, often binary, owned binary, total long, different long"
 
 
-def _added(words: int, least: int):
-    """Sums of a range's keys, sent back to each chunk: the frequent ones with their keys; in the first ``words`` ranges all sums in the order asked, and the frequent words as an entry.
+def _added(words: bool, least: int):
+    """Sums of a range's keys, sent back to each chunk: the frequent keys, a mark for each asked one and the frequent ones' sums; of words all sums in the order asked.
 
-    ``owned`` marks a key for one of the chunks that have it. ``total`` and ``different`` are the range's, once. Entries pass.
+    ``owned`` marks a frequent key for one of the chunks that have it. ``total`` and ``different`` are the range's, once. Entries pass.
     """
 
     def run(found: pa.Table) -> pa.Table:
         rows = sorted(found.to_pylist(), key=lambda r: (r["kind"], r["chunk"]))
         asked = [r for r in rows if r["kind"] == ASK]
-        every = found.num_rows > 0 and rows[0]["range"] < words
         for r in rows:
-            r |= {"owned": None, "total": 0, "different": 0}
+            r |= {"often": None, "owned": None, "total": 0, "different": 0}
         if asked:
             parts = [unpack(r["keys"], np.uint64) for r in asked]
             keys, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
@@ -209,76 +239,59 @@ def _added(words: int, least: int):
             for r, part in zip(asked, parts):
                 mine, own, end = sums[at[end : end + len(part)]], owned[end : end + len(part)], end + len(part)
                 often = mine >= least
-                keep = slice(None) if every else often
-                r |= {"keys": pack(part[often]), "counts": pack(mine[keep]), "owned": None if every else pack(own[keep])}
-            if every and (often := sums >= least).any():
-                rows.append({"kind": ENTRY, "chunk": 0, "range": asked[0]["range"], "keys": pack(keys[often]), "ctx": None, "suffix": None, "counts": pack(sums[often]), "owned": None, "total": 0, "different": 0})
-        kinds = {"kind": pa.int32(), "chunk": pa.int64(), "range": pa.int32(), **dict.fromkeys([*_BINARY, "owned"], pa.binary()), "total": pa.int64(), "different": pa.int64()}
+                r |= {"keys": pack(part[often]), "counts": pack(mine if words else mine[often])}
+                r |= {} if words else {"often": pack(often.astype(np.uint8)), "owned": pack(own[often])}
+        kinds = {"kind": pa.int32(), "chunk": pa.int64(), "range": pa.int32(), **dict.fromkeys([*_BINARY, "often", "owned"], pa.binary()), "total": pa.int64(), "different": pa.int64()}
         return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
     return run
 
 
-def _joined(answers: list[dict], words: bool):
-    """A chunk's answers as keys, counts and marks; of words counts alone, in the order asked."""
-    answers = sorted(answers, key=lambda r: r["range"])
-    one = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unpack(r[name], kind) for r in answers)])
-    return (one("counts", np.int64),) if words else (one("keys", np.uint64), one("counts", np.int64), one("owned", np.uint8).astype(bool))
-
-
-def _grow(d: int, s: Settings, ranges: int):
-    """From the answers about grams of level d - 1: their rows, and what is asked at level d."""
+def _grow(d: int, s: Settings, ranges: int, least: int):
+    """From the answers about all levels below d: the rows of level d - 1, and what is asked at level d."""
 
     def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in coded.to_pylist():  # one
             c, chunk = Chunk(row), row["chunk"]
-            keys, counts, owned = _joined(answers.to_pylist(), False)
-            key, lower = c.level(d - 1), c.level(d - 2)
-            at, known = _found(keys, key)
-            known &= c.place >= d - 1
-            where = np.zeros(len(keys), np.int64)
-            where[at[known]] = np.flatnonzero(known)
-            own = where[owned]
-            out.append(_entries(chunk, ranges, keys=keys[owned], ctx=lower[own - 1], suffix=lower[own], counts=counts[owned]))
+            keys, own = c.hear(answers.to_pylist(), d - 1, least)
+            if d > 1:
+                lower = c.level(d - 2)
+                out.append(_entries(chunk, ranges, keys=keys, ctx=lower[own - 1], suffix=lower[own], counts=c.n[d - 1][own], n=c.n[d - 2][own - 1], m=c.n[d - 2][own]))
             if d <= s.depth:
-                both = known.copy()
-                both[1:] &= known[:-1]
-                both &= c.place >= d
-                found, of = np.unique(c.level(d)[both], return_inverse=True)
+                both, found, of = c.candidates(d)
                 out.append(_asks(chunk, found, np.bincount(of, weights=c.trains[both], minlength=len(found)), ranges))
         return pa.Table.from_batches(out or [_rows(ENTRY, 0, [], {})])
 
     return run
 
 
-def _scored(s: Settings, total: int, different: int):
+def _scored(s: Settings, total: int, different: int, least: int):
     def run(coded: pa.Table, known: pa.Table) -> pa.Table:
         parts = []
         for row in coded.to_pylist():  # one
             c = Chunk(row)
             rows = known.to_pylist()
-            model = [r for r in rows if r["p"] is not None]
-            one = lambda name, kind: np.concatenate([np.zeros(0, kind), *(unpack(r[name], kind) for r in model)])  # noqa: B023, E731
-            keys, own, rest = one("keys", np.uint64), one("p", np.float64), one("rest", np.float64)
-            keys, first = np.unique(keys, return_index=True)
-            own, rest = own[first], rest[first]
-            counts = np.zeros(len(c.vocabulary), np.int64)
-            counts[c.sorted] = _joined([r for r in rows if r["p"] is None], True)[0]
-            base = np.log10((counts + 0.5) / (total + 0.5 * (different + 1)))[c.tokens]
+            c.hear([r for r in rows if r["level"] >= 0], s.depth, least)
+            kept = [r for r in rows if r["level"] < 0]
+            keys, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack(r["keys"], np.uint64) for r in kept)]), return_index=True)
+            rest = np.concatenate([np.zeros(0), *(unpack(r["rest"], np.float64) for r in kept)])[first]
+            # of frequent grams: the probability in the longest kept context before the last word
+            p = (c.n[0] + 0.5) / (total + 0.5 * (different + 1))
+            base = np.log10(p)
             score = base.copy()
             for d in range(1, s.depth + 1):
-                context, gram = c.level(d - 1), c.level(d)
                 inside = np.flatnonzero(c.place >= d)
-                at, have = _found(keys, context[inside - 1])
-                have &= ~np.isnan(rest[at]) if len(keys) else False
+                at, have = _found(keys, c.level(d - 1)[inside - 1])
                 inside, left = inside[have], rest[at[have]]
-                at, have = _found(keys, gram[inside])
-                entry = have & ~np.isnan(own[at]) if len(keys) else have
-                score[inside] = np.where(entry, np.log10(own[at]) if len(keys) else 0.0, score[inside] + np.log10(left))
+                score[inside] += np.log10(left)
+                entry = c.have[d][inside]
+                inside, left = inside[entry], left[entry]
+                p[inside] = (c.n[d][inside] - s.discount) / c.n[d - 1][inside - 1] + left * p[inside]
+                score[inside] = np.log10(p[inside])
             starts = np.cumsum(c.lengths) - c.lengths
             add = lambda x: np.add.reduceat(x, starts)
-            parts.append(pa.table({"doc_id": pa.array(c.doc_ids, pa.int64()), "held_out": pa.array(c.held), "n_tokens": pa.array(c.lengths), "n_known": pa.array(add((counts[c.tokens] > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(score))}))
+            parts.append(pa.table({"doc_id": pa.array(c.doc_ids, pa.int64()), "held_out": pa.array(c.held), "n_tokens": pa.array(c.lengths), "n_known": pa.array(add((c.n[0] > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(score))}))
         if not parts:
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         return pa.concat_tables(parts)
@@ -287,51 +300,48 @@ def _scored(s: Settings, total: int, different: int):
 
 
 def _kept_part(answers: pa.Table, model: pa.Table) -> pa.Table:
-    """For each chunk, what the model has of the keys that it holds in a range: keys, p and rest (NaN: none)."""
+    """For each chunk, the kept contexts among the keys that it holds in a range: keys and rest."""
     out: list[tuple] = []
     if answers.num_rows and model.num_rows:
         order = np.argsort(keys := model["key"].to_numpy().view(np.uint64), kind="stable")
-        keys, p, rest = keys[order], *(model[n].cast(pa.float64()).to_numpy(zero_copy_only=False)[order] for n in ("p", "rest"))
+        keys, rest = keys[order], model["rest"].to_numpy()[order]
         for r in answers.select(["chunk", "keys"]).to_pylist():
             at, have = _found(keys, unpack(r["keys"], np.uint64))
             at = at[have]
             if len(at):
-                out.append((r["chunk"], pack(keys[at]), pack(p[at]), pack(rest[at])))
-    return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("chunk", pa.int64()), ("keys", pa.binary()), ("p", pa.binary()), ("rest", pa.binary())))})
+                out.append((r["chunk"], pack(keys[at]), pack(rest[at])))
+    return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("chunk", pa.int64()), ("keys", pa.binary()), ("rest", pa.binary())))})
 
 
 def _entry_rows(batches):
     for batch in batches:
         for r in batch.to_pylist():
-            n = len(keys := unpack(r["keys"], np.uint64).view(np.int64))
-            other = lambda name: pa.nulls(n, pa.int64()) if r[name] is None else pa.array(unpack(r[name], np.uint64).view(np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "ctx": other("ctx"), "suffix": other("suffix"), "c": pa.array(unpack(r["counts"], np.int64))})
-
-
-def _model(entries: list[DataFrame], total: int, different: int, s: Settings) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows key, p (of an entry of a kept context), rest (what a kept context leaves to its suffix)."""
-    # of a gram: its count, and its probability in the longest kept context before its last word
-    lower = entries[0].select("key", "c", ((F.col("c") + 0.5) / (total + 0.5 * (different + 1))).alias("p"))
-    parts = []
-    for entry in entries[1:]:
-        n = lower.select(F.col("key").alias("ctx"), F.col("c").alias("n"))
-        parent = lower.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
-        rows = materialize(entry.join(n, "ctx").join(parent, "suffix"), "tree-rows")
-        sums = rows.groupBy("ctx").agg(F.sum(F.col("c") - s.discount).alias("held"), F.sum("c").alias("seen"))
-        rows = rows.join(sums, "ctx").withColumn("rest", 1 - F.col("held") / F.col("n"))
+            hashes = {k: pa.array(unpack(r[name], np.uint64).view(np.int64)) for k, name in (("key", "keys"), ("ctx", "ctx"), ("suffix", "suffix"))}
+            yield pa.RecordBatch.from_pydict(hashes | {k: pa.array(unpack(r[name], np.int64)) for k, name in (("c", "counts"), ("n", "n"), ("m", "m"))})
+
+
+def _model(entries: list[DataFrame], total: int, different: int, s: Settings) -> DataFrame:
+    """Rows key, rest: what a kept context leaves to its suffix."""
+    lower, parts, of = None, [], Window.partitionBy("ctx")
+    for entry in entries:
+        if lower is None:
+            rows = entry.withColumn("parent", (F.col("m") + 0.5) / (total + 0.5 * (different + 1)))
+        else:
+            rows = entry.join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
+        rows = rows.select("key", "ctx", "c", "n", "parent").withColumns({"held": F.sum(F.col("c") - s.discount).over(of), "seen": F.sum("c").over(of)})
+        rows = rows.withColumn("rest", 1 - F.col("held") / F.col("n"))
         own = lambda less: (F.col("c") - less) / F.col("n") + F.col("rest") * F.col("parent")
-        rows = materialize(rows.withColumn("own", own(s.discount)).withColumn("gain", F.col("c") * F.log2(own(s.discount + 1) / F.col("parent"))), "tree-gains")
-        other = (F.first("n") - F.first("seen")) * F.log2(F.first("rest"))
-        kept = rows.groupBy("ctx").agg((F.sum("gain") + other).alias("gain"), F.first("rest").alias("rest")).filter(F.col("gain") > s.bits).select("ctx", "rest")
-        kept = materialize(kept, "tree-kept")
-        rows = rows.drop("rest").join(kept, "ctx", "left")
-        lower = materialize(rows.select("key", "c", F.when(F.col("rest").isNull(), F.col("parent")).otherwise(F.col("own")).alias("p"), F.col("rest").isNotNull().alias("kept")), "tree-level")
-        parts.append(lower.filter("kept").select("key", "p", F.lit(None).cast("double").alias("rest")))
-        parts.append(kept.select(F.col("ctx").alias("key"), F.lit(None).cast("double").alias("p"), "rest"))
+        gain = F.sum(F.col("c") * F.log2(own(s.discount + 1) / F.col("parent"))).over(of) + (F.col("n") - F.col("seen")) * F.log2("rest")
+        rows = rows.withColumn("kept", gain > s.bits)
+        # of a gram: its probability in the longest kept context before its last word
+        lower = rows.select("key", F.when(F.col("kept"), own(s.discount)).otherwise(F.col("parent")).alias("p"), "ctx", F.when(F.col("kept"), F.col("rest")).alias("rest"))
+        if len(parts) + 1 < len(entries):
+            lower = materialize(lower, "tree-level")
+        parts.append(lower.filter("rest is not null").groupBy(F.col("ctx").alias("key")).agg(F.first("rest").alias("rest")))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy("key").agg(F.max("p").alias("p"), F.max("rest").alias("rest"))
+    return every
 
 
 def scores(documents: DataFrame, held_out: Column, s: Settings = Settings()) -> DataFrame:
@@ -354,28 +364,28 @@ def _over_chunks(coded: DataFrame, n_parts: int, s: Settings) -> DataFrame:
     counted = coded.agg(F.sum("n").alias("n"), F.sum("n_trains").alias("n_trains")).first()
     tokens, least = counted["n"] or 0, s.frequent(counted["n_trains"] or 0)
     ranges = max(n_parts, -(-tokens // s.range_keys))
-    asked = coded.mapInArrow(_ask_first(ranges), _PASS)
-    first = materialize(asked.groupBy("range").applyInArrow(_added(ranges, least), _ANSWER), "tree-answers")
-    answers = [first.filter(F.col("range") < ranges), first.filter(F.col("range") >= ranges)]
-    for d in range(2, s.depth + 2):  # the last only brings entries
-        here = answers[d - 1].filter(F.col("kind") == ASK)
-        asked = coded.groupBy("chunk").cogroup(here.groupBy("chunk")).applyInArrow(_grow(d, s, ranges), _PASS)
-        answers.append(materialize(asked.groupBy("range").applyInArrow(_added(0, least), _ANSWER), "tree-answers"))
-    entries = [a.filter(F.col("kind") == ENTRY).mapInArrow(_entry_rows, "key long, ctx long, suffix long, c long") for a in (answers[0], *answers[2:])]
-    answers = [a.filter(F.col("kind") == ASK) for a in answers[: s.depth + 1]]
+    asked = coded.mapInArrow(_ask_words(ranges), _PASS)
+    answers = [materialize(asked.groupBy("range").applyInArrow(_added(True, least), _ANSWER), "tree-answers")]
+
+    def heard() -> DataFrame:
+        """The answers so far without their keys."""
+        parts = [a.filter(F.col("kind") == ASK).select(F.lit(d).alias("level"), "chunk", "range", "counts", "often", "owned") for d, a in enumerate(answers[: s.depth + 1])]
+        return reduce(DataFrame.unionByName, parts)
+
+    for d in range(1, s.depth + 2):  # the last only brings entries
+        asked = coded.groupBy("chunk").cogroup(heard().groupBy("chunk")).applyInArrow(_grow(d, s, ranges, least), _PASS)
+        answers.append(materialize(asked.groupBy("range").applyInArrow(_added(False, least), _ANSWER), "tree-answers"))
+    entries = [a.filter(F.col("kind") == ENTRY).mapInArrow(_entry_rows, "key long, ctx long, suffix long, c long, n long, m long") for a in answers[2:]]
     sums = answers[0].agg(F.sum("total").alias("total"), F.sum("different").alias("different")).first()
     total, different = sums["total"] or 0, sums["different"] or 0
     of = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * F.lit(ranges).cast("long"), 32).cast("int")
     model = _model(entries, total, different, s).withColumn("range", of)
-    holds = answers[0].select("range", "chunk", "keys")
-    for more in answers[1:]:
-        holds = holds.unionByName(more.select((F.col("range") % ranges).alias("range"), "chunk", "keys"))
-    known = holds.groupBy("range").cogroup(model.groupBy("range")).applyInArrow(_kept_part, "chunk long, keys binary, p binary, rest binary")
+    # contexts are grams of all levels but the last
+    holds = reduce(DataFrame.unionByName, [a.filter(F.col("kind") == ASK).select("range", "chunk", "keys") for a in answers[: s.depth]])
+    known = holds.groupBy("range").cogroup(model.groupBy("range")).applyInArrow(_kept_part, "chunk long, keys binary, rest binary")
     none = F.lit(None).cast("binary")
-    words = answers[0].select("chunk", "range", none.alias("keys"), "counts", none.alias("p"), none.alias("rest"))
-    known = known.select("chunk", F.lit(0).alias("range"), "keys", none.alias("counts"), "p", "rest")
-    both = words.unionByName(known)
-    out = coded.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_scored(s, total, different), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    both = heard().select("*", none.alias("keys"), none.alias("rest")).unionByName(known.select(F.lit(-1).alias("level"), "chunk", F.lit(0).alias("range"), *[none.alias(k) for k in ("counts", "often", "owned")], "keys", "rest"))
+    out = coded.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_scored(s, total, different, least), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = materialize(out, "tree-scores")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
