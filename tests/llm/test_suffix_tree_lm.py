@@ -1,7 +1,9 @@
 """The suffix-tree language model against plain counting."""
 
+import glob
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,37 @@ def test_grams_of_rare_words_are_not_asked_about():
     rows = T._grow(1, s, 1, s.least)(coded, heard).to_pylist()
     assert [len(T.unpack(r["keys"], "u8")) for r in rows] == [2]  # a b, b a
     assert sorted(T.unpack(rows[0]["counts"], "i4").tolist()) == [19, 20]
+
+
+def test_keys_of_grams_take_few_bytes():
+    """Numbers of frequent words need few bits; hashes took more than six bytes a key, most of what was shuffled."""
+    s, pick = T.Settings(least=2), random.Random(5)
+    text = " ".join(f"w{pick.randrange(2000)}" for _ in range(60_000))
+    coded = pa.Table.from_batches(T._coded(s)([pa.RecordBatch.from_pydict({"doc_id": [0], "held": [False], "text": [text.encode()]})])).append_column("chunk", pa.array([0]))
+    heard = T._added(True, s.least)(pa.Table.from_batches(T._ask_words(1)(coded.to_batches()))).append_column("level", pa.array([0]))
+    (row,) = T._grow(1, s, 1, s.least, (11,))(coded, heard).to_pylist()
+    words = text.split()
+    assert len(T.unpack(row["keys"], "u8")) == len(set(zip(words, words[1:])))
+    assert len(row["keys"]) < 1.5 * len(set(zip(words, words[1:])))
+
+
+@pytest.mark.parametrize("bits", [1, 5, 31, 47, 64])
+def test_packed_numbers_come_back(bits):
+    pick = random.Random(bits)
+    for n in (0, 1, 2, 3000):
+        x = np.array([pick.getrandbits(bits) for _ in range(n)], np.uint64)
+        for y in (x, np.sort(x)):
+            assert (T.unpack(T.pack(y), np.uint64) == y).all() and (T.unpack_sorted(T.pack_sorted(y), np.uint64) == y).all()
+        if bits < 10:
+            assert sorted(T.scramble(np.arange(1 << bits, dtype=np.uint64), bits).tolist()) == list(range(1 << bits))
+
+
+def test_nothing_of_the_chunks_stays(spark):
+    """Files of chunks and answers are gone when the scores are there."""
+    folder = T.shared_folder(spark).removeprefix("file://") + "/codequarry"
+    before = set(glob.glob(f"{folder}/codequarry_*"))
+    docs = spark.createDataFrame([(i, "a b a c") for i in range(20)], "doc_id long, text string")
+    assert T.scores(docs, _held(), T.Settings(least=2, bits=0.0)).count() == 20
+    left = [d for d in glob.glob(f"{folder}/codequarry_*") if d not in before]
+    assert left and all(spark.read.schema("chunk long").parquet(d).count() == 0 for d in left)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
