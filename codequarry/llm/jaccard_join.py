@@ -2,10 +2,10 @@
 
 Tokens (shingle hashes) are hashed into groups. Documents meet where a whole
 group is equal: with more groups than two linked sets can have differences,
-some group must be (the number of groups follows the sets' sizes). A merged
-count-min sketch first tells which groups can be equal anywhere, so only those
-leave the tasks; a sketch of the tokens tells before that which sets hold too
-many tokens of their own to be linked at all. Documents that met are points of
+some group must be (the number of groups follows the sets' sizes). Every group's
+content goes once, packed, to the task of its range, which keeps those that two
+sets have; this grows with the input and with nothing else. Texts are read again
+for the sets that met only. Documents that met are points of
 group counts in an R-tree; the sum of coordinate minima bounds the overlap from
 above, for boxes and for points, and the pairs that survive are verified on the
 sets themselves.
@@ -38,14 +38,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm.memory import frugal
 from codequarry.llm import sketch
 from codequarry.llm.components import components
 from codequarry.llm.hashing import Prefix, batches, mix, word_hashes
-from codequarry.runtime import materialize, shared_folder, ship
+from codequarry.runtime import materialize, shared_folder, ship, shuffles_freed
 
 #: Coordinates of a count vector.
 DIMENSIONS = 128
@@ -56,7 +56,11 @@ DIRECT, DIRECT_APART = 64, 4096
 FEW, FEW_APART = 8, 64
 #: Pairs that a task remembers, so as to name them once.
 SEEN = 200_000
+#: Names of groups that a task gathers before it sends them, and that a task compares, about.
+SENT, COMPARED = 1 << 20, 1 << 21
 SEEDS = 4
+#: The bits of a mark, and of it those of the least number of shared names.
+MARK, LEAST = 0x7FF, 0xFF
 
 
 @dataclass(frozen=True)
@@ -121,16 +125,15 @@ def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(tokens: np.ndarray, s: Similarity) -> np.ndarray:
-    """One number for each group's content, in the set's own size class and the one below.
+def signed(tokens: np.ndarray, s: Similarity):
+    """Numbers for the groups' contents, in the set's own size class and the one below: (numbers, mark) for each class and hash.
 
     Empty groups would be equal everywhere and give no signature. A set with
-    more groups in use than linked sets can differ by shares one of those with
-    every partner; one with fewer is grouped again by another hash. Under each
+    more groups in use than linked sets can differ by shares as many as it has more with
+    every partner that is grouped by that hash; one with fewer is grouped again by another hash. Under each
     hash it still shows its groups in use, for partners that stop there. The
-    last hash keeps the empty ones too.
+    last hash keeps the empty ones too. The mark tells a set's classes and hashes apart and holds how many numbers any partner shares, at least.
     """
-    out = []
     c = s.size_class(len(tokens))
     for k in (c, c - 1):
         if k < 0:
@@ -144,46 +147,26 @@ def signatures(tokens: np.ndarray, s: Similarity) -> np.ndarray:
             np.add.at(sums, group, mix(mixed))
             used = np.bincount(group, minlength=n) > 0
             named = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + label))
-            enough = used.sum() > s.differences(k)
-            out.append(named if seed == SEEDS - 1 and not enough else named[used])
-            if enough:
+            more = int(used.sum()) - s.differences(k)
+            yield named if seed == SEEDS - 1 and more < 1 else named[used], (k & 1) << 10 | seed << 8 | min(max(more, 1), LEAST)
+            if more > 0:
                 break
-    return np.concatenate(out)
 
 
-def count_vector(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=DIMENSIONS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
+def signatures(tokens: np.ndarray, s: Similarity) -> np.ndarray:
+    return np.concatenate([names for names, _ in signed(tokens, s)])
 
 
-def possible(tokens: np.ndarray, shared, s: Similarity) -> bool:
-    """Whether enough tokens may occur in another set too: a link needs ``percent`` of each set's."""
-    return 100 * int(shared(tokens).sum()) >= s.percent * len(tokens)
+def count_vector(tokens: np.ndarray) -> np.ndarray:
+    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=DIMENSIONS).astype(np.uint16 if len(tokens) < 65536 else np.uint32)
 
 
-def _describe(repeated, shared, s: Similarity):
+def _describe(s: Similarity):
     def run(found):
-        flags, common = repeated.value, shared.value
         for batch in found:
             for first, texts in batches(batch.column(1)):
-                rows = []
-                for text, t in zip(texts, shingles(texts, s.words)):
-                    if not len(t):
-                        rows.append((0, 0, 0, np.zeros(0, np.uint64), None))
-                        continue
-                    names = signatures(t, s) if possible(t, common, s) else np.zeros(0, np.uint64)
-                    names = names[flags(names)]
-                    rows.append((len(t), *set_name(t), names, text if len(names) else None))
-                sizes = [len(r[3]) for r in rows]
-                names = np.concatenate([r[3] for r in rows]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(texts)),
-                        *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(names)),
-                        pa.array([r[4] for r in rows], pa.binary()),
-                    ],
-                    ["doc_id", "n", "set_a", "set_b", "names", "text"],
-                )
+                rows = [(len(t), *(set_name(t) if len(t) else (0, 0))) for t in shingles(texts, s.words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["doc_id", "n", "set_a", "set_b"])
 
     return run
 
@@ -202,6 +185,94 @@ def unpacked(counts: bytes) -> np.ndarray:
     return np.frombuffer(counts, "u1" if len(counts) == DIMENSIONS else "<u4")
 
 
+def _among(docs: DataFrame):
+    """Says of doc_ids whether they may be among those of ``docs``, in a bitmap of fixed size: never a wrong no."""
+
+    def ids(batch):
+        yield mix(batch.column(0).to_numpy().view(np.uint64))
+
+    return docs.sparkSession.sparkContext.broadcast(sketch.held(docs, ids))
+
+
+def _of(docs: DataFrame, among) -> DataFrame:
+    """Rows (doc_id, text) of documents that may be among those."""
+
+    def run(found):
+        for batch in found:
+            yield batch.filter(pa.array(among.value(mix(batch.column(0).to_numpy().view(np.uint64)))))
+
+    return docs.mapInArrow(frugal(run), "doc_id long, text binary")
+
+
+def _sent(s: Similarity, parts: int):
+    """Of texts (doc_id, text): rows (part, names, reps) of packed group names, marks in their last bits, and the sets that have them; a part is a range of names."""
+
+    def packed(names, reps):
+        part = ((names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        used = np.flatnonzero(np.diff(bounds))
+        offsets = pa.py_buffer((bounds[np.r_[used, parts]] * 8).astype(np.int32).tobytes())
+        column = lambda x: pa.Array.from_buffers(pa.binary(), len(used), [None, offsets, pa.py_buffer(x[order].tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), column(names), column(reps)], ["part", "names", "reps"])
+
+    def run(found):
+        names, reps, size = [], [], 0
+        for batch in found:
+            for _, texts in batches(batch.column(1)):
+                for t in shingles(texts, s.words):
+                    if len(t):
+                        mine = np.concatenate([(x | np.uint64(MARK)) ^ np.uint64(MARK ^ mark) for x, mark in signed(t, s)])
+                        names.append(mine)
+                        reps.append(np.full(len(mine), set_name(t)[0]))
+                        size += len(mine)
+                    if size >= SENT:
+                        yield packed(np.concatenate(names), np.concatenate(reps))
+                        names, reps, size = [], [], 0
+        if size:
+            yield packed(np.concatenate(names), np.concatenate(reps))
+
+    return run
+
+
+def _shared_names(found):
+    """Of a part's packed names and sets: rows (key, rep, mark), once each, of names that two sets or more have."""
+    rows = [(np.frombuffer(n, np.uint64), np.frombuffer(r, np.int64)) for batch in found for n, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+    if not rows:
+        return
+    name, rep = (np.concatenate(x) for x in zip(*rows))
+    del rows
+    mark_of = np.uint64(MARK)
+
+    def met(key):
+        same = key[1:] == key[:-1]
+        return np.r_[same, False] | np.r_[False, same]
+
+    order = np.argsort(name)
+    name, rep = name[order], rep[order]
+    more = met(name | mark_of)
+    name, rep = name[more], rep[more]
+    order = np.lexsort((rep, name | mark_of))
+    name, rep = name[order], rep[order]
+    key = name | mark_of
+    once = np.r_[True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])][: len(key)]
+    name, rep, key = name[once], rep[once], key[once]
+    if len(key):
+        more = met(key)
+        yield pa.RecordBatch.from_arrays([pa.array(key[more].view(np.int64)), pa.array(rep[more]), pa.array((name & mark_of)[more].astype(np.int32))], ["key", "rep", "mark"])
+
+
+def _met(docs: DataFrame, reps: DataFrame, s: Similarity) -> DataFrame:
+    """key, rep and weight (how many keys the set has) of the group names that two of the sets ``reps`` (n, set_a, set_b, doc) or more have."""
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total * (100 - s.percent) // s.percent // COMPARED)
+    sent = _of(docs, _among(reps.select("doc"))).mapInArrow(frugal(_sent(s, parts)), "part int, names binary, reps binary")
+    met = sent.repartitionById(parts, F.col("part")).mapInArrow(frugal(_shared_names), "key long, rep long, mark int")
+    # a set shares as many names of a class and hash as its mark says with any partner, or it has none there
+    met = met.withColumn("n", F.count("*").over(Window.partitionBy("rep", "mark"))).filter(f"n >= (mark & {LEAST})")
+    return met.select("key", "rep", F.count("*").over(Window.partitionBy("rep")).alias("weight"))
+
+
 def _tokens(s: Similarity):
     """Of rows (rep, doc, weight, text): those whose text is the set that ``rep`` names, with tokens and counts."""
 
@@ -459,29 +530,20 @@ def classes(documents: DataFrame, s: Similarity = Similarity()) -> DataFrame:
     ship(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).filter("doc_id is not null")
 
-    def names(batch):
-        for _, texts in batches(batch.column(1)):
-            found = [signatures(t, s) for t in shingles(texts, s.words) if len(t) and possible(t, shared.value, s)]
-            if found:
-                yield np.concatenate(found)
-
     def tokens(batch):
-        for _, texts in batches(batch.column(1)):
-            yield np.concatenate(shingles(texts, s.words))
+        yield np.concatenate([np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()])
 
-    shared = spark.sparkContext.broadcast(sketch.repeated(docs, tokens))
-    repeated = spark.sparkContext.broadcast(sketch.repeated(docs, names))
-    described = materialize(docs.mapInArrow(frugal(_describe(repeated, shared, s)), "doc_id long, n long, set_a long, set_b long, names array<long>, text binary"), "shingles")
     by_set = ["n", "set_a", "set_b"]
-    reps = materialize(described.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("doc"), F.first("names").alias("names")), "sets")
-    met = reps.filter(F.size("names") > 0).select(F.explode("names").alias("key"), F.col("set_a").alias("rep"), F.size("names").cast("long").alias("weight"))
-    wanted = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = materialize(met.join(wanted, "key", "left_semi"), "keys")
-    wanted = reps.select(F.col("set_a").alias("rep"), "doc", F.size("names").cast("long").alias("weight")).join(met.select("rep").distinct(), "rep", "left_semi")
-    mine = described.filter(F.col("text").isNotNull()).select("doc_id", F.col("set_a").alias("rep"), "text")
-    sets = mine.join(wanted, "rep").filter("doc_id = doc").select("rep", "doc", "weight", "text")
-    table = _bucketed(sets.mapInArrow(frugal(_tokens(s)), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "rep")
-    of = _links(met, spark.table(table), s, shared)
+    with shuffles_freed(spark):
+        described = materialize(docs.mapInArrow(frugal(_describe(s)), "doc_id long, n long, set_a long, set_b long"), "shingles")
+        reps = materialize(described.filter("n > 0").groupBy(*by_set).agg(F.min("doc_id").alias("doc")), "sets")
+        met = materialize(_met(docs, reps, s), "keys")
+        wanted = met.groupBy("rep").agg(F.first("weight").alias("weight"))
+        wanted = materialize(reps.select(F.col("set_a").alias("rep"), "doc").join(wanted, "rep").select("doc", "rep", "weight"), "wanted")
+        sets = _of(docs, _among(wanted.select("doc"))).join(wanted, F.col("doc_id") == F.col("doc")).select("rep", "doc", "weight", "text")
+        table = _bucketed(sets.mapInArrow(frugal(_tokens(s)), "rep long, doc long, weight long, tokens binary, counts binary").dropDuplicates(["rep"]), "rep")
+        shared = spark.sparkContext.broadcast(sketch.repeated(spark.table(table).select("tokens"), tokens))
+        of = _links(met, spark.table(table), s, shared)
     spark.sql(f"DROP TABLE {table}")  # its files stay in the shared folder
     out = described.select("doc_id", F.col("n").alias("n_shingles"), *[F.col(k).alias(f"of_{k}") for k in by_set])
     same = [F.col(f"of_{k}") == F.col(k) for k in by_set]

@@ -114,3 +114,8 @@ def repeated(df: DataFrame, hashes_of) -> Repeated:
     for r in rows:
         bits[r.shard * step : (r.shard + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
     return Repeated(bits)
+
+
+def held(df: DataFrame, hashes_of) -> Repeated:
+    """Says of hashes whether they may be among ``hashes_of`` of ``df``'s batches: each of these counts twice."""
+    return repeated(df, lambda batch: (h for hashes in hashes_of(batch) for h in (hashes, hashes)))

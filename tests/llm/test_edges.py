@@ -1,5 +1,7 @@
 """Texts and rows made to trip the operators: colliding words, repeated rows and ids, clashing columns, empty tables."""
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -52,6 +54,34 @@ def test_sets_that_differ_as_much_as_links_can_share_a_signature(percent, n):
         assert len(np.intersect1d(jaccard_join.signatures(a, s), jaccard_join.signatures(b, s)))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 20, 60, 330, 1000])
+def test_linked_sets_share_as_many_signatures_as_their_marks_say(percent, n):
+    s, rng = jaccard_join.Similarity(5, percent), np.random.default_rng(n)
+    for _ in range(20):
+        apart = n * (100 - percent) // percent
+        x = np.unique(rng.integers(0, 2**64, n + apart, dtype=np.uint64))
+        rng.shuffle(x)
+        cut = n + int(rng.integers(0, apart + 1))
+        a, b = ({mark & ~jaccard_join.LEAST: (names, mark & jaccard_join.LEAST) for names, mark in jaccard_join.signed(np.sort(y), s)} for y in (x[:cut], np.r_[x[:n], x[cut:]]))
+        assert any(len(np.intersect1d(a[k][0], b[k][0])) >= max(a[k][1], b[k][1]) for k in set(a) & set(b))
+
+
+def test_sketches_that_are_full_write_no_more(spark, monkeypatch):
+    """A bitmap of fixed size says yes to everything once the input is large; what is written must not follow it."""
+    written, write, held = [], jaccard_join.materialize, jaccard_join.sketch.repeated
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
+    monkeypatch.setattr(jaccard_join.sketch, "repeated", lambda df, hashes_of: jaccard_join.sketch.Repeated(np.full_like(held(df, hashes_of).bits, 255)))
+    rng = np.random.default_rng(11)
+    rows = [(d, " ".join(f"{x:x}" for x in rng.integers(0, 2**32, 2000))) for d in range(100)]
+    rows += [(100, rows[3][1] + " more"), (101, rows[4][1])]
+    s = jaccard_join.Similarity(5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(rows_of(spark, rows), s).collect()}
+    assert got == jaccard_join.brute_force(rows, s)
+    size = sum(os.path.getsize(f.removeprefix("file:")) for df in written for f in df.inputFiles())
+    assert size < 0.5 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize("s", [jaccard_join.Similarity(3, 90), jaccard_join.Similarity()])
 def test_box_join_finds_all_pairs_that_the_bound_leaves(s):
     rng = np.random.default_rng(1)
