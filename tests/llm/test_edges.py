@@ -67,7 +67,8 @@ def test_linked_sets_share_as_many_signatures_as_their_marks_say(percent, n):
         assert any(len(np.intersect1d(a[k][0], b[k][0])) >= max(a[k][1], b[k][1]) for k in set(a) & set(b))
 
 
-def test_sketches_that_are_full_write_no_more(spark, monkeypatch):
+@pytest.mark.parametrize("s", [jaccard_join.Similarity(3, 90), jaccard_join.Similarity(5, 80)])
+def test_sketches_that_are_full_write_no_more(spark, monkeypatch, s):
     """A bitmap of fixed size says yes to everything once the input is large; what is written must not follow it."""
     written, write, held = [], jaccard_join.materialize, jaccard_join.sketch.repeated
     monkeypatch.setattr(jaccard_join, "materialize", lambda df, label: written.append(write(df, label)) or written[-1])
@@ -75,7 +76,6 @@ def test_sketches_that_are_full_write_no_more(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows = [(d, " ".join(f"{x:x}" for x in rng.integers(0, 2**32, 2000))) for d in range(100)]
     rows += [(100, rows[3][1] + " more"), (101, rows[4][1])]
-    s = jaccard_join.Similarity(5, 80)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(rows_of(spark, rows), s).collect()}
     assert got == jaccard_join.brute_force(rows, s)
     size = sum(os.path.getsize(f.removeprefix("file:")) for df in written for f in df.inputFiles())
