@@ -28,10 +28,12 @@ IMPORTED = {
     "php": r"^use\s+(?:function\s+|const\s+)?\\?([A-Za-z_][\w\\]*)",
     "c": r"^\s*#\s*include\s*<([^>\s]+)>",
     "cpp": r"^\s*#\s*include\s*<([^>\s]+)>",
-    "kotlin": r"^import\s+([\w.]+?)(?:\.\*)?(?:\s+as\s+\w+)?\s*;?\s*$",
+    "kotlin": r"^import\s+([\w.]+?)(?:\.\*)?(?:\s++as\s++\w++)?\s*+(?:;\s*+)?$",
     "swift": r"^(?:@\w+\s+)?import\s+(?:(?:struct|class|enum|protocol|func|typealias)\s+)?(\w+)",
     "csharp": r"^(?:global\s+)?using\s+(?:static\s+)?([\w.]+)\s*;",
 }
+#: A line of Go that holds a path; no white space is given back, as a blanked comment is a line of it, of any length.
+QUOTED = r'^\s*+(?:import\s++)?+(?:\(\s*+)?+(?:[\w.]++\s++)?+"([^"]++)"\s*+(?:\)\s*+)?+$'
 RELATIVE = r"""^\s*(?:require|include)(?:_once)?\s*\(?\s*['"](\.{0,2}/[^'"]+)['"]"""
 #: What separates the parts of a name.
 SEPARATOR = {"go": "/", "java": ".", "rust": "::", "php": "\\", "c": "/", "cpp": "/", "kotlin": ".", "swift": ".", "csharp": "."}
@@ -48,7 +50,7 @@ def package_imports(files: DataFrame) -> DataFrame:
     lines = go.select("path", F.posexplode(F.split(code(F.col("source"), F.col("language")), "\n", -1)).alias("at", "text"))
     # an import's statement may have many lines: each path stands on a line of its own
     paths = symbols.imports(go).select("path", F.col("line").alias("first"), F.col("source").alias("module")).distinct()
-    quoted = lines.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("text", r'^\s*(?:import\s+)?\(?\s*(?:[\w.]+\s+)?"([^"]+)"\s*\)?\s*$', 1).alias("module")).filter("module <> ''")
+    quoted = lines.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("text", QUOTED, 1).alias("module")).filter("module <> ''")
     found = paths.join(quoted, ["path", "module"]).filter("line >= first").groupBy("path", "module", "first").agg(F.min("line").alias("line"))
     return rows.unionByName(found.select("path", F.lit("go").alias("language"), "line", "module").distinct())
 

@@ -1,5 +1,8 @@
 """Packages of nine more languages: catalogs by beginnings, manifests of the nearest folder, files of the project."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,20 @@ def test_beginnings(spark):
     rows = spark.createDataFrame([("java", "a.b.c"), ("rust", "a::b"), ("php", "A\\B"), ("swift", "A"), ("lisp", "a.b")], "language string, module string")
     got = {r.language: r.b for r in rows.select("language", P.beginnings(F.col("module"), F.col("language")).alias("b")).collect()}
     assert got == {"java": ["a", "a.b", "a.b.c"], "rust": ["a", "a::b"], "php": ["A", "A\\B"], "swift": ["A"], "lisp": ["a.b"]}
+
+
+def test_long_comments_take_no_longer_than_they_are(spark):
+    said = "x" * 100_000
+    rows = [("a.go", "go", f'package a\n// {said}\nimport ( // {said}\n\tm "net/x" // {said}\n)\n'), ("b.kt", "kotlin", f"import a.b // {said}\nimport c /* {said} */ d\n")]
+    start = time.time()
+    got = P.package_imports(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.path, r.line, r.module) for r in got) == [("a.go", 4, "net/x"), ("b.kt", 1, "a.b")]
+    assert time.time() - start < 15
+
+
+@pytest.mark.parametrize("line", ['import "a/b"', '  "a/b"', ' ( "a/b" )', 'import (x.y "a/b")', 'import\t_ "a/b"', 'import x "a/b"  ', 'x "a/b")', 'importx "a/b"', 'import import "a/b"', 'import( "a/b"', 'x y "a/b"', '"a/b" x', '""', '("a/b") )', '( ( "a/b"', 'x"a/b"', 'import"a/b"', '"a/b"\r'])
+def test_lines_of_go_that_hold_a_path(line):
+    """As the plain pattern, which gives white space back, says."""
+    plain = re.match(r'^\s*(?:import\s+)?\(?\s*(?:[\w.]+\s+)?"([^"]+)"\s*\)?\s*$', line)
+    found = re.match(P.QUOTED, line)
+    assert (plain and plain[1]) == (found and found[1])
